@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticejobs.llm import byte_bpe, langid, licenses, packing, token_counts, topk
+from noticejobs.llm import byte_bpe, langid, licenses, nbsvm, packing, token_counts, topk
 
 SQL: dict[str, str] = {}
 
@@ -34,6 +34,13 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = nbsvm.learn(docs, labels.filter(langid.fold(5) != 0))
+    scored = nbsvm.score(docs, model)
+    return scored.select("doc_id", (langid.fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,4 +66,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op6_byte_bpe, op8_exact_top_k, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op5_quality_classifier, op6_byte_bpe, op8_exact_top_k, op10_license_scan)}
