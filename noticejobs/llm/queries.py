@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticejobs.llm import byte_bpe, langid, licenses, nbsvm, packing, token_counts, topk
+from noticejobs.llm import byte_bpe, langid, licenses, nbsvm, packing, token_counts, topk, trie_join
 
 SQL: dict[str, str] = {}
 
@@ -62,8 +62,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.jaccard_groups(documents(spark, sf_dir), n=3, num=90, den=100)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op5_quality_classifier, op6_byte_bpe, op8_exact_top_k, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op5_quality_classifier, op6_byte_bpe, op8_exact_top_k, op9_jaccard_join, op10_license_scan)}
