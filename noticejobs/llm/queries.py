@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticejobs.llm import byte_bpe, langid, licenses, nbsvm, packing, token_counts, topk, trie_join
+from noticejobs.llm import byte_bpe, common, decision_list, langid, licenses, nbsvm, packing, token_counts, topk, trie_join
 
 SQL: dict[str, str] = {}
 
@@ -34,6 +34,14 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    stats = common.stored(decision_list.described(docs).drop("text"))
+    rules = decision_list.learn(decision_list.labelled(stats, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    failed = decision_list.base_failed()
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rules.rejects()).alias("kept"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = nbsvm.learn(docs, labels.filter(langid.fold(5) != 0))
@@ -70,4 +78,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op5_quality_classifier, op6_byte_bpe, op8_exact_top_k, op9_jaccard_join, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op8_exact_top_k, op9_jaccard_join, op10_license_scan)}
