@@ -31,19 +31,35 @@ BINS, MAX_RULES, MAX_CONDITIONS = 24, 8, 3
 MIN_PRECISION, MIN_COVER = 0.97, 3
 
 
-def repeated_words(words: Column, n: int = 3) -> Column:
-    """Words that lie in an n-word window found at least twice in the text, the first find included."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))
+#: Low bits of a sort key, which hold a window's place.
+PLACE = (1 << 20) - 1
 
-    def covered(s: Column) -> Column:
-        # Windows sorted by hash; a window equal to a neighbour is repeated. Its words, counted once each.
-        again = F.filter(s, lambda x, k: (F.get(s, k + 1)["h"] == x["h"]) | ((k > 0) & (F.get(s, F.greatest(k - 1, F.lit(0)))["h"] == x["h"])))
-        return F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.sequence(x["i"], x["i"] + n - 1)))))
 
-    def count(g: Column) -> Column:
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(bind(F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered))
+def with_repeated_words(rows: DataFrame, n: int = 3) -> DataFrame:
+    """``n_repeat_words``: words of ``_words`` in an n-word window found twice or more, the first find included.
 
-    return F.when(F.size(words) < n, 0).otherwise(bind(grams, count)).cast("long")
+    Windows are sorted by the high bits of their hash and their place; windows next to each other are then
+    compared by their whole hashes. Texts of over a million words sort whole hashes instead.
+    """
+    grams = F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(n)]))
+    rows = rows.withColumn("_grams", F.when(F.size("_words") < n, F.lit([]).cast("array<bigint>")).otherwise(grams))
+    rows = rows.withColumn("_all_differ", F.size(F.array_distinct("_grams")) == F.size("_grams"))
+    keys = F.transform("_grams", lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("_sorted", F.sort_array(F.when(F.col("_all_differ"), F.lit([]).cast("array<bigint>")).otherwise(keys)))
+
+    def gram(key: Column) -> Column:
+        return F.get("_grams", key.bitwiseAND(F.lit(PLACE)).cast("int"))
+
+    def near(k: Column) -> Column:
+        return F.get("_sorted", F.when(k >= 0, k))
+
+    again = F.filter("_sorted", lambda x, k: F.coalesce(gram(near(k + 1)) == gram(x), F.lit(False)) | F.coalesce(gram(near(k - 1)) == gram(x), F.lit(False)) | F.coalesce(gram(near(k + 2)) == gram(x), F.lit(False)) | F.coalesce(gram(near(k - 2)) == gram(x), F.lit(False)))
+    places = F.transform(again, lambda x: x.bitwiseAND(F.lit(PLACE)))
+    whole = F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    twice = bind(whole, lambda s: F.transform(F.filter(s, lambda x, k: F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, F.when(k > 0, k - 1))["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
+    rows = rows.withColumn("_places", F.when(F.col("_all_differ"), F.lit([]).cast("array<bigint>")).when(F.size("_grams") > PLACE, twice).otherwise(places))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("_places", lambda i: F.sequence(i, i + n - 1)))))
+    return rows.withColumn("n_repeat_words", covered.cast("long")).drop("_grams", "_all_differ", "_sorted", "_places")
 
 
 def bind(value: Column, body) -> Column:
@@ -55,13 +71,13 @@ def described(docs: DataFrame) -> DataFrame:
     """``docs`` with the statistics of their texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("_words", words).withColumn("_lines", lines)
     out = out.withColumn("n_words", F.size("_words").cast("long"))
-    out = out.withColumn("word_chars", F.length(F.regexp_replace(text, BLANKS, "")).cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     out = out.withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    out = out.withColumn("n_repeat_words", repeated_words(F.col("_words")))
+    out = with_repeated_words(out)
     share = lambda n, of: F.round(F.when(F.col(of) > 0, n / F.col(of)).otherwise(0.0), 6)
     out = out.withColumns({
         "word_length": share(F.col("word_chars"), "n_words"),
