@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticejobs.llm import byte_bpe, common, decision_list, langid, licenses, nbsvm, packing, token_counts, topk, trie_join
+from noticejobs.llm import byte_bpe, common, decision_list, langid, licenses, nbsvm, packing, pii, token_counts, topk, trie_join
 
 SQL: dict[str, str] = {}
 
@@ -55,6 +55,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), keep=("doc_id",))
+    counts = [pii.count_kind(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("all_spans")).alias("spans"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
@@ -78,4 +84,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op8_exact_top_k, op9_jaccard_join, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op7_pii, op8_exact_top_k, op9_jaccard_join, op10_license_scan)}
