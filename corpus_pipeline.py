@@ -24,10 +24,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what neither the base limits nor the learned decision list reject."""
-    stats = stored(decision_list.described(docs.select("doc_id", "text")).drop("text"))
-    rules = decision_list.learn(decision_list.labelled(stats, labels(spark, sf_dir)))
-    # The row travels as one struct, so that no column of it can clash with a statistic.
-    rows = decision_list.described(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
+    # The row travels as one struct, so that no column of it can clash with a statistic; the statistics are
+    # computed once and written, as a filter on them would be pushed below and compute them again.
+    rows = stored(decision_list.described(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).drop("text"))
+    rules = decision_list.learn(decision_list.labelled(rows.drop("_row"), labels(spark, sf_dir)))
     return rows.filter(~decision_list.base_failed() & ~rules.rejects()).select("_row.*")
 
 
@@ -57,10 +57,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data becomes its kind in brackets; ``n_chars`` follows the text."""
-    rows = pii.detect(docs.select(F.struct("*").alias("_row"), "text"), keep=("_row",))
-    text = pii.redacted(F.col("_row.text"), F.col("all_spans"))
+    rows = pii.detect(docs.select(F.struct("*").alias("_whole"), "text"), keep=("_whole",))
+    text = pii.redacted(F.col("_whole.text"), F.col("all_spans"))
     changed = F.size("all_spans") > 0
-    out = rows.select("_row.*", text.alias("_text"), changed.alias("_changed"))
+    out = rows.select("_whole.*", text.alias("_text"), changed.alias("_changed"))
     for name, value in (("text", F.col("_text")), ("n_chars", F.length("_text").cast("long"))):
         if name in docs.columns:
             out = out.withColumn(name, F.when(F.col("_changed"), value).otherwise(F.col(name)).cast(docs.schema[name].dataType))
