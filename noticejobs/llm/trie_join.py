@@ -5,6 +5,7 @@ order puts n-grams that a fixed-size count sketch of the whole corpus finds freq
 hash. Two sets with Jaccard similarity at or above the threshold share one of the first
 ``n - ceil(threshold * n) + 1`` n-grams of either, so only sets that share one are compared.
 
+Parity bits of the sets rule out most pairs that share an n-gram by chance before any set is moved.
 Comparison is by trie: the sets to be compared with one probe are stored, in the global order, in a compressed
 trie; the probe walks it once, sharing the overlap of common beginnings, and leaves a subtree as soon
 as its longest set cannot reach the needed overlap with the n-grams that remain.
@@ -99,8 +100,40 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
     parts = texts(docs).mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
     got = parts.groupBy("chunk").applyInArrow(add, schema).toArrow().sort_by("chunk")  # 8 MB, whatever the corpus
     counts = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in got["counts"]]) if len(got) else np.zeros(SKETCH, np.int64)
-    floor = 2 * counts.mean() + 3 * math.sqrt(counts.mean()) + 3
-    return np.clip(np.ceil(2 * np.log2(np.maximum(counts / floor, 1))), 0, 255).astype(np.uint8)
+    # Rare n-grams fill all counters alike; what stands clearly above that noise is frequent.
+    usual = float(np.median(counts))
+    noise = 4 * math.sqrt(usual) + 4
+    return np.clip(np.ceil(2 * np.log2(np.maximum((counts - usual) / noise, 1))), 0, 255).astype(np.uint8)
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each of about n / 2 slots: whether an odd number of the set's n-grams fall in it."""
+    slots = max(64, 1 << max(0, len(s) // 2 - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) & (slots - 1), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def plausible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the parity bits cannot rule out.
+
+    Every n-gram that only one of two sets holds flips one bit, so the bits that differ are at most the
+    n-grams that differ; more of them than the similarity allows rule a pair out for certain.
+    """
+    left = bits.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    both = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, a, b in zip((batch.column(2).to_numpy() + batch.column(4).to_numpy()).tolist(), batch.column(3), batch.column(5), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                while len(x) != len(y):  # the longer is folded: its slots are those of the shorter, twice over
+                    x, y = (x, y) if len(x) > len(y) else (y, x)
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= n - 2 * -(-num * n // (num + den)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long")
 
 
 class Trie:
@@ -224,6 +257,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
                     "doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "class": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     "prefix": pa.array(prefix, pa.list_(pa.int64())),
+                    "bits": pa.array([parity_bits(s) for s in sets], pa.binary()),
                 })
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +266,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
             for ids, rows in slices(batch):
                 yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "grams": pa.array([in_order(s, rank.value).astype("<u8").tobytes() for s in shingler.sets(rows)], pa.binary())})
 
-    described = stored(texts(docs).mapInArrow(describe, "doc_id long, n long, class binary, prefix array<long>"))
+    described = stored(texts(docs).mapInArrow(describe, "doc_id long, n long, class binary, prefix array<long>, bits binary"))
     present = described.filter("class is not null and doc_id is not null")
-    classes = stored(present.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    classes = stored(present.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
 
     index = classes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = index.groupBy("gram").count().filter("count > 1").select("gram")
@@ -249,7 +283,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     banded = index.withColumn("band", F.floor(F.log("n") / math.log(den / num)))
     leader = banded.groupBy("gram", "band").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
     stars = stored(banded.join(leader, ["gram", "band"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    edges = stored(linked(stars, sets_of(stars), num, den))
+    near_stars = stored(plausible(stars, classes, num, den))
+    edges = stored(linked(near_stars, sets_of(near_stars), num, den))
     groups = components(edges)
 
     # What stars left open: sets of one n-gram in different components.
@@ -261,7 +296,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     reach = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))  # overlap from this n-gram on, if it is the first shared
     near = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.comp") != F.col("r.comp")) & (den * F.least("l.n", "r.n") >= num * F.greatest("l.n", "r.n")) & (reach * (num + den) >= num * (F.col("l.n") + F.col("r.n")))
     crossing = l.join(r, near & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    crossing = stored(crossing.join(stars, ["a", "b"], "left_anti"))
+    crossing = stored(plausible(crossing.join(stars, ["a", "b"], "left_anti"), classes, num, den))
     if not crossing.isEmpty():
         more = stored(linked(crossing, sets_of(crossing), num, den))
         if not more.isEmpty():
