@@ -247,9 +247,9 @@ def w6_normalize_series(spark, d):
 
 
 @query("""WITH w AS (SELECT *, last_value(CASE WHEN status = 'info' THEN "time" END IGNORE NULLS) OVER (PARTITION BY source ORDER BY "time", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS started FROM scrape_logs)
-    SELECT id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, CAST(epoch(date_trunc('second', "time")) - epoch(date_trunc('second', started)) AS BIGINT) AS wall_seconds FROM w WHERE status IN ('success', 'error')""", "scrape_logs")
+    SELECT id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, CAST(epoch(date_trunc('second', "time")) - epoch(date_trunc('second', started)) AS BIGINT) AS wall_seconds FROM w WHERE status IN ('success', 'error') AND started IS NOT NULL""", "scrape_logs")
 def j16_pair_runs(spark, d):
-    return M.pair_scrape_runs(A.scrape_logs(spark, d)).select("id", stamp("started"), "wall_seconds")
+    return M.pair_scrape_runs(A.scrape_logs(spark, d)).filter("started is not null").select("id", stamp("started"), "wall_seconds")
 
 
 @query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source, date_trunc('day', \"time\") ORDER BY \"time\", id) AS k FROM scrape_logs) WHERE k <= 5", "scrape_logs")

@@ -48,9 +48,9 @@ def p5_advanced_filter(spark, d):
 
 
 @query(f"""SELECT id, {DAYS} AS days, CASE WHEN {DAYS} < 0 THEN 'Closed' WHEN {DAYS} = 0 THEN 'Closes today' WHEN {DAYS} = 1 THEN 'Closes tomorrow' WHEN {DAYS} > 1 THEN concat({DAYS}, ' days remaining') END AS deadline_label,
-    coalesce({DAYS} BETWEEN 0 AND 7, false) AS urgent FROM notices""", "notices")
+    coalesce({DAYS} BETWEEN 0 AND 7, false) AS urgent FROM notices WHERE deadline IS NOT NULL""", "notices")
 def p6_deadline_status(spark, d):
-    return N.deadline_status(A.notices(spark, d), NOTICES_AS_OF).select("id", "days", "deadline_label", "urgent")
+    return N.deadline_status(A.notices(spark, d).filter("deadline is not null"), NOTICES_AS_OF).select("id", "days", "deadline_label", "urgent")
 
 
 @query(f"SELECT CASE WHEN {DAYS} >= 0 THEN 'upcoming' ELSE 'expired' END AS kind, count(*) AS n FROM notices WHERE deadline IS NOT NULL GROUP BY 1", "notices")

@@ -78,9 +78,11 @@ def j21_related_questions(spark, d):
     return R.related_questions(A.chat_messages(spark, d), 3, max_frequency=20).select("id", F.col("rank").cast("long"), "related_id", "jaccard")
 
 
-@query(r"""WITH w AS (SELECT id, [x for x in regexp_split_to_array(lower(content), '\s+') if x <> ''] AS w FROM rag_documents), g AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) AS grams FROM w WHERE len(w) >= 5),
-    u AS (SELECT id, unnest(grams) AS g FROM g), r AS (SELECT g FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200), p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.g = b.g AND a.id < b.id WHERE a.g IN (SELECT g FROM r) GROUP BY 1, 2),
-    c AS (SELECT p.a, p.b, count(*) AS common FROM p JOIN u x ON x.id = p.a JOIN u y ON y.id = p.b AND y.g = x.g GROUP BY 1, 2) SELECT a, b, round(common / (len(x.grams) + len(y.grams) - common), 6) AS jaccard FROM c JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE round(common / (len(x.grams) + len(y.grams) - common), 6) >= 0.8""", "rag_documents")
+@query(r"""WITH w AS (SELECT id, [x for x in regexp_split_to_array(lower(content), '\s+') if x <> ''] AS w FROM rag_documents), h AS (SELECT id, list_sort(list_distinct([hash(array_to_string(w[i:i+4], ' ')) for i in range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5),
+    c AS (SELECT s, min(id) AS a FROM h GROUP BY s), m AS (SELECT c.a, h.id AS b, 1.0 AS jaccard FROM h JOIN c ON h.s = c.s WHERE h.id <> c.a), u AS (SELECT a AS id, len(s) AS n, unnest(s) AS g FROM c), f AS (SELECT g, count(*) AS df FROM u GROUP BY 1),
+    p AS (SELECT * FROM (SELECT u.*, f.df, row_number() OVER (PARTITION BY id ORDER BY df, u.g) AS k FROM u JOIN f ON f.g = u.g) WHERE k <= n - ceil(0.8 * n) + 1 AND df > 1), q AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.g = y.g AND x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n)),
+    z AS (SELECT q.a, q.b, len(list_intersect(x.s, y.s)) AS common, len(x.s) + len(y.s) AS total FROM q JOIN c x ON x.a = q.a JOIN c y ON y.a = q.b)
+    SELECT a, b, round(common / (total - common), 6) AS jaccard FROM z WHERE round(common / (total - common), 6) >= 0.8 UNION ALL SELECT * FROM m""", "rag_documents")
 def j22_compare_documents(spark, d):
     return R.compare_documents(A.rag_documents(spark, d), 0.8)
 

@@ -102,13 +102,13 @@ def w1_latest_version(spark, d):
     return I.latest_version(versions(spark, d), "user_id", "ts", "id").select("user_id", "id")
 
 
-@query(f"""SELECT id, CAST(row_number() OVER w AS BIGINT) AS version, lead(id) OVER w AS next_id, CASE WHEN row_number() OVER w = 1 THEN '' ELSE concat_ws(',', CASE WHEN type IS DISTINCT FROM lag(type) OVER w THEN 'type' END, CASE WHEN related_id IS DISTINCT FROM lag(related_id) OVER w THEN 'related_id' END) END AS changed
+@query(f"""SELECT id, CAST(row_number() OVER w AS BIGINT) AS version, coalesce(lead(id) OVER w, -1) AS next_id, CASE WHEN row_number() OVER w = 1 THEN '' ELSE concat_ws(',', CASE WHEN type IS DISTINCT FROM lag(type) OVER w THEN 'type' END, CASE WHEN related_id IS DISTINCT FROM lag(related_id) OVER w THEN 'related_id' END) END AS changed
     FROM ({VERSIONS}) WINDOW w AS (PARTITION BY user_id ORDER BY ts)""", "activities")
 def w3_edit_history(spark, d):
     from pyspark.sql import Window
 
     out = I.edit_history(versions(spark, d), "user_id", "ts", ("type", "related_id"))
-    return out.withColumn("next_id", F.lead("id").over(Window.partitionBy("user_id").orderBy("ts"))).select("id", F.col("version").cast("long"), "next_id", F.array_join("changed", ",").alias("changed"))
+    return out.withColumn("next_id", F.lead("id").over(Window.partitionBy("user_id").orderBy("ts"))).select("id", F.col("version").cast("long"), F.coalesce("next_id", F.lit(-1)).alias("next_id"), F.array_join("changed", ",").alias("changed"))
 
 
 @query(f"SELECT user_id, arg_max(id, ts) AS id FROM ({VERSIONS}) WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY 1", "activities")
@@ -141,11 +141,11 @@ def j14_reassign_category(spark, d):
     return I.reassign_category(A.notices(spark, d), mapping).select("id", "category")
 
 
-@query("SELECT n.id, CAST(a.l_linenumber AS BIGINT) AS attachment_id, concat('file', a.l_partkey, '.pdf') AS filename FROM notices n LEFT JOIN lineitem a ON a.l_orderkey = n.id AND a.l_quantity > 45", "notices")
+@query("SELECT n.id, coalesce(CAST(a.l_linenumber AS BIGINT), -1) AS attachment_id, 'file' || a.l_partkey || '.pdf' AS filename FROM notices n LEFT JOIN lineitem a ON a.l_orderkey = n.id AND a.l_quantity > 45", "notices")
 def j18_notice_documents(spark, d):
     l = A.table(spark, d, "lineitem").filter("l_quantity > 45")
     attachments = l.select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").cast("long").alias("id"), F.concat(F.lit("file"), F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("filename"), F.col("l_extendedprice").alias("size_bytes"))
-    return I.notice_documents(A.notices(spark, d), attachments).select("id", "attachment_id", "filename")
+    return I.notice_documents(A.notices(spark, d), attachments).select("id", F.coalesce("attachment_id", F.lit(-1)).alias("attachment_id"), "filename")
 
 
 @query("""WITH a AS (SELECT id, role, status FROM users WHERE id % 10 <> 1), b AS (SELECT id, role, CASE WHEN id % 4 = 0 THEN 'inactive' ELSE status END AS status FROM users WHERE id % 10 <> 2)

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from noticejobs.operators.alerts import match_alerts, rule_conditions
 
@@ -58,25 +59,14 @@ def live_counters(notices: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return notices.withWatermark("published_at", watermark).groupBy(F.window("published_at", "1 hour"), "category").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "category", "n")
 
 
-class RetryCounter(StatefulProcessor):
-    """Consecutive failures of a source; "failed" after ``limit`` of them, a success starts anew."""
-
-    def __init__(self, limit: int = 3):
-        self.limit = limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.attempts = handle.getValueState("attempts", "n int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        n = self.attempts.get()[0] if self.attempts.exists() else 0
-        for row in pd.concat(list(rows)).sort_values(["time", "id"]).itertuples():
-            n = n + 1 if row.status in ("error", "warning") else 0 if row.status == "success" else n
-        self.attempts.update((n,))
-        yield pd.DataFrame({"source": [key[0]], "attempts": [n], "failed": [n >= self.limit]})
-
-    def close(self) -> None:
-        pass
+def retry_state(logs: DataFrame, limit: int = 3) -> DataFrame:
+    """Consecutive failures of each source; failed from ``limit`` on, a success starts anew. One integer of state a source."""
 
+    def count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for status in pd.concat(list(rows)).sort_values(["time", "id"])["status"]:
+            n = n + 1 if status in ("error", "warning") else 0 if status == "success" else n
+        state.update((n,))
+        yield pd.DataFrame({"source": [key[0]], "attempts": [n], "failed": [n >= limit]})
 
-def retry_state(logs: DataFrame, limit: int = 3) -> DataFrame:
-    return logs.groupBy("source").transformWithStateInPandas(RetryCounter(limit), "source string, attempts int, failed boolean", "Update", "None")
+    return logs.groupBy("source").applyInPandasWithState(count, "source string, attempts int, failed boolean", "n int", "update", GroupStateTimeout.NoTimeout)
