@@ -97,12 +97,14 @@ class CrossParser:
         for lang in self.langs:
             word = code[np.frombuffer(sample[lang].encode("utf-32-le"), np.uint32)].tolist()
             move = suffix_automaton(word)
-            root = np.full(self.width, 2 * base + 1, np.int32)
+            strange = len(move)  # the state after a letter that the sample lacks, a phrase of its own
+            fresh = np.full(self.width, 2 * (base + strange * self.width) + 1, np.int32)
             for c, s in move[0].items():
-                root[c] = 2 * (base + s * self.width) + 1
-            table = np.tile(root, len(move)).reshape(len(move), self.width)
+                fresh[c] = 2 * (base + s * self.width) + 1
+            table = np.tile(fresh, len(move) + 1).reshape(-1, self.width)
             for s, to in enumerate(move):
                 table[s, list(to)] = [2 * (base + x * self.width) for x in to.values()]
+            table[0] = fresh - 1  # a block's first phrase is counted from the start
             tables.append(table.ravel())
             self.start.append(base)
             self.bits.append(np.log2(len(word) + 1))
