@@ -19,7 +19,7 @@ def value(spark, column, **cells):
     [
         (lambda: S.slugify("c"), "  Héllo, World_1 -x ", "-hllo-world_1--x-"), (lambda: S.capitalize("c"), "mY word", "MY word"), (lambda: S.truncate("c", 5), "abcdef", "abcd…"), (lambda: S.truncate("c", 6), "abcdef", "abcdef"),
         (lambda: S.parse_size("c"), "4.2 MB", 4404019), (lambda: S.parse_size("c"), "890 KB", 911360), (lambda: S.parse_size("c"), "x", None), (lambda: S.parse_duration("c"), "4.2s", 4.2), (lambda: S.parse_duration("c"), "-", None),
-        (lambda: S.frequency_hours("c"), "Every 6 hours", 6), (lambda: S.frequency_hours("c"), "Manual", None), (lambda: S.frequency_hours("c"), "Weekly", 168), (lambda: S.source_portal("c"), "https://psc.gov.np/a?b", "psc.gov.np"), (lambda: S.valid_url("c"), "not a url", False), (lambda: S.valid_url("c"), None, False),
+        (lambda: S.frequency_hours("c"), "Every 6 hours", 6), (lambda: S.frequency_hours("c"), "Manual", None), (lambda: S.frequency_hours("c"), "Weekly", 168), (lambda: S.source_portal("c"), "https://portal.example/a?b", "portal.example"), (lambda: S.valid_url("c"), "not a url", False), (lambda: S.valid_url("c"), None, False),
         (lambda: S.search_term("c"), "Searched for 'civil service'", "civil service"), (lambda: S.title_from_filename("c"), "a.b.pdf", "a.b"), (lambda: S.parse_body("c"), "{bad", ""), (lambda: S.parse_body("c"), '{"question": "q?"}', "q?"), (lambda: S.parse_body("c"), "{}", ""),
         (lambda: S.classify_question("c"), "Is it forbidden?", "tender"), (lambda: S.classify_question("c", S.ROUTERS["document"]), "it policy", "it"), (lambda: S.classify_question("c"), None, "default"), (lambda: S.highlight("c", "a.b"), "xA.Bx axb", "x<mark>A.B</mark>x axb"),
         (lambda: S.label("c", {"view": "Viewed"}, "Other"), "view", "Viewed"), (lambda: S.label("c", {"view": "Viewed"}, "Other"), "z", "Other"), (lambda: S.holds("c", "10%"), "at 10% off", True), (lambda: S.holds("c", "1_%"), "at 10% off", False), (lambda: S.holds("c", "x"), None, False),
