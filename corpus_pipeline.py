@@ -51,8 +51,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more."""
     groups = trie_join.jaccard_groups(docs, n=5, num=80, den=100)
-    copies = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(stored(copies), F.col("doc_id") == F.col("copy_id"), "left_anti")
+    copies = stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("copy_id")).distinct())
+    if copies.count() <= trie_join.BROADCAST_IDS:
+        copies = F.broadcast(copies)  # else the table and the ids are joined by a shuffle
+    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

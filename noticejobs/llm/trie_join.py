@@ -36,9 +36,11 @@ from noticejobs.llm.common import slices, stored, texts
 
 #: Counters of the frequency sketch: 4 MB, whatever the corpus.
 SKETCH, SKETCH_CHUNK = 1 << 20, 1 << 14
+#: Ids that are broadcast at most: 8 MB of longs.
+BROADCAST_IDS = 1 << 20
 #: Sets compared with a probe in one trie.
 TRIE_SETS = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _MIX, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -112,6 +114,16 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) & (slots - 1), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+#: A fixed number of parity bits, for a condition inside a join.
+PARITY_BITS = 512
+
+
+def parity_words(s: np.ndarray) -> np.ndarray:
+    """``PARITY_BITS`` parity bits of a set as longs; what ``parity_bits`` says of differences holds for them too."""
+    bits = np.bincount((s >> np.uint64(48)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def plausible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the parity bits cannot rule out.
 
@@ -258,6 +270,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
                     "class": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     "prefix": pa.array(prefix, pa.list_(pa.int64())),
                     "bits": pa.array([parity_bits(s) for s in sets], pa.binary()),
+                    "words": pa.array([parity_words(s) for s in sets], pa.list_(pa.int64())),
                 })
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +279,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
             for ids, rows in slices(batch):
                 yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "grams": pa.array([in_order(s, rank.value).astype("<u8").tobytes() for s in shingler.sets(rows)], pa.binary())})
 
-    described = stored(texts(docs).mapInArrow(describe, "doc_id long, n long, class binary, prefix array<long>, bits binary"))
+    described = stored(texts(docs).mapInArrow(describe, "doc_id long, n long, class binary, prefix array<long>, bits binary, words array<long>"))
     present = described.filter("class is not null and doc_id is not null")
-    classes = stored(present.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
+    classes = stored(present.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("words").alias("words")))
 
     index = classes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = index.groupBy("gram").count().filter("count > 1").select("gram")
@@ -276,6 +289,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        nodes = stored(nodes)
+        if nodes.count() <= BROADCAST_IDS:
+            nodes = F.broadcast(nodes)  # else texts and ids are joined by a shuffle
         wanted = texts(docs).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
         return stored(wanted.mapInArrow(grams, "node long, grams binary"))
 
@@ -291,10 +307,13 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     placed = stored(index.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     sizes = placed.groupBy("gram", "comp").agg(F.count("*").alias("c"))
     open_ = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("gram", "main")
-    rest = placed.join(open_, "gram")
+    rest = placed.join(open_, "gram").join(classes.select("node", *[F.get("words", F.lit(k)).alias(f"p{k}") for k in range(PARITY_BITS // 64)]), "node")
     l, r = rest.filter("comp <> main").alias("l"), rest.alias("r")
     reach = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))  # overlap from this n-gram on, if it is the first shared
     near = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.comp") != F.col("r.comp")) & (den * F.least("l.n", "r.n") >= num * F.greatest("l.n", "r.n")) & (reach * (num + den) >= num * (F.col("l.n") + F.col("r.n")))
+    # Bits that differ are at most the n-grams that differ, and those are bounded by the similarity.
+    differ = sum((F.bit_count(F.col(f"l.p{k}").bitwiseXOR(F.col(f"r.p{k}"))) for k in range(PARITY_BITS // 64)), F.lit(0))
+    near &= differ <= F.col("l.n") + F.col("r.n") - 2 * F.ceil(num * (F.col("l.n") + F.col("r.n")) / (num + den))
     crossing = l.join(r, near & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     crossing = stored(plausible(crossing.join(stars, ["a", "b"], "left_anti"), classes, num, den))
     if not crossing.isEmpty():
