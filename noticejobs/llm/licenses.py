@@ -2,11 +2,13 @@
 
 Every licence template is a word sequence. One pass over all documents counts in how many of them
 each template word occurs; the inverse document frequency of those words is all that is kept. A
-second pass looks up the highest-IDF licence words of each document in the positional postings of
-the templates (word -> template, position), lets every hit vote for the offset "document position
-less template position" and takes the share of the template's words that agree with the best offset
-(within ``SLACK`` words). A template is reported when that share reaches ``threshold`` and its
-mandatory key phrase stands in the document. The plain phrases (``PHRASES``) are always reported.
+second pass looks up the rarest word of each phrase; only a document that holds one of them, and then the whole
+mandatory key phrase of a template, is a candidate for it. A candidate is verified over all words of the template:
+every place of each of them in the document votes for the offset "document position less template position",
+and the template words that agree with the best offset (within ``SLACK`` words) are counted, each once. Their share
+is taken of the template words the document holds, and scaled down where those are under half of the template. A
+template is reported when the share reaches ``threshold``; so it always is when that share of all its words stands
+at one place, whatever else the document holds. The plain phrases (``PHRASES``) are always reported.
 
 Words: A-Z lower-cased, then runs of digits, a-z and non-ASCII characters.
 
@@ -44,8 +46,8 @@ TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
 )
 
-#: Of a document's licence words, so many of the highest IDF are looked up; agreeing offsets may differ by SLACK words.
-RARE_WORDS, SLACK = 24, 2
+#: Agreeing offsets may differ from the best one by so many words.
+SLACK = 2
 _SPACE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
@@ -55,16 +57,12 @@ def words(text: str | None) -> list[bytes]:
 
 
 class LicenceIndex:
-    """Positional postings of the template words, with their weights."""
+    """Templates and phrases, and the IDF of their words."""
 
     def __init__(self, templates: tuple, phrases: tuple, idf: dict[str, float], threshold: float):
         self.idf = {w.encode(): v for w, v in idf.items()}
         self.templates = [(label, text.encode().split(), phrase.encode().split()) for label, text, phrase in templates]
         self.phrases = [(text.encode().split(), label) for text, label in phrases]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, body, _) in enumerate(self.templates):
-            for k, w in enumerate(body):
-                self.postings[w].append((t, k))
         self.threshold = threshold
         #: A document that holds none of these can hold neither a phrase nor a key phrase.
         self.rarest = {max(p, key=lambda w: self.idf.get(w, 0)) for p in [x for x, _ in self.phrases] + [x for _, _, x in self.templates]}
@@ -76,27 +74,36 @@ class LicenceIndex:
             starts &= {p - k for p in where.get(w, ())}
         return sorted(starts)
 
+    @staticmethod
+    def agreeing(where: dict[bytes, list[int]], body: list[bytes]) -> int:
+        """Most words of the template that agree with one offset."""
+        votes: dict[int, int] = defaultdict(int)  # offset -> the template's positions, as bits
+        for k, w in enumerate(body):
+            for p in where.get(w, ()):
+                votes[p - k] |= 1 << k
+        most = 0
+        for o in list(votes):
+            bits = 0
+            for d in range(2 * SLACK + 1):
+                bits |= votes.get(o + d, 0)
+            most = max(most, bits.bit_count())
+        return most
+
     def scan(self, text: str | None) -> tuple:
         found = words(text)
         if self.rarest.isdisjoint(found):
             return len(found), 0, None, None, "", "", 0.0
         where: dict[bytes, list[int]] = defaultdict(list)
         for k, w in enumerate(found):
-            if w in self.postings or w in self.idf:
+            if w in self.idf:
                 where[w].append(k)
         base = [(p, label) for phrase, label in self.phrases for p in self.places(where, phrase)]
-        rare = sorted(where, key=lambda w: (-self.idf.get(w, 0), w))[:RARE_WORDS]
-        votes: dict[int, Counter] = defaultdict(Counter)
-        for w in rare:
-            for t, k in self.postings.get(w, ()):
-                votes[t].update(p - k for p in where[w])
         labels, score = {label for _, label in base}, 1.0 if base else 0.0
-        for t, (label, body, phrase) in enumerate(self.templates):
-            if not (t in votes and self.places(where, phrase)):
+        for label, body, phrase in self.templates:
+            if not self.places(where, phrase):
                 continue
-            in_reach = sum(w in rare for w in body)
-            agree = max(sum(votes[t][o + d] for d in range(-SLACK, SLACK + 1)) for o in votes[t])
-            share = min(1.0, agree / max(1, in_reach)) * min(1.0, in_reach / (0.5 * len(body)))
+            held = sum(w in where for w in body)
+            share = self.agreeing(where, body) / held * min(1.0, held / (0.5 * len(body)))
             if share >= self.threshold:
                 labels.add(label)
                 score = max(score, share)

@@ -291,3 +291,14 @@ def test_licence_template_without_a_base_phrase(spark):
     text = "Header. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."
     r = licenses.scan_licences(spark.createDataFrame([(1, text), (2, "permission is granted")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert (r[0].labels, r[0].base_labels, r[1].labels) == ("mit", "", "") and math.isclose(r[0].score, 1.0, abs_tol=0.4)
+
+
+def test_licence_notices_together(spark):
+    """Every notice that stands in a file is found, however many there are and whatever lies between them."""
+    notices = [t for t in licenses.TEMPLATES if t[0] != "mit" or "permission" in t[1]]
+    noise = " the of and to in this license software is may not with or copy public general without free under terms " * 40
+    text = noise.join(t[1] for t in notices)
+    rows = [(1, " ".join(t[1] for t in notices)), (2, text), (3, "permission is hereby granted free of charge" + noise)]
+    r = {x.doc_id: x.labels for x in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    every = ",".join(sorted({t[0] for t in notices}))
+    assert r[1] == r[2] == every and r[3] == ""
