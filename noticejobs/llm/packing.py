@@ -1,19 +1,24 @@
 """Lexical retrieval packing of documents into fixed token windows.
 
-The index is sharded by scan order: a task turns the documents of its partition into token ids, shard after
-shard (about ``SHARD_TOKENS`` tokens), so no text is shuffled and no shard outgrows a task. A
-document's full windows are sequences of their own; its remainder joins the shard's pool. An
-inverted index with BM25 weights over the pool (terms are token ids) is then used window by window: the
-longest unused remainder is the seed, the index returns its unused neighbours by score, and they
+Texts become token ids once. A document's full windows are sequences of their own; its remainder is written, and the
+document frequency of every term (a token id) and the mean length are taken over the remainders of the whole
+corpus. Each remainder is then placed by content: its key is its heaviest terms by BM25 weight, of those that
+another remainder holds too, and the remainders are dealt by ranges of that key. So copies and texts about the same
+rare terms meet wherever they lie in the table, at every size of it. A run of equal keys longer than a task's share
+is divided by doc_id, so no common key outgrows a task.
+
+Each shard (about ``SHARD_TOKENS`` tokens in key order) is an inverted index with the corpus-wide BM25 weights, used
+window by window: the longest unused remainder is the seed, the index returns its unused neighbours by score, and they
 fill the window greedily, whole while they fit; the best of those that do not fit is cut to fill what is
 left, and the rest of it stays in the pool. Only the last window of a shard can be short; it is cut into
 sequences whose lengths are powers of two, which need no padding.
 
 Ids of one piece are contiguous ids of its document; every id lies in exactly one piece.
-``sequence_id`` is the partition's number times 2**33 plus a count, so it does not depend on retries.
+``sequence_id`` is the partition's number times 2**33 plus a count, and 2**60 more for sequences of remainders, so it
+does not depend on retries.
 
 Defined results: a null or empty text has the end id alone; equal scores go to the earlier document of the
-shard; repeated rows are packed each; a null doc_id stays null.
+shard (by key, then doc_id); repeated rows are packed each; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -22,21 +27,25 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from noticejobs.llm.common import arrow_rows, slices, texts
+from noticejobs.llm.common import arrow_rows, slices, stored, texts
 
 WINDOW = 2048
-SHARD_TOKENS = 1_500_000
+#: Tokens of a shard, shards of a task, and terms of the key by which remainders are dealt.
+SHARD_TOKENS, TASK_SHARDS, KEY_TERMS = 1_500_000, 4, 3
 #: Pieces of text whose ids a worker remembers; beyond this it starts afresh.
 CACHE_PIECES = 700_000
 K1, B = 1.2, 0.75
 OUT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
+REMAINDERS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("rest", pa.binary())])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -93,33 +102,60 @@ class WordIds:
         return [np.frombuffer(b"".join(map(self.cache.__getitem__, x)), "<u4") for x in cut]
 
 
+class Corpus(NamedTuple):
+    """Statistics of all remainders: their number, mean length, and how many hold each term."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        idf = np.log(1 + (self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, self.mean)))
+
+    def key(self, ids: np.ndarray) -> list[int]:
+        """Heaviest terms that another remainder holds too; a term in over half of them says nothing."""
+        term, tf = counted(ids)
+        weight = self.weight(term, tf, len(ids))
+        weight[(self.df[term] < 2) | (2 * self.df[term] > self.n)] = 0
+        best = np.argsort(-weight, kind="stable")[:KEY_TERMS]
+        best = term[best[weight[best] > 0]].tolist()
+        return best + [-1] * (KEY_TERMS - len(best))
+
+
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms, in order, and how often each occurs."""
+    t = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(t, prepend=t[0] + 1)) if len(t) else np.zeros(0, np.int64)
+    return t[first].astype(np.int64), np.diff(first, append=len(t))
+
+
 class Pool:
-    """BM25 index of the remainders of one shard."""
+    """BM25 index of the remainders of one shard, with the corpus' statistics (default: the shard's own)."""
 
-    def __init__(self, parts: list[np.ndarray], vocabulary: int):
+    def __init__(self, parts: list[np.ndarray], vocabulary: int, corpus: Corpus | None = None):
         n = len(parts)
         doc, term, tf = [], [], []
         for k, ids in enumerate(parts):
-            t = np.sort(ids.astype(np.uint16 if vocabulary <= 65536 else np.uint32), kind="stable")
-            first = np.flatnonzero(np.diff(t, prepend=t[0] + 1)) if len(t) else np.zeros(0, np.int64)
-            doc.append(np.full(len(first), k, np.int32))
-            term.append(t[first].astype(np.int64))
-            tf.append(np.diff(first, append=len(t)))
+            t, count = counted(ids.astype(id_type(vocabulary)))
+            doc.append(np.full(len(t), k, np.int32))
+            term.append(t)
+            tf.append(count)
         self.terms = term
         doc, term, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, term, tf))
-        df = np.bincount(term, minlength=vocabulary)
-        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.df = np.bincount(term, minlength=vocabulary)
         length = np.array([len(x) for x in parts], float)
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, length.mean() if n else 1)))
-        order = np.argsort(term.astype(np.uint16) if vocabulary <= 65536 else term, kind="stable")
+        corpus = corpus or Corpus(n, length.mean() if n else 1, self.df)
+        self.telling = 2 * corpus.df <= corpus.n
+        weight = corpus.weight(term, tf, length[doc])
+        order = np.argsort(term.astype(id_type(vocabulary)), kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.end = np.cumsum(df)
-        self.df = df
+        self.end = np.cumsum(self.df)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score against the seed; terms in over half the pool say nothing."""
+        """Unused documents by falling score against the seed; terms in over half the corpus say nothing."""
         terms = self.terms[seed]
-        terms = terms[2 * self.df[terms] <= len(unused)]
+        terms = terms[self.telling[terms]]
         size = self.df[terms]
         at = np.arange(size.sum()) + np.repeat(self.end[terms] - np.cumsum(size), size)
         score = np.bincount(self.doc[at], self.weight[at], minlength=len(unused))
@@ -127,22 +163,23 @@ class Pool:
         return left[np.argsort(-score[left], kind="stable")]
 
 
-def pack_shard(docs: list[tuple[int | None, np.ndarray]], sequence: int, vocabulary: int, window: int = WINDOW) -> tuple[list[list], int]:
-    """Rows of OUT as columns for the ids of a shard's documents, and the next sequence number."""
+def id_type(vocabulary: int) -> type:
+    return np.uint16 if vocabulary <= 65536 else np.uint32
+
+
+def pack_shard(docs: list[tuple[int | None, int, int, np.ndarray]], sequence: int, vocabulary: int, window: int = WINDOW, corpus: Corpus | None = None) -> tuple[list[list], int]:
+    """Rows of OUT as columns for a shard's remainders (doc_id, doc_tokens, start, ids), and the next sequence number."""
     out: list[list] = [[] for _ in OUT.names]
 
-    def put(k: int, start: int, length: int, offset: int) -> None:
-        doc, ids = docs[k]
-        for column, value in zip(out, (doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), sequence, offset), strict=True):
+    def put(k: int, at: int, length: int, offset: int) -> None:
+        doc, total, start, ids = docs[k]
+        crc = zlib.crc32(ids[at : at + length].astype("<u4").tobytes())
+        for column, value in zip(out, (doc, start + at, length, crc, total, sequence, offset), strict=True):
             column.append(value)
 
-    start = np.array([len(ids) // window * window for _, ids in docs], np.int64)
-    for k, full in enumerate(start):
-        for at in range(0, full, window):
-            put(k, at, window, 0)
-            sequence += 1
-    left = np.array([len(ids) for _, ids in docs], np.int64) - start
-    pool = Pool([ids[s:] for (_, ids), s in zip(docs, start, strict=True)], vocabulary)
+    start = np.zeros(len(docs), np.int64)
+    left = np.array([len(ids) for *_, ids in docs], np.int64)
+    pool = Pool([ids for *_, ids in docs], vocabulary, corpus)
     unused = left > 0
     by_length = iter(np.argsort(-left, kind="stable").tolist())
     total = int(left.sum())
@@ -191,28 +228,87 @@ def pack_shard(docs: list[tuple[int | None, np.ndarray]], sequence: int, vocabul
 _encoders: dict[str, WordIds] = {}
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def encoded(docs: DataFrame, path: str, end_id: int, window: int, vocabulary: int) -> DataFrame:
+    """(doc_id, doc_tokens, crcs and first sequence of the full windows, start and ids of the remainder), written."""
+    schema = pa.schema([*REMAINDERS, ("crcs", pa.list_(pa.int64())), ("sequence", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = WordIds(path)
-        encoder = _encoders[path]
-        vocabulary = encoder.tokenizer.get_vocab_size() + 1
         sequence = TaskContext.get().partitionId() << 33
-        shard: list[tuple[int | None, np.ndarray]] = []
-        held = 0
         for batch in batches:
             for doc_ids, rows in slices(batch):
-                for doc, ids in zip(doc_ids, encoder.encode(rows), strict=True):
-                    shard.append((doc, np.append(ids, np.uint32(end_id)).astype("<u4")))
-                    held += len(ids) + 1
+                out: list[list] = [[] for _ in schema.names]
+                for doc, ids in zip(doc_ids, _encoders[path].encode(rows), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    full = len(ids) // window
+                    crcs = [zlib.crc32(ids[k * window : (k + 1) * window].tobytes()) for k in range(full)]
+                    for column, value in zip(out, (doc, len(ids), full * window, ids[full * window :].astype(id_type(vocabulary)).tobytes(), crcs, sequence), strict=True):
+                        column.append(value)
+                    sequence += full
+                yield arrow_rows(schema, out)
+
+    return stored(texts(docs).mapInArrow(run, "doc_id long, doc_tokens long, start long, rest binary, crcs array<long>, sequence long"))
+
+
+def statistics(remainders: DataFrame, vocabulary: int) -> Corpus:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
+        for batch in batches:
+            for rest in batch.column(0).to_pylist():
+                ids = np.frombuffer(rest, id_type(vocabulary))
+                df[counted(ids)[0]] += 1
+                n += 1
+                total += len(ids)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.append(held, [-1, -2]), "n": np.append(df[held], [n, total])}, schema=pa.schema([("term", pa.int64()), ("n", pa.int64())]))
+
+    # As many rows as the vocabulary at most.
+    got = dict(remainders.select("rest").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False, name=None))
+    n, total = int(got.pop(-1, 0)), int(got.pop(-2, 0))
+    df = np.zeros(vocabulary, np.int64)
+    df[np.fromiter(got.keys(), np.int64)] = np.fromiter(got.values(), np.int64)
+    return Corpus(n, total / max(1, n), df)
+
+
+def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    from tokenizers import Tokenizer
+
+    vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id) + 1
+    rows = encoded(docs, path, end_id, window, vocabulary)
+    full = rows.filter(F.size("crcs") > 0).select("doc_id", "doc_tokens", "sequence", F.posexplode("crcs").alias("k", "ids_crc32"))
+    number = F.col("k").cast("long")
+    full = full.select("doc_id", (number * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("sequence") + number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+
+    remainders = rows.filter(F.length("rest") > 0).select(*REMAINDERS.names)
+    corpus = statistics(remainders, vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+    names = [f"key{k}" for k in range(KEY_TERMS)]
+    keyed = pa.schema([*REMAINDERS, *((c, pa.int64()) for c in names)])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([shared.value.key(np.frombuffer(x, id_type(vocabulary))) for x in batch.column(3).to_pylist()], np.int64).reshape(-1, KEY_TERMS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in found.T)], schema=keyed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = (1 << 60) + (TaskContext.get().partitionId() << 33)
+        shard: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for doc, total, start, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard.append((doc, total, start, np.frombuffer(rest, id_type(vocabulary))))
+                held += len(shard[-1][3])
                 if held >= shard_tokens:
-                    out, sequence = pack_shard(shard, sequence, vocabulary, window)
+                    out, sequence = pack_shard(shard, sequence, vocabulary, window, shared.value)
                     yield arrow_rows(OUT, out)
                     shard, held = [], 0
         if shard:
-            out, sequence = pack_shard(shard, sequence, vocabulary, window)
+            out, sequence = pack_shard(shard, sequence, vocabulary, window, shared.value)
             yield arrow_rows(OUT, out)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    tasks = max(1, -(-int(corpus.n * corpus.mean) // (TASK_SHARDS * shard_tokens)))
+    dealt = remainders.mapInArrow(keys, "doc_id long, doc_tokens long, start long, rest binary, " + ", ".join(f"{c} long" for c in names))
+    dealt = dealt.repartitionByRange(tasks, *names, "doc_id").sortWithinPartitions(*names, "doc_id", "rest")
+    return full.unionByName(dealt.select(*REMAINDERS.names).mapInArrow(run, SCHEMA))

@@ -302,3 +302,21 @@ def test_licence_notices_together(spark):
     r = {x.doc_id: x.labels for x in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     every = ",".join(sorted({t[0] for t in notices}))
     assert r[1] == r[2] == every and r[3] == ""
+
+
+def test_packing_finds_neighbours_in_the_whole_table(spark):
+    """Texts about one thing share windows though they lie in different partitions and make up many shards."""
+    path = tokenizer_files.path("word_bpe_49k.json")
+    rng = np.random.default_rng(9)
+    topics = ["granite", "violin", "harbour", "orchid", "falcon", "copper", "lantern", "glacier"]
+    common = ["river", "stone", "bridge", "cloud", "paper", "window", "street", "garden"]
+    rows = [(k, " ".join(rng.permutation([*rng.choice(common, 12), *[topics[k % 8]] * 8]))) for k in range(256)]
+    table = spark.createDataFrame([r for r in sorted(rows, key=lambda r: rng.random())], "doc_id long, text string").repartition(8)
+    got = packing.pack(table, path, window=64, shard_tokens=800).collect()
+    windows, length = {}, Counter()
+    for r in got:
+        windows.setdefault(r.sequence_id, set()).add(r.doc_id)
+        length[r.doc_id] += r.length
+    assert all(length[k] == r.doc_tokens for k, r in ((r.doc_id, r) for r in got)) and len(length) == 256
+    several = [x for x in windows.values() if len(x) > 1]
+    assert len(several) > 50 and sum(len({k % 8 for k in x}) == 1 for x in several) > 0.8 * len(several)
