@@ -69,7 +69,7 @@ def keyword_retrieve(chunks: DataFrame, queries: DataFrame, k: int, key: str = "
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 256) -> DataFrame:
     """Best k chunks of every query by cosine. Queries travel as blocks; each pair of blocks is a matrix product
-    that keeps its own k best, so a query sends k rows a batch to the ranking."""
+    that keeps its own k best by rounded score, then chunk_id, so a query sends k rows a batch to the ranking."""
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
     n = max(1, -(-queries.count() // block))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
@@ -79,13 +79,15 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 256)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q, c in zip(batch["q"], batch["c"], strict=True):
+                c = sorted(c, key=lambda x: x["chunk_id"])  # the stable sort below leaves ties in this order
                 ids = np.array([x["chunk_id"] for x in c])
                 score = unit(np.array([x["vector"] for x in q], float)) @ unit(np.array([x["vector"] for x in c], float)).T
-                best = np.argsort(-score, axis=1, kind="stable")[:, : k + 8]
-                yield pd.DataFrame({"query_id": np.repeat([x["query_id"] for x in q], best.shape[1]), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+                rounded = np.round(score, 9)
+                best = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat([x["query_id"] for x in q], best.shape[1]), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel(), "rounded": np.take_along_axis(rounded, best, 1).ravel()})
 
-    scored = pairs.mapInPandas(run, "query_id long, chunk_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    scored = pairs.mapInPandas(run, "query_id long, chunk_id long, score double, rounded double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("rounded"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
 
 

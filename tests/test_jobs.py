@@ -76,3 +76,10 @@ def test_corrupt_rows_are_kept_apart(spark, tmp_path):
     export = good.withColumn("tags", F.array(F.lit("a,b"), F.lit('"q"')))
     files.export_table(export, str(tmp_path / "csv"), "csv")
     assert files.read_notices(spark, str(tmp_path / "csv"), "csv").first().tags == ["a,b", '"q"']
+
+
+def test_equal_vectors_rank_by_id(spark):
+    chunks = spark.createDataFrame([(k, [1.0, 2.0]) for k in reversed(range(3000))], "chunk_id long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(7, [2.0, 4.0])], "query_id long, vector array<double>")
+    got = rag.vector_topk(queries, chunks, 10).orderBy("rank").collect()
+    assert [(r["rank"], r.chunk_id) for r in got] == [(k + 1, k) for k in range(10)]
