@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticejobs.operators.activity import current_saved, popular_notices, unseen_notices
+from noticejobs.operators.activity import current_saved, popular_notices, seen, unseen_notices
 from noticejobs.sources.shared import materialized
 
 
@@ -83,17 +83,38 @@ def related_questions(messages: DataFrame, k: int, max_frequency: int = 50) -> D
     return top_k(both_ways(pairs, "jaccard"), "a", [F.desc("jaccard"), F.col("b")], k).select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), "jaccard")
 
 
-def recommend(users: DataFrame, notices: DataFrame, activities: DataFrame, rules: DataFrame, k: int, as_of: str, candidates: int = 20) -> DataFrame:
-    """Best k unseen notices of each user, with the reason. Candidates are the newest of every category."""
+def enough_candidates(taste: DataFrame, published: DataFrame, activities: DataFrame, k: int) -> DataFrame:
+    """Rows of ``taste`` with published notices of their category, enough of them for the best k unseen ones.
+
+    Within a class (category, high priority, trending) all notices have the same score for a user and go by id. So the
+    first k, and one more for each that the user has seen there, hold the class' k best unseen ones.
+    """
+    kinds = ["category", "high", "trending"]
+    classed = published.filter("category is not null").withColumns({"high": F.coalesce(F.col("priority") == "high", F.lit(False)), "trending": F.coalesce("trending", F.lit(0))})
+    counts = seen(activities).join(classed.select("notice_id", *kinds), "notice_id").groupBy("user_id", *kinds).agg(F.count("*").alias("seen_in"))
+    depth = k + (counts.agg(F.max("seen_in")).first()[0] or 0)  # a constant, so that only so many rows of a class are sorted in one place
+    ranked = classed.withColumn("at", F.row_number().over(Window.partitionBy(*kinds).orderBy("notice_id"))).filter(F.col("at") <= depth)
+    wanted = taste.join(classed.select(*kinds).distinct(), "category").join(counts, ["user_id", *kinds], "left")
+    wanted = wanted.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("seen_in", F.lit(0)).cast("int"))))
+    return wanted.join(ranked, [*kinds, "at"]).drop("at", "seen_in", "high", "trending")
+
+
+def recommend(users: DataFrame, notices: DataFrame, activities: DataFrame, rules: DataFrame, k: int, as_of: str, candidates: int | None = None) -> DataFrame:
+    """Best k unseen notices of each user, with the reason: of all published ones, or only of the newest ``candidates`` of every category."""
     meta = notices.select(F.col("id").alias("notice_id"), "category")
     per_category = lambda events, name: events.join(meta, "notice_id").groupBy("user_id", "category").agg(F.count("*").alias(name))
     viewed = per_category(activities.filter("type = 'view'").select("user_id", F.col("related_id").alias("notice_id")), "views_in")
     saved = per_category(current_saved(activities), "saves_in")
     taste = viewed.join(saved, ["user_id", "category"], "full_outer").select("user_id", "category", F.coalesce("views_in", F.lit(0)).alias("views_in"), F.coalesce("saves_in", F.lit(0)).alias("saves_in"))
-    top = top_k(notices.filter("status = 'published'"), "category", [F.desc("published_at"), F.col("id")], candidates).select(F.col("id").alias("notice_id"), "category", "priority", "organization")
+    published = notices.filter("status = 'published'")
     trend = popular_notices(activities, 10, as_of, 7).select("notice_id", F.lit(1).alias("trending"))
     wanted = rules.filter("enabled and type = 'category'").select("user_id", F.explode("conditions").alias("category")).distinct().withColumn("ruled", F.lit(1))
-    base = taste.join(top, "category").join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    taste = taste.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    shown = [F.col("id").alias("notice_id"), "category", "priority", "organization"]
+    if candidates is None:
+        base = enough_candidates(taste, published.select(*shown).join(trend, "notice_id", "left"), activities, k)
+    else:
+        base = taste.join(top_k(published, "category", [F.desc("published_at"), F.col("id")], candidates).select(*shown), "category")
     scored = unseen_notices(base, activities).join(trend, "notice_id", "left").join(wanted, ["user_id", "category"], "left")
     terms = {"viewed": F.least("views_in", F.lit(10)), "saved": 3 * F.least("saves_in", F.lit(10)), "rule": 20 * F.coalesce("ruled", F.lit(0)), "priority": F.when(F.col("priority") == "high", 5).otherwise(0), "trending": F.coalesce("trending", F.lit(0))}
     most = F.greatest(*terms.values())

@@ -152,7 +152,7 @@ def t4_sort_saved(spark, d):
     q AS (SELECT *, a + b + c + e + f AS score, greatest(a, b, c, e, f) AS m FROM p), z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, notice_id) AS rank FROM q)
     SELECT user_id, CAST(rank AS BIGINT) AS rank, notice_id, CAST(score AS BIGINT) AS score, CASE WHEN a = m THEN 'viewed' WHEN b = m THEN 'saved' WHEN c = m THEN 'rule' WHEN e = m THEN 'priority' ELSE 'trending' END AS reason FROM z WHERE rank <= 5""", "notices", "activities", "users", "alert_rules")
 def j12_recommend(spark, d):
-    return R.recommend(A.users(spark, d), A.notices(spark, d), A.activities(spark, d), A.alert_rules(spark, d), 5, EVENTS_AS_OF).select("user_id", F.col("rank").cast("long"), "notice_id", "score", "reason")
+    return R.recommend(A.users(spark, d), A.notices(spark, d), A.activities(spark, d), A.alert_rules(spark, d), 5, EVENTS_AS_OF, candidates=20).select("user_id", F.col("rank").cast("long"), "notice_id", "score", "reason")
 
 
 @query("SELECT id, username FROM users WHERE contains(lower(username), '00000001') AND role = 'user' AND status = 'active'", "users")

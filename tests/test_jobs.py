@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from noticejobs.operators import activity, admin, alerts, ingest, notices, rag
+from noticejobs.operators import activity, admin, alerts, ingest, notices, rag, recommend
 from noticejobs.sources import files
 
 RULES = "id int, user_id int, type string, conditions array<string>, enabled boolean"
@@ -83,3 +83,27 @@ def test_equal_vectors_rank_by_id(spark):
     queries = spark.createDataFrame([(7, [2.0, 4.0])], "query_id long, vector array<double>")
     got = rag.vector_topk(queries, chunks, 10).orderBy("rank").collect()
     assert [(r["rank"], r.chunk_id) for r in got] == [(k + 1, k) for k in range(10)]
+
+
+def test_recommendations_reach_beyond_the_newest(spark):
+    start = dt.datetime(2026, 1, 1)
+    rows = [(k, "exams" if k % 2 else "tenders", "high" if k in (3, 90) else "normal", "published", start + dt.timedelta(hours=k), "o") for k in range(1, 101)]
+    table = spark.createDataFrame(rows, "id int, category string, priority string, status string, published_at timestamp, organization string")
+    users = spark.createDataFrame([(1,), (2,)], "id int")
+    late = start + dt.timedelta(days=5)
+    events = [(k, 1, "view", k, late) for k in range(55, 101)] + [(k, 1, "view", k, late) for k in (3, 5)] + [(200, 2, "view", 99, late), (201, 2, "view", 98, late)]
+    acts = spark.createDataFrame(events, "id int, user_id int, type string, related_id int, timestamp timestamp")
+    rules = spark.createDataFrame([(1, 2, "category", ["tenders"], True)], "id int, user_id int, type string, conditions array<string>, enabled boolean")
+    got = {}
+    for r in recommend.recommend(users, table, acts, rules, 5, "2026-01-06 12:00:00").collect():
+        got.setdefault(r.user_id, []).append((r["rank"], r.notice_id, r.score))
+    views = {}
+    for _, _, _, n, _ in events:
+        views[n] = views.get(n, 0) + 1
+    trending = sorted(views, key=lambda n: (-views[n], n))[:10]
+    for user in (1, 2):
+        saw = {n for _, u, _, n, _ in events if u == user}
+        mine = [c for n, c, *_ in rows if n in saw]
+        scores = {n: min(mine.count(c), 10) + 20 * (user == 2 and c == "tenders") + 5 * (p == "high") + (n in trending) for n, c, p, *_ in rows if n not in saw and c in mine}
+        best = sorted(scores, key=lambda n: (-scores[n], n))[:5]
+        assert sorted(got[user]) == [(j + 1, n, scores[n]) for j, n in enumerate(best)]
