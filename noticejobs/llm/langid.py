@@ -40,7 +40,8 @@ def normalised(text: str) -> str:
 
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS) -> dict[str, str]:
     """Labelled text for each language: whole documents in hash order until ``sample_chars`` is reached."""
-    rows = docs.filter("lang is not null").select("doc_id", F.col("lang").alias("sample_lang"), F.xxhash64("doc_id").alias("h"))
+    letters = F.substring("text", 1, sample_chars).rlike(r"\p{L}")  # a text without letters takes no place in the sample
+    rows = docs.filter(F.col("lang").isNotNull() & letters).select("doc_id", F.col("lang").alias("sample_lang"), F.xxhash64("doc_id").alias("h"))
     order = Window.partitionBy("sample_lang").orderBy("h", "doc_id")
     chosen = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_docs)
     # At most sample_docs rows a language: small by construction.

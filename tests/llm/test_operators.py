@@ -320,3 +320,9 @@ def test_packing_finds_neighbours_in_the_whole_table(spark):
     assert all(length[k] == r.doc_tokens for k, r in ((r.doc_id, r) for r in got)) and len(length) == 256
     several = [x for x in windows.values() if len(x) > 1]
     assert len(several) > 50 and sum(len({k % 8 for k in x}) == 1 for x in several) > 0.8 * len(several)
+
+
+def test_texts_without_letters_take_no_place_in_the_sample(spark):
+    rows = [(k, [None, "", "12 34"][k % 3], "xx") for k in range(200)] + [(1000, "ein wort", "xx")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(table, sample_docs=1) == {"xx": " ein wort"}
