@@ -3,16 +3,22 @@
 Each task keeps the distinct pre-tokens of its partition and encodes those it has not met yet in a
 DuckDB database in memory: a recursive query holds (word, position, token) rows, joins neighbours with
 the merge table and contracts the leftmost pair of minimum rank of every word, until no word has
-a pair left; an ordered aggregate over the token rows gives each word's ids, another its decoded bytes.
-The ids of a text are those of its pre-tokens in order, its decoded bytes likewise.
+a pair left; an ordered aggregate over the token rows gives each word's ids. The ids of a text are those
+of its pre-tokens in order. Decoding joins the ids of whole texts with the vocabulary and aggregates their
+bytes in order, ``DECODE_TOKENS`` ids at a time.
 
 A text is first cut before every blank that follows a non-blank, which is always a boundary of the
-pattern, so that the pattern itself runs once over each distinct piece.
+pattern, so that the pattern itself runs once over each distinct piece. Letters, digits and white space are what
+the library's own pattern engine takes for them: characters on which the two engines' tables
+differ are matched through a stand-in of the right class.
 
-A pre-token of more than ``LONG_BYTES`` bytes (one recursion step a merge would be quadratic) is merged
-by a heap of pairs, with the same rule and result. Nothing is cut short.
+One recursion step a merge is quadratic in a pre-token's length, so pre-tokens of more than ``SHORT_BYTES`` bytes
+contract all places of their minimum-rank pair in a step (a merged token only takes part in pairs of higher
+rank, so the result is the same), and those of more than ``LONG_BYTES`` bytes, which only unbroken runs of one class
+of characters can be, are merged by a heap of pairs, with the same rule and result. Nothing is cut short.
 
-Defined results: null texts count as empty; an empty text has no ids; repeated rows are encoded each.
+Defined results: null texts count as empty; an empty text has no ids; repeated rows are encoded each and columns other
+than doc_id and text are ignored; an empty table gives an empty result; equal ranks in a word go to the leftmost pair.
 """
 
 from __future__ import annotations
@@ -20,8 +26,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,38 +35,48 @@ from pyspark.sql import DataFrame
 
 from noticejobs.llm.common import arrow_rows, slices, texts
 
-LONG_BYTES = 200
+SHORT_BYTES, LONG_BYTES = 200, 4096
 #: Pre-tokens and pieces a worker remembers; beyond this it starts afresh.
-CACHE_WORDS, CACHE_PIECES = 600_000, 400_000
-#: Words encoded by one recursive query.
-WORDS_PER_QUERY = 40_000
-DUCKDB_MEMORY = "256MB"
+CACHE_WORDS, CACHE_PIECES = 600_000, 500_000
+#: Words encoded by one recursive query, bytes of long ones, and ids decoded by one query: no query needs to spill.
+WORDS_PER_QUERY, BYTES_PER_QUERY, DECODE_TOKENS = 40_000, 8192, 1_000_000
+DUCKDB_MEMORY = "384MB"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-#: A token row is (place, next, tok): places are word * 256 + offset, next is the offset of the word's next
-#: token or 0. A word's best pair is one number: merged token, offsets of the pair and of what follows it. Every
+#: A token row is (word, place, next, tok, after): next is the place of the word's next token or 0, after that
+#: token. A word's best pair is one number: merged token, place of the left and of the right token. Every
 #: step emits the words it contracted, so a word's rows of its last step are its tokens.
 ENCODE = """
-CREATE OR REPLACE TABLE steps AS
-WITH RECURSIVE t(step, place, next, tok) AS (
-    SELECT 0, place, next, tok FROM start
+WITH RECURSIVE t(step, word, place, next, tok, after) AS (
+    SELECT 0::SMALLINT, word, place, next, tok, after FROM start
     UNION ALL
     (WITH best AS (
-        SELECT a.place >> 8 AS word, min((m.merged << 24) + ((a.place & 255) << 16) + (a.next << 8) + b.next) AS pair
-        FROM t a JOIN t b ON b.place = (a.place - (a.place & 255)) + a.next
-        JOIN merges m ON m.pair = (a.tok << 20) + b.tok WHERE a.next > 0 GROUP BY 1)
-    SELECT step + 1, place,
-        CASE WHEN (place & 255) = ((pair >> 16) & 255) THEN pair & 255 ELSE next END,
-        CASE WHEN (place & 255) = ((pair >> 16) & 255) THEN pair >> 24 ELSE tok END
-    FROM t JOIN best ON word = place >> 8 WHERE (place & 255) <> ((pair >> 8) & 255))
-)
-SELECT * FROM t
+        SELECT word, min((m.merged::BIGINT << 16) + (place::BIGINT << 8) + next) AS pair
+        FROM t JOIN merges m ON m.pair = (tok::BIGINT << 20) + after WHERE next > 0 GROUP BY 1),
+    contracted AS (
+        SELECT best.word, (pair >> 16)::INTEGER AS merged, ((pair >> 8) & 255)::SMALLINT AS l, b.place AS r, b.next AS right_next, b.after AS right_after
+        FROM best JOIN t b ON b.word = best.word AND b.place = (pair & 255))
+    SELECT (step + 1)::SMALLINT, t.word, place, CASE WHEN place = l THEN right_next ELSE next END, CASE WHEN place = l THEN merged ELSE tok END,
+        CASE WHEN place = l THEN right_after WHEN next = l AND l > 0 THEN merged ELSE after END
+    FROM t JOIN contracted c ON c.word = t.word WHERE place <> r)
+), last AS (SELECT word, max(step) AS step FROM t GROUP BY 1)
+SELECT word, list(tok ORDER BY place) AS tokens FROM t JOIN last USING (word, step) GROUP BY word
 """
-DECODE = """
-WITH last AS (SELECT place >> 8 AS word, max(step) AS step FROM steps GROUP BY 1)
-SELECT last.word, list({'tok': s.tok, 'bytes': v.bytes} ORDER BY s.place) AS tokens
-FROM steps s JOIN last ON last.word = s.place >> 8 AND last.step = s.step JOIN vocabulary v ON v.tok = s.tok GROUP BY last.word
+#: All places of a word's best pair at once; in a run of overlapping places, every second one starting with the first.
+ENCODE_LONG = """
+WITH RECURSIVE t(step, word, place, tok) AS (
+    SELECT 0, word, place, tok FROM start
+    UNION ALL
+    (WITH pairs AS (SELECT *, lead(tok) OVER w AS after, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY word ORDER BY place)),
+        ranked AS (SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY word) AS best FROM pairs p LEFT JOIN merges m ON m.pair = (p.tok << 20) + p.after),
+        runs AS (SELECT *, n - row_number() OVER (PARTITION BY word, merged = best ORDER BY n) AS run FROM ranked WHERE best IS NOT NULL),
+        chosen AS (SELECT *, merged IS NOT DISTINCT FROM best AND row_number() OVER (PARTITION BY word, merged = best, run ORDER BY n) % 2 = 1 AS hit FROM runs),
+        gone AS (SELECT *, lag(hit) OVER (PARTITION BY word ORDER BY n) AS taken FROM chosen)
+    SELECT step + 1, word, place, CASE WHEN hit THEN merged ELSE tok END FROM gone WHERE taken IS NOT TRUE)
+)
+SELECT word, list(tok ORDER BY place) AS tokens FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) USING (word, step) GROUP BY word
 """
+DECODE = "SELECT doc, list(bytes ORDER BY place) AS bytes FROM ids JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc"
 
 
 class BytePairs:
@@ -71,15 +85,39 @@ class BytePairs:
 
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, tuple[bytes, bytes]] = {}  # pre-token -> ids, decoded bytes
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": os.path.join(tempfile.gettempdir(), "duckdb")})
+        self.forget()
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], rank) for t, rank in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.load("merges", pa.table({"pair": pa.array([(l << 20) + r for l, r, _ in pairs], pa.int64()), "merged": pa.array([m for _, _, m in pairs], pa.int64())}))
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
-        self.load("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int64()), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
+        self.load("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())}))
+        self.classes()
+
+    def forget(self) -> None:
+        self.words: dict[str, bytes] = {}  # pre-token -> ids
+        self.bare: dict[str, int] = {}  # a text's first piece -> its number
+        self.after: dict[str, int] = {}  # a piece without the blank before it -> its number
+        self.pool, self.begin, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def classes(self) -> None:
+        """Characters that the pattern engines class differently, each with a stand-in of the library's class."""
+        import tiktoken
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        one_byte = {bytes([k]): k for k in range(256)}
+        of = []
+        for pattern in (r"\p{L}", r"\p{N}", r"\s"):
+            library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=one_byte, special_tokens={})
+            of.append((set(bytes(library.encode_ordinary(every)).decode()), set(regex.findall(pattern, every))))
+        letters = {c for c in every if c.isalpha()}
+        differ = {c for theirs, ours in of for c in theirs ^ ours} | (letters ^ of[0][0])
+        sample = [min(theirs & ours - {"'"}, default="") for theirs, ours in of]
+        kind = lambda c: next((s for s, (theirs, _) in zip(sample, of, strict=True) if c in theirs), "~")
+        self.stand_in = {ord(c): kind(c) for c in sorted(differ)}
+        self.differs = frozenset(differ)
+        spaces = sorted({c for c in every if c.isspace()} | of[2][0])
+        self.blanks = [c + " " for c in spaces if c.isascii()], [c + " " for c in spaces]
 
     def load(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
@@ -87,28 +125,38 @@ class BytePairs:
         self.db.unregister("incoming")
 
     def encode_words(self, words: list[str]) -> None:
-        """Put the ids and decoded bytes of words into the cache, by recursive queries."""
+        """Put the ids of words into the cache, by recursive queries."""
         raw = [w.encode() for w in words]
-        short = [k for k, b in enumerate(raw) if len(b) <= LONG_BYTES]
+        short = [k for k, b in enumerate(raw) if len(b) <= SHORT_BYTES]
         for begin in range(0, len(short), WORDS_PER_QUERY):
             part = short[begin : begin + WORDS_PER_QUERY]
             size = np.array([len(raw[k]) for k in part])
-            offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            place = (np.repeat(np.array(part), size) << 8) + offset
-            self.load("start", pa.table({"place": place, "next": np.where(offset + 1 < np.repeat(size, size), offset + 1, 0), "tok": self.single[np.frombuffer(b"".join(raw[k] for k in part), np.uint8)]}))
-            self.db.execute(ENCODE)
-            got = self.db.sql(DECODE).to_arrow_table()
-            tokens = got["tokens"].combine_chunks()
-            ends, rows = tokens.offsets.to_numpy(), tokens.values
-            ids = rows.field("tok").to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            decoded = rows.field("bytes").cast(pa.binary())
-            at, data = np.frombuffer(decoded.buffers()[1], np.int32)[ends].tolist(), decoded.buffers()[2].to_pybytes()
-            for j, (k, a, b) in enumerate(zip(got["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                self.words[words[k]] = ids[4 * a : 4 * b], data[at[j] : at[j + 1]]
+            place, width = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.repeat(size, size)
+            tok = self.single[np.frombuffer(b"".join(raw[k] for k in part), np.uint8)].astype(np.int32)
+            last = place + 1 == width
+            self.load("start", pa.table({
+                "word": np.repeat(np.array(part, np.int32), size), "place": place.astype(np.int16), "next": np.where(last, 0, place + 1).astype(np.int16),
+                "tok": tok, "after": np.where(last, -1, np.roll(tok, -1)).astype(np.int32),
+            }))
+            self.keep(words, self.db.sql(ENCODE).to_arrow_table())
+        part, held = [], 0
+        for k in [*(k for k, b in enumerate(raw) if SHORT_BYTES < len(b) <= LONG_BYTES), None]:
+            if part and (k is None or held + len(raw[k]) > BYTES_PER_QUERY):
+                size = np.array([len(raw[j]) for j in part])
+                self.load("start", pa.table({"word": np.repeat(np.array(part), size), "place": np.arange(size.sum()), "tok": self.single[np.frombuffer(b"".join(raw[j] for j in part), np.uint8)]}))
+                self.keep(words, self.db.sql(ENCODE_LONG).to_arrow_table())
+                part, held = [], 0
+            if k is not None:
+                part.append(k)
+                held += len(raw[k])
         for k, b in enumerate(raw):
             if len(b) > LONG_BYTES:
-                found = self.merge_long(b)
-                self.words[words[k]] = b"".join(x.to_bytes(4, "little") for x in found), b"".join(self.bytes_of[x] for x in found)
+                self.words[words[k]] = np.array(self.merge_long(b), "<u4").tobytes()
+
+    def keep(self, words: list[str], got: pa.Table) -> None:
+        tokens = got["tokens"].combine_chunks()
+        ids, ends = tokens.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), tokens.offsets.to_numpy() * 4
+        self.words.update((words[k], ids[a:b]) for k, a, b in zip(got["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
     def merge_long(self, b: bytes) -> list[int]:
         """Leftmost minimum-rank contraction of one long word, with a heap of pairs over a linked list."""
@@ -130,48 +178,93 @@ class BytePairs:
                     heapq.heappush(heap, (r, a))
         return [self.ranks[t] for t in token if t is not None]
 
-    def learn_pieces(self, new: list[str]) -> None:
-        # A blank and letters are one match; so is one mark after them.
-        found = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else [p[:-1], p[-1]] if p[1:-1].isalpha() and p[-1] in ".,!?" and (p[0] == " " or p[0].isalpha()) else self.pattern.findall(p) for p in new}
-        missing = {w for ws in found.values() for w in ws if w not in self.words}
+    def matches(self, piece: str) -> list[str]:
+        """The pattern's matches. A blank and letters are one match; so is one mark after them."""
+        if not piece.isascii() and not self.differs.isdisjoint(piece):
+            return [piece[m.start() : m.end()] for m in self.pattern.finditer(piece.translate(self.stand_in))]
+        head, last = piece[:1], piece[-1:]
+        if head == " " or head.isalpha():
+            if piece[1:].isalpha():
+                return [piece]
+            if last in ".,!?" and piece[1:-1].isalpha():
+                return [piece[:-1], last]
+        return self.pattern.findall(piece)
+
+    def learn(self, bare: set[str], after: set[str]) -> None:
+        """Number new pieces and put their ids into the pool."""
+        found = [self.matches(p) for p in bare] + [[" " + p] if p.isascii() and p.isalpha() else self.matches(" " + p) for p in after]
+        missing = {w for ws in found for w in ws if w not in self.words}
         if len(self.words) + len(missing) > CACHE_WORDS:
             self.words.clear()
-            missing = {w for ws in found.values() for w in ws}
+            missing = {w for ws in found for w in ws}
         if missing:
             self.encode_words(sorted(missing))
-        for piece, ws in found.items():
-            got = [self.words[w] for w in ws]
-            self.pieces[piece] = b"".join(x for x, _ in got), b"".join(x for _, x in got)
+        ids = [self.words[ws[0]] if len(ws) == 1 else b"".join([self.words[w] for w in ws]) for ws in found]
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(count) - count)
+        number = len(self.count)
+        self.count = np.append(self.count, count)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4"))
+        self.bare.update(zip(bare, range(number, number + len(bare))))
+        self.after.update(zip(after, range(number + len(bare), number + len(ids))))
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces of a text, cut before each blank that follows a character which is not white space."""
+    def cut(self, text: str) -> list[str]:
+        """A text's first piece, and the others without the blank before them; no piece starts with two characters of white space."""
         parts = text.split(" ")
-        if "" not in parts and not any(p[-1].isspace() for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]]
+        if not any(b in text for b in self.blanks[not text.isascii()]):
+            return parts
         out = [parts[0]]
         for p in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
+            before = out[-1][-1:] or (" " if len(out) > 1 else "")
+            if before and not before.isspace():
+                out.append(p)
             else:
                 out[-1] += " " + p
-        return [x for x in out if x]
+        return out
+
+    def ids(self, rows: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        cut = [self.cut(x) if x else [""] for x in rows]
+        first, rest = [x[0] for x in cut], [p for x in cut for p in x[1:]]
+        bare, after = set(first).difference(self.bare), set(rest).difference(self.after)
+        if len(self.count) + len(bare) + len(after) > CACHE_PIECES:
+            words = self.words
+            self.forget()
+            self.words = words
+            bare, after = set(first), set(rest)
+        self.learn(bare, after)
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        start = np.cumsum(size) - size
+        piece = np.empty(size.sum(), np.int64)
+        others = np.ones(len(piece), bool)
+        others[start] = False
+        piece[start] = np.fromiter(map(self.bare.__getitem__, first), np.int64, len(first))
+        piece[others] = np.fromiter(map(self.after.__getitem__, rest), np.int64, len(rest))
+        count = self.count[piece]
+        total = np.cumsum(count)
+        ids = self.pool[np.repeat(self.begin[piece] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.add.reduceat(count, start) if len(start) else np.zeros(0, np.int64)
+
+    def decoded(self, ids: np.ndarray, size: np.ndarray) -> list[str]:
+        """SHA-256 of each text's decoded bytes: an ordered aggregation over (text, place, id) rows."""
+        sums = [hashlib.sha256() for _ in size]
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        for k in range(0, len(ids), DECODE_TOKENS):
+            part = slice(k, k + DECODE_TOKENS)
+            self.load("ids", pa.table({"doc": doc[part], "place": np.arange(len(ids[part]), dtype=np.int32), "tok": ids[part].astype(np.int32)}))
+            got = self.db.sql(DECODE).to_arrow_table()
+            lists = got["bytes"].combine_chunks()
+            pieces = lists.values.cast(pa.binary())
+            data = memoryview(pieces.buffers()[2] or b"")
+            at = np.frombuffer(pieces.buffers()[1], np.int32)[lists.offsets.to_numpy() + pieces.offset].tolist()
+            for n, a, b in zip(got["doc"].to_pylist(), at[:-1], at[1:], strict=True):
+                sums[n].update(data[a:b])
+        return [x.hexdigest() for x in sums]
 
     def encode(self, rows: list[str | None]) -> tuple[list, list, list]:
-        cut = [self.cut(x) if x else [] for x in rows]
-        new = list({p for x in cut for p in x}.difference(self.pieces))
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.pieces.clear()
-            new = list({p for x in cut for p in x})
-        self.learn_pieces(new)
-        n, ids_sha, decoded_sha = [], [], []
-        for x in cut:
-            got = list(map(self.pieces.__getitem__, x))
-            ids = b"".join([a for a, _ in got])
-            n.append(len(ids) // 4)
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
-            decoded_sha.append(hashlib.sha256(b"".join([b for _, b in got])).hexdigest())
-        return n, ids_sha, decoded_sha
+        ids, size = self.ids(rows)
+        raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * np.cumsum(size)).tolist()
+        return size.tolist(), [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip([0, *ends[:-1]], ends)], self.decoded(ids, size)
 
 
 _coders: dict[tuple[str, str], BytePairs] = {}

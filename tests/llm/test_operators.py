@@ -171,6 +171,25 @@ def test_byte_bpe_equals_the_library(docs, empty):
     assert byte_bpe.encode_decode(empty, path, pattern).count() == 0
 
 
+def test_byte_bpe_on_awkward_strings():
+    """Random strings, letters on which pattern engines differ, and pre-tokens of every length class."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = tokenizer_files.path("byte_bpe_multi_50k.tiktoken"), tokenizer_files.PATTERN
+    coder = byte_bpe.BytePairs(path, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = np.random.default_rng(11)
+    stock = [" ", "  ", "\n", "\t", "\u2003", "\xa0", "\x1c", "\u200b", "'s", "'ll", "é", "\ua7f1", "\u0345", "٣", "²", "日本", "x" * 150, "ab", ".", "!!", "🎉", "\r\n", "\x85", "ↀ", "\u1c8a", "1", "23", "_", "ß" * 130]
+    texts = ["".join(rng.choice(stock, rng.integers(0, 25))) for _ in range(1500)] + [f"{chr(k)} a{chr(k)}b {chr(k)}{chr(k)}" for k in coder.stand_in if k % 50 == 0]
+    texts += ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (199, 200, 201, 500, 4096, 4097)] + ["z" * 200, "z" * 201, "zq" * 3000, " " * 300]
+    n, ids, decoded = coder.encode(texts)
+    for k, text in enumerate(texts):
+        right = library.encode_ordinary(text)
+        assert n[k] == len(right) and ids[k] == hashlib.sha256(np.array(right, "<u4").tobytes()).hexdigest(), text[:80]
+        assert decoded[k] == hashlib.sha256(text.encode()).hexdigest()
+    coder.forget()  # as when the cache is full
+    assert coder.encode(texts)[1] == ids
+
+
 def luhn(s):
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
