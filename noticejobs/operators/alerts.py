@@ -6,6 +6,8 @@ of many rules are compared with a notice once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from noticejobs.functions import scalars as S
 KEYWORD_FIELDS = ("title", "ai_summary", "description", "organization", "content")
 #: Distinct keywords one array holds; more are dealt to several arrays.
 KEYWORDS_PER_ARRAY = 2000
+#: Keywords that are broadcast at most, and tasks that share an array otherwise.
+BROADCAST_KEYWORDS, SALTS = 100_000, 64
 
 
 def rule_conditions(rules: DataFrame, kind: str) -> DataFrame:
@@ -37,15 +41,24 @@ def match_organization_rules(notices: DataFrame, rules: DataFrame) -> DataFrame:
 
 def match_keyword_rules(notices: DataFrame, rules: DataFrame, mode: str = "any") -> DataFrame:
     """Literal containment in any searched field. Each notice meets every distinct keyword once, in arrays of
-    bounded length; the keywords found join the rules by equality."""
+    bounded length; the keywords found join the rules by equality. The arrays are broadcast up to ``BROADCAST_KEYWORDS``
+    keywords; of more, each is dealt to ``SALTS`` tasks, as all notices meet it."""
     conditions = rule_conditions(rules, "keyword")
-    keywords = conditions.select("condition").distinct().withColumn("deal", F.pmod(F.xxhash64("condition"), F.greatest(F.lit(1), F.lit(keyword_arrays(conditions)))))
-    arrays = keywords.groupBy("deal").agg(F.sort_array(F.collect_list("condition")).alias("keywords"))
+    distinct = conditions.select("condition").distinct()
+    total = distinct.count()
+    n = max(1, -(-total // KEYWORDS_PER_ARRAY))
+    arrays = distinct.groupBy(F.pmod(F.xxhash64("condition"), F.lit(n)).alias("deal")).agg(F.sort_array(F.collect_list("condition")).alias("keywords"))
     have = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in KEYWORD_FIELDS if c in notices.columns]
     have += [F.coalesce(F.lower(F.array_join("tags", "\n")), F.lit(""))] if "tags" in notices.columns else []
-    text = notices.select(F.col("id").alias("notice_id"), "published_at", F.concat_ws("\n", *have).alias("searched"), F.lit(1).alias("one"))
-    dealt = text.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(keyword_arrays(conditions) - 1)))).withColumn("deal", F.col("deal").cast("long"))
-    hits = dealt.join(arrays, "deal").select("notice_id", "published_at", F.explode(F.expr("filter(keywords, k -> contains(searched, k))")).alias("condition"))
+    text = notices.select(F.col("id").alias("notice_id"), "published_at", F.concat_ws("\n", *have).alias("searched"))
+    dealt = text.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("deal", F.col("deal").cast("long"))
+    if total <= BROADCAST_KEYWORDS:
+        met = dealt.join(F.broadcast(arrays), "deal")
+        conditions = F.broadcast(conditions) if conditions.count() <= BROADCAST_KEYWORDS else conditions
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = dealt.withColumn("salt", F.pmod(F.xxhash64("notice_id"), F.lit(SALTS)).cast("int")).join(arrays.withColumn("salt", salts), ["deal", "salt"])
+    hits = met.select("notice_id", "published_at", F.explode(F.expr("filter(keywords, k -> contains(searched, k))")).alias("condition"))
     found = hits.join(conditions, "condition").select("rule_id", "user_id", "notice_id", "published_at", "condition", "wanted")
     if mode == "all":
         whole = found.groupBy("rule_id", "notice_id").agg(F.count_distinct("condition").alias("n"), F.max("wanted").alias("wanted2")).filter("n = wanted2").select("rule_id", "notice_id")
@@ -53,15 +66,33 @@ def match_keyword_rules(notices: DataFrame, rules: DataFrame, mode: str = "any")
     return found.select("rule_id", "user_id", "notice_id", "published_at", "condition")
 
 
-def keyword_arrays(conditions: DataFrame) -> int:
-    return max(1, -(-conditions.select("condition").distinct().count() // KEYWORDS_PER_ARRAY))
-
-
 def match_alerts(notices: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, user_id, notice_id, matched_at, matched_conditions) over all kinds of rules."""
-    parts = [f(notices, rules) for f in (match_category_rules, match_organization_rules, match_keyword_rules)]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return every.groupBy("rule_id", "user_id", "notice_id").agg(F.max("published_at").alias("matched_at"), F.sort_array(F.collect_set("condition")).alias("matched_conditions"))
+    """(rule_id, user_id, notice_id, matched_at, matched_conditions) over all kinds of rules.
+
+    A rule has one kind. A notice has one category and one organization, so it meets one condition of such a rule, and
+    of a keyword rule with a single condition; these pairs are whole as they arise and are not shuffled. Only the pairs
+    of keyword rules with several conditions, and of notices of which there are several rows, are gathered.
+    """
+    single = F.size(F.array_distinct(F.transform(F.filter("conditions", lambda c: S.trimmed(c) != ""), lambda c: F.lower(S.trimmed(c))))) <= 1
+    kinds = (match_category_rules, match_organization_rules, match_keyword_rules)
+
+    def pairs(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [f(rows, asked) for f in kinds])
+
+    def gathered(found: DataFrame) -> DataFrame:
+        return found.groupBy("rule_id", "user_id", "notice_id").agg(F.max("published_at").alias("matched_at"), F.sort_array(F.collect_set("condition")).alias("matched_conditions"))
+
+    parts, once = [], notices
+    repeated = notices.groupBy("id").count().filter("count > 1").select("id")
+    if not repeated.isEmpty():
+        parts.append(gathered(pairs(notices.join(repeated, "id", "left_semi"), rules)))
+        once = notices.join(repeated, "id", "left_anti")
+    several = rules.filter(~single & (F.col("type") == "keyword"))
+    if not several.isEmpty():
+        parts.append(gathered(match_keyword_rules(once, several)))
+    whole = pairs(once, rules.filter(single | (F.col("type") != "keyword")))
+    parts.append(whole.select("rule_id", "user_id", "notice_id", F.col("published_at").alias("matched_at"), F.array("condition").alias("matched_conditions")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def match_counts(matches: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Related notices, recommendations, near-equal documents and questions.
 
-Pairs come from shared tags, tokens or shingles. A value in more rows than ``max_frequency`` says little
-and would pair everything with everything, so it makes no pairs; it still counts in the scores.
+Suggestions are searches: a stated set of queries goes in blocks against all rows, each row is scored where it lies, and only
+the best k of a partition are shuffled. So frequent tags and words need no cap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,39 +15,40 @@ from noticejobs.operators.activity import current_saved, popular_notices, seen,
 from noticejobs.sources.shared import materialized
 
 
-def pairs_sharing(rows: DataFrame, key: str, value: str, max_frequency: int) -> DataFrame:
-    """(a, b, shared) of keys a < b by number of shared distinct values that are not too frequent."""
-    rows = rows.select(key, value).distinct()
-    rare = rows.groupBy(value).agg(F.count("*").alias("df")).filter(F.col("df").between(2, max_frequency)).select(value)
-    rows = rows.join(rare, value, "left_semi")
-    l, r = rows.select(F.col(key).alias("a"), value), rows.select(F.col(key).alias("b"), value)
-    return l.join(r, value).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-
+#: Queries of a block.
+BLOCK_QUERIES = 128
 
-def similar(rows: DataFrame, key: str, values: str, max_frequency: int) -> DataFrame:
-    """(a, b, jaccard) over the arrays of distinct values of the pairs that share a value."""
-    sets = rows.select(key, F.array_distinct(values).alias("s"))
-    pairs = pairs_sharing(sets.select(key, F.explode("s").alias("v")), key, "v", max_frequency)
-    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", F.round(common / (F.size("sa") + F.size("sb") - common), 6).alias("jaccard"))
 
+def best_partners(rows: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], order: Column, k: int) -> DataFrame:
+    """(a, rank, b, score): the best k other rows with a score above 0 for each query, equal scores by id.
 
-def both_ways(pairs: DataFrame, *columns: str) -> DataFrame:
-    return pairs.select("a", "b", *columns).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *columns))
+    ``rows`` and ``queries`` are (id, f); ``score`` compares a query's f with a row's. Spark broadcasts the written
+    blocks of queries if their files are small enough, and shuffles them otherwise.
+    """
+    n = max(1, -(-queries.count() // BLOCK_QUERIES))
+    blocks = materialized(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "f")).alias("q")))
+    pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
+    scored = F.transform("q", lambda x: F.struct(x["id"].alias("a"), score(x["f"], F.col("f")).alias("score")))
+    found = pairs.select(F.col("id").alias("b"), F.explode(F.filter(scored, lambda x: (x["score"] > 0) & (x["a"] != F.col("id")))).alias("x")).select("x.a", "b", "x.score")
+    return top_k(found, "a", [order, F.col("b")], k)
 
 
 def top_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def related_notices(notices: DataFrame, k: int, max_frequency: int = 200) -> DataFrame:
-    """Best k suggestions: 2 for the same organization, 1 for the same category, 1 for each shared tag."""
-    pairs = pairs_sharing(notices.select("id", F.explode(F.array_distinct("tags")).alias("tag")), "id", "tag", max_frequency).select("a", "b")
-    meta = lambda x: notices.select(F.col("id").alias(x), F.col("organization").alias(f"o_{x}"), F.col("category").alias(f"c_{x}"), F.array_distinct("tags").alias(f"t_{x}"))
-    scored = pairs.join(meta("a"), "a").join(meta("b"), "b")
-    score = 2 * (F.col("o_a") == F.col("o_b")).cast("int") + (F.col("c_a") == F.col("c_b")).cast("int") + F.size(F.array_intersect("t_a", "t_b"))
-    return top_k(both_ways(scored.withColumn("score", score), "score"), "a", [F.desc("score"), F.col("b")], k).select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), "score")
+def related_notices(notices: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Best k suggestions for each of ``queries`` (default: all): 2 for the same organization, 1 for the same category, 1 for
+    each shared tag; at least one shared tag or the same organization."""
+    described = lambda df: df.select("id", F.struct("organization", "category", F.coalesce(F.array_distinct("tags"), F.lit([]).cast("array<string>")).alias("tags")).alias("f"))
+
+    def score(q: Column, x: Column) -> Column:
+        same = lambda c: F.coalesce((q[c] == x[c]).cast("int"), F.lit(0))
+        shared = F.size(F.array_intersect(q["tags"], x["tags"]))
+        return F.when((shared > 0) | (same("organization") > 0), 2 * same("organization") + same("category") + shared).otherwise(0)
+
+    best = best_partners(described(notices), described(notices if queries is None else queries), score, F.desc("score"), k)
+    return best.select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), "score")
 
 
 def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -76,11 +79,18 @@ def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> Da
     return scored.filter(F.col("jaccard") >= threshold).unionByName(copies)
 
 
-def related_questions(messages: DataFrame, k: int, max_frequency: int = 50) -> DataFrame:
-    """Questions like each other: Jaccard similarity of their words."""
-    asked = messages.filter("role = 'user'").select("id", F.array_distinct(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: w != "")).alias("words"))
-    pairs = similar(asked, "id", "words", max_frequency)
-    return top_k(both_ways(pairs, "jaccard"), "a", [F.desc("jaccard"), F.col("b")], k).select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), "jaccard")
+def related_questions(messages: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Questions like each of ``queries`` (messages; default: all questions): Jaccard similarity of their words."""
+    def words(df: DataFrame) -> DataFrame:
+        found = F.array_distinct(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: w != ""))
+        return df.filter("role = 'user' and content is not null").select("id", F.struct(found.alias("w")).alias("f"))
+
+    def score(q: Column, x: Column) -> Column:
+        common = F.size(F.array_intersect(q["w"], x["w"]))
+        return F.when(common > 0, F.round(common / (F.size(q["w"]) + F.size(x["w"]) - common), 6)).otherwise(0.0)
+
+    best = best_partners(words(messages), words(messages if queries is None else queries), score, F.desc("score"), k)
+    return best.select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), F.col("score").alias("jaccard"))
 
 
 def enough_candidates(taste: DataFrame, published: DataFrame, activities: DataFrame, k: int) -> DataFrame:
@@ -96,27 +106,30 @@ def enough_candidates(taste: DataFrame, published: DataFrame, activities: DataFr
     ranked = classed.withColumn("at", F.row_number().over(Window.partitionBy(*kinds).orderBy("notice_id"))).filter(F.col("at") <= depth)
     wanted = taste.join(classed.select(*kinds).distinct(), "category").join(counts, ["user_id", *kinds], "left")
     wanted = wanted.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("seen_in", F.lit(0)).cast("int"))))
-    return wanted.join(ranked, [*kinds, "at"]).drop("at", "seen_in", "high", "trending")
+    return wanted.join(ranked, [*kinds, "at"]).drop("at", "seen_in", "high")
 
 
-def recommend(users: DataFrame, notices: DataFrame, activities: DataFrame, rules: DataFrame, k: int, as_of: str, candidates: int | None = None) -> DataFrame:
-    """Best k unseen notices of each user, with the reason: of all published ones, or only of the newest ``candidates`` of every category."""
+def recommend(users: DataFrame, notices: DataFrame, activities: DataFrame, rules: DataFrame, k: int, as_of: str) -> DataFrame:
+    """Best k unseen notices of each user, with the reason: of all published ones in the categories that the user viewed,
+    saved in or has a rule for, and of the ten that are trending."""
     meta = notices.select(F.col("id").alias("notice_id"), "category")
     per_category = lambda events, name: events.join(meta, "notice_id").groupBy("user_id", "category").agg(F.count("*").alias(name))
     viewed = per_category(activities.filter("type = 'view'").select("user_id", F.col("related_id").alias("notice_id")), "views_in")
     saved = per_category(current_saved(activities), "saves_in")
-    taste = viewed.join(saved, ["user_id", "category"], "full_outer").select("user_id", "category", F.coalesce("views_in", F.lit(0)).alias("views_in"), F.coalesce("saves_in", F.lit(0)).alias("saves_in"))
-    published = notices.filter("status = 'published'")
-    trend = popular_notices(activities, 10, as_of, 7).select("notice_id", F.lit(1).alias("trending"))
     wanted = rules.filter("enabled and type = 'category'").select("user_id", F.explode("conditions").alias("category")).distinct().withColumn("ruled", F.lit(1))
-    taste = taste.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    shown = [F.col("id").alias("notice_id"), "category", "priority", "organization"]
-    if candidates is None:
-        base = enough_candidates(taste, published.select(*shown).join(trend, "notice_id", "left"), activities, k)
-    else:
-        base = taste.join(top_k(published, "category", [F.desc("published_at"), F.col("id")], candidates).select(*shown), "category")
-    scored = unseen_notices(base, activities).join(trend, "notice_id", "left").join(wanted, ["user_id", "category"], "left")
-    terms = {"viewed": F.least("views_in", F.lit(10)), "saved": 3 * F.least("saves_in", F.lit(10)), "rule": 20 * F.coalesce("ruled", F.lit(0)), "priority": F.when(F.col("priority") == "high", 5).otherwise(0), "trending": F.coalesce("trending", F.lit(0))}
+    taste = viewed.join(saved, ["user_id", "category"], "full_outer").join(wanted, ["user_id", "category"], "full_outer").na.fill(0, ["views_in", "saves_in", "ruled"])
+    everyone = users.select(F.col("id").alias("user_id"))
+    taste = taste.join(everyone, "user_id", "left_semi")
+    published = notices.filter("status = 'published'").select(F.col("id").alias("notice_id"), "category", "priority", "organization")
+    trend = [r["notice_id"] for r in popular_notices(activities, 10, as_of, 7).collect()]  # ten at most
+    published = published.withColumn("trending", F.col("notice_id").isin(trend).cast("int") if trend else F.lit(0))
+    base = enough_candidates(taste, published, activities, k)
+    if trend:
+        offered = everyone.select("user_id", F.explode(F.array(*map(F.lit, trend))).alias("notice_id")).join(published, "notice_id")
+        offered = offered.join(taste.select("user_id", "category"), ["user_id", "category"], "left_anti")
+        base = base.select("user_id", *published.columns, "views_in", "saves_in", "ruled").unionByName(offered.withColumns({c: F.lit(0) for c in ("views_in", "saves_in", "ruled")}))
+    scored = unseen_notices(base, activities)
+    terms = {"viewed": F.least("views_in", F.lit(10)), "saved": 3 * F.least("saves_in", F.lit(10)), "rule": 20 * F.col("ruled"), "priority": F.when(F.col("priority") == "high", 5).otherwise(0), "trending": F.col("trending")}
     most = F.greatest(*terms.values())
     scored = scored.withColumns({"score": sum(terms.values(), F.lit(0)).cast("long"), "reason": F.coalesce(*[F.when(v == most, n) for n, v in terms.items()])})
     return top_k(scored, "user_id", [F.desc("score"), F.col("notice_id")], k).select("user_id", "rank", "notice_id", "score", "reason")

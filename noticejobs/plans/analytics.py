@@ -136,23 +136,25 @@ def u5_saved_and_alerted(spark, d):
     return count(hit, "both").unionByName(count(miss, "saved only"))
 
 
-@query(f"SELECT s.user_id, n.id, n.priority FROM ({SAVED}) s JOIN notices n ON n.id = s.notice_id ORDER BY CASE n.priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, n.id, s.user_id LIMIT 25", "notices", "activities")
+@query(f"SELECT s.user_id, n.id, n.priority FROM ({SAVED}) s JOIN notices n ON n.id = s.notice_id ORDER BY CASE n.priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, n.id, s.user_id", "notices", "activities")
 def t4_sort_saved(spark, d):
     saved = Y.current_saved(A.activities(spark, d)).join(A.notices(spark, d).select("id", "priority"), F.col("notice_id") == F.col("id"))
     rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "normal", 1).otherwise(2)
-    return saved.orderBy(rank, "id", "user_id").limit(25).select("user_id", "id", "priority")
+    return saved.orderBy(rank, "id", "user_id").select("user_id", "id", "priority")
 
 
 @query(f"""WITH seen AS (SELECT DISTINCT user_id, related_id AS notice_id FROM activities WHERE type IN ('view', 'save')), v AS (SELECT a.user_id, n.category, count(*) AS views_in FROM activities a JOIN notices n ON n.id = a.related_id WHERE a.type = 'view' GROUP BY 1, 2),
     s AS (SELECT x.user_id, n.category, count(*) AS saves_in FROM ({SAVED}) x JOIN notices n ON n.id = x.notice_id GROUP BY 1, 2), t AS (SELECT coalesce(v.user_id, s.user_id) AS user_id, coalesce(v.category, s.category) AS category, coalesce(views_in, 0) AS views_in, coalesce(saves_in, 0) AS saves_in FROM v FULL JOIN s ON v.user_id = s.user_id AND v.category = s.category),
-    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY published_at DESC, id) AS k FROM notices WHERE status = 'published') WHERE k <= 20),
+    published AS (SELECT * FROM notices WHERE status = 'published'),
     trend AS (SELECT related_id FROM activities WHERE type = 'view' AND "timestamp" > {CLOCK} - INTERVAL 7 DAY AND "timestamp" <= {CLOCK} GROUP BY 1 ORDER BY count(*) DESC, related_id LIMIT 10), ruled AS (SELECT DISTINCT user_id, condition AS category FROM alert_rules WHERE enabled AND type = 'category'),
-    p AS (SELECT t.user_id, top.id AS notice_id, least(views_in, 10) AS a, 3 * least(saves_in, 10) AS b, CASE WHEN r.user_id IS NULL THEN 0 ELSE 20 END AS c, CASE WHEN priority = 'high' THEN 5 ELSE 0 END AS e, CASE WHEN tr.related_id IS NULL THEN 0 ELSE 1 END AS f
-      FROM t JOIN top ON top.category = t.category JOIN users u ON u.id = t.user_id LEFT JOIN ruled r ON r.user_id = t.user_id AND r.category = t.category LEFT JOIN trend tr ON tr.related_id = top.id WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = t.user_id AND seen.notice_id = top.id)),
+    wide AS (SELECT user_id, category FROM t UNION SELECT user_id, category FROM ruled), cand AS (SELECT w.user_id, n.id AS notice_id, n.category, n.priority FROM wide w JOIN published n ON n.category = w.category UNION SELECT u.id, n.id, n.category, n.priority FROM users u JOIN trend ON true JOIN published n ON n.id = trend.related_id),
+    p AS (SELECT k.user_id, k.notice_id, least(coalesce(views_in, 0), 10) AS a, 3 * least(coalesce(saves_in, 0), 10) AS b, CASE WHEN r.user_id IS NULL THEN 0 ELSE 20 END AS c, CASE WHEN k.priority = 'high' THEN 5 ELSE 0 END AS e, CASE WHEN tr.related_id IS NULL THEN 0 ELSE 1 END AS f
+      FROM cand k JOIN users u ON u.id = k.user_id LEFT JOIN t ON t.user_id = k.user_id AND t.category = k.category LEFT JOIN ruled r ON r.user_id = k.user_id AND r.category = k.category LEFT JOIN trend tr ON tr.related_id = k.notice_id
+      WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_id = k.user_id AND seen.notice_id = k.notice_id)),
     q AS (SELECT *, a + b + c + e + f AS score, greatest(a, b, c, e, f) AS m FROM p), z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, notice_id) AS rank FROM q)
     SELECT user_id, CAST(rank AS BIGINT) AS rank, notice_id, CAST(score AS BIGINT) AS score, CASE WHEN a = m THEN 'viewed' WHEN b = m THEN 'saved' WHEN c = m THEN 'rule' WHEN e = m THEN 'priority' ELSE 'trending' END AS reason FROM z WHERE rank <= 5""", "notices", "activities", "users", "alert_rules")
 def j12_recommend(spark, d):
-    return R.recommend(A.users(spark, d), A.notices(spark, d), A.activities(spark, d), A.alert_rules(spark, d), 5, EVENTS_AS_OF, candidates=20).select("user_id", F.col("rank").cast("long"), "notice_id", "score", "reason")
+    return R.recommend(A.users(spark, d), A.notices(spark, d), A.activities(spark, d), A.alert_rules(spark, d), 5, EVENTS_AS_OF).select("user_id", F.col("rank").cast("long"), "notice_id", "score", "reason")
 
 
 @query("SELECT id, username FROM users WHERE contains(lower(username), '00000001') AND role = 'user' AND status = 'active'", "users")

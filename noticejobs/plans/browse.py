@@ -135,9 +135,9 @@ def w12_views_rank(spark, d):
     return N.views_rank(A.notices(spark, d)).select("id", "category", F.col("views_rank").cast("long"), F.round("views_percent", 6).alias("views_percent"))
 
 
-@query("SELECT id, views FROM notices ORDER BY views DESC NULLS LAST, id LIMIT 20", "notices")
+@query("SELECT id, views FROM notices ORDER BY views DESC NULLS LAST, id", "notices")
 def t1_sort_by_views(spark, d):
-    return N.sort_notices(A.notices(spark, d), "views").select("id", "views").limit(20)
+    return N.sort_notices(A.notices(spark, d), "views").select("id", "views")
 
 
 @query(f"SELECT id, {DAY.format('published_at')} FROM (SELECT * FROM notices ORDER BY published_at DESC NULLS LAST, id LIMIT 10 OFFSET 20)", "notices")

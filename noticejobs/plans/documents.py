@@ -36,9 +36,9 @@ def f28_toggle_embed(spark, d):
     return G.toggle_embed(docs, docs.filter("id % 4 = 0").select("id")).select("id", "embedded", "chunk_count")
 
 
-@query("SELECT id, title FROM rag_documents ORDER BY title ASC, id LIMIT 20", "rag_documents")
+@query("SELECT id, title FROM rag_documents ORDER BY title ASC, id", "rag_documents")
 def t3_sort_documents(spark, d):
-    return G.sort_documents(A.rag_documents(spark, d), "title").select("id", "title").limit(20)
+    return G.sort_documents(A.rag_documents(spark, d), "title").select("id", "title")
 
 
 @query("""WITH n AS (SELECT id, content, greatest(1, CAST(ceil((length(content) - 50) / 450.0) AS BIGINT)) AS k FROM rag_documents WHERE length(content) > 0), c AS (SELECT id, content, unnest(generate_series(0, k - 1)) AS chunk_no FROM n)
@@ -48,39 +48,42 @@ def f27_chunks(spark, d):
 
 
 @query(f"""WITH w AS (SELECT id, {WORDS.format('content')} AS words FROM rag_documents), l AS (SELECT id, len(words) AS length, unnest(words) AS term FROM w), m AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w),
-    q(query_id, query) AS (VALUES (1, 'thing that matters'), (2, 'the ning'), (3, 'que les')), qt AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS term FROM q),
+    q AS (SELECT id AS query_id, title AS query FROM rag_documents WHERE id % 20 = 0), qt AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS term FROM q),
     p AS (SELECT term, id, length, count(*) AS tf FROM l WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
     s AS (SELECT query_id, id AS chunk_id, round(sum(ln(1 + (m.n - f.df + 0.5) / (f.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m.mean))), 6) AS score FROM p JOIN f USING (term) JOIN qt USING (term), m GROUP BY 1, 2)
-    SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, chunk_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""", "rag_documents")
+    SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""", "rag_documents")
 def t8_keyword_retrieve(spark, d):
-    queries = spark.createDataFrame([(1, "thing that matters"), (2, "the ning"), (3, "que les")], "query_id long, query string")
-    return G.keyword_retrieve(A.rag_documents(spark, d), queries, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", F.round("score", 4).alias("score"))
+    docs = A.rag_documents(spark, d)
+    queries = docs.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
+    return G.keyword_retrieve(docs, queries, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
 
 
-@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.v, c.v) AS score FROM e q JOIN e c ON true WHERE q.vec_id < 20)
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.v, c.v) AS score FROM e q JOIN e c ON true WHERE q.vec_id % 20 = 0)
     SELECT query_id, CAST(rank AS BIGINT) AS rank, chunk_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def t9_vector_topk(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return G.vector_topk(e.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id"), e, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
+    return G.vector_topk(e.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), e, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
 
 
-@query("""WITH t AS (SELECT id, unnest(tags) AS tag FROM rag_documents), r AS (SELECT tag FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40), p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM t a JOIN t b ON a.tag = b.tag AND a.id <> b.id WHERE a.tag IN (SELECT tag FROM r)),
-    s AS (SELECT p.a, p.b, 2 * CAST(x.organization = y.organization AS INT) + CAST(x.category = y.category AS INT) + len(list_intersect(x.tags, y.tags)) AS score FROM p JOIN rag_documents x ON x.id = p.a JOIN rag_documents y ON y.id = p.b)
+@query("""WITH p AS (SELECT x.id AS a, y.id AS b, coalesce(CAST(x.organization = y.organization AS INT), 0) AS o, coalesce(CAST(x.category = y.category AS INT), 0) AS c, coalesce(len(list_intersect(x.tags, y.tags)), 0) AS t FROM rag_documents x JOIN rag_documents y ON x.id <> y.id WHERE x.id % 20 = 0),
+    s AS (SELECT a, b, 2 * o + c + t AS score FROM p WHERE o > 0 OR t > 0)
     SELECT a AS id, CAST(rank AS BIGINT) AS rank, b AS related_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s) WHERE rank <= 3""", "rag_documents")
 def j11_related_notices(spark, d):
-    return R.related_notices(A.rag_documents(spark, d), 3, max_frequency=40).select("id", F.col("rank").cast("long"), "related_id", F.col("score").cast("long"))
+    docs = A.rag_documents(spark, d)
+    return R.related_notices(docs, 3, docs.filter("id % 20 = 0")).select("id", F.col("rank").cast("long"), "related_id", F.col("score").cast("long"))
 
 
-@query(f"""WITH m AS (SELECT id, list_distinct({WORDS.format('content')}) AS words FROM chat_messages WHERE role = 'user'), w AS (SELECT id, unnest(words) AS word FROM m), r AS (SELECT word FROM w GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20),
-    p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM w a JOIN w b ON a.word = b.word AND a.id <> b.id WHERE a.word IN (SELECT word FROM r)), s AS (SELECT p.a, p.b, round(len(list_intersect(x.words, y.words)) / (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))), 6) AS jaccard FROM p JOIN m x ON x.id = p.a JOIN m y ON y.id = p.b)
+@query(f"""WITH m AS (SELECT id, list_distinct({WORDS.format('content')}) AS words FROM chat_messages WHERE role = 'user' AND content IS NOT NULL),
+    p AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.words, y.words)) AS c, len(x.words) + len(y.words) AS n FROM m x JOIN m y ON x.id <> y.id WHERE x.id % 20 = 0), s AS (SELECT a, b, round(c / (n - c), 6) AS jaccard FROM p WHERE c > 0)
     SELECT a AS id, CAST(rank AS BIGINT) AS rank, b AS related_id, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS rank FROM s) WHERE rank <= 3""", "chat_messages")
 def j21_related_questions(spark, d):
-    return R.related_questions(A.chat_messages(spark, d), 3, max_frequency=20).select("id", F.col("rank").cast("long"), "related_id", "jaccard")
+    messages = A.chat_messages(spark, d)
+    return R.related_questions(messages, 3, messages.filter("id % 20 = 0")).select("id", F.col("rank").cast("long"), "related_id", "jaccard")
 
 
 @query(r"""WITH w AS (SELECT id, [x for x in regexp_split_to_array(lower(content), '\s+') if x <> ''] AS w FROM rag_documents), h AS (SELECT id, list_sort(list_distinct([hash(array_to_string(w[i:i+4], ' ')) for i in range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5),
-    c AS (SELECT s, min(id) AS a FROM h GROUP BY s), m AS (SELECT c.a, h.id AS b, 1.0 AS jaccard FROM h JOIN c ON h.s = c.s WHERE h.id <> c.a), u AS (SELECT a AS id, len(s) AS n, unnest(s) AS g FROM c), f AS (SELECT g, count(*) AS df FROM u GROUP BY 1),
-    p AS (SELECT * FROM (SELECT u.*, f.df, row_number() OVER (PARTITION BY id ORDER BY df, u.g) AS k FROM u JOIN f ON f.g = u.g) WHERE k <= n - ceil(0.8 * n) + 1 AND df > 1), q AS (SELECT DISTINCT x.id AS a, y.id AS b FROM p x JOIN p y ON x.g = y.g AND x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n)),
+    c AS (SELECT s, min(id) AS a FROM h GROUP BY s), m AS (SELECT c.a, h.id AS b, 1.0 AS jaccard FROM h JOIN c ON h.s = c.s WHERE h.id <> c.a),
+    q AS (SELECT x.a, y.a AS b FROM c x JOIN c y ON x.a < y.a AND least(len(x.s), len(y.s)) >= 0.8 * greatest(len(x.s), len(y.s))),
     z AS (SELECT q.a, q.b, len(list_intersect(x.s, y.s)) AS common, len(x.s) + len(y.s) AS total FROM q JOIN c x ON x.a = q.a JOIN c y ON y.a = q.b)
     SELECT a, b, round(common / (total - common), 6) AS jaccard FROM z WHERE round(common / (total - common), 6) >= 0.8 UNION ALL SELECT * FROM m""", "rag_documents")
 def j22_compare_documents(spark, d):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from noticejobs.operators import activity, admin, alerts, ingest, notices, rag, recommend
 from noticejobs.sources import files
+from noticejobs.streaming import jobs
 
 RULES = "id int, user_id int, type string, conditions array<string>, enabled boolean"
 NOTICES = "id int, title string, category string, organization string, status string, published_at timestamp, source_portal string, tags array<string>"
@@ -107,3 +108,47 @@ def test_recommendations_reach_beyond_the_newest(spark):
         scores = {n: min(mine.count(c), 10) + 20 * (user == 2 and c == "tenders") + 5 * (p == "high") + (n in trending) for n, c, p, *_ in rows if n not in saw and c in mine}
         best = sorted(scores, key=lambda n: (-scores[n], n))[:5]
         assert sorted(got[user]) == [(j + 1, n, scores[n]) for j, n in enumerate(best)]
+
+
+def test_rules_with_several_keywords_are_gathered(spark):
+    rows = [(1, "Urgent road tender", "Roads"), (2, "School exam", "Urgent board"), (3, "Nothing", None)]
+    table = spark.createDataFrame(rows, "id int, title string, organization string").withColumns({"category": F.lit("exams"), "published_at": F.lit("2026-01-01").cast("timestamp")})
+    rules = spark.createDataFrame([(1, 7, "keyword", ["urgent", " ROAD ", ""], True), (2, 7, "keyword", ["Road"], True), (3, 8, "category", ["exams", "Exams"], True), (4, 8, "keyword", ["road"], False), (5, 8, "organization", ["roads"], True)], "id int, user_id int, type string, conditions array<string>, enabled boolean")
+    got = sorted((r.rule_id, r.notice_id, r.matched_conditions) for r in alerts.match_alerts(table, rules).collect())
+    assert got == [(1, 1, ["road", "urgent"]), (1, 2, ["urgent"]), (2, 1, ["road"]), (3, 1, ["exams"]), (3, 2, ["exams"]), (3, 3, ["exams"]), (5, 1, ["roads"])]
+
+
+def test_more_keywords_than_are_broadcast(spark, monkeypatch):
+    table = some_notices(spark)
+    rules = spark.createDataFrame([(k, 1, "keyword", [w], True) for k, w in enumerate(["a", "e", "tender", "exam", "zzz"])], "id int, user_id int, type string, conditions array<string>, enabled boolean")
+    expected = sorted(map(tuple, alerts.match_keyword_rules(table, rules).collect()))
+    monkeypatch.setattr(alerts, "BROADCAST_KEYWORDS", 0)
+    monkeypatch.setattr(alerts, "KEYWORDS_PER_ARRAY", 2)
+    assert expected and sorted(map(tuple, alerts.match_keyword_rules(table, rules).collect())) == expected
+
+
+def test_a_repeated_batch_leaves_its_matches_as_they_were(spark, tmp_path):
+    some_notices(spark).write.parquet(str(tmp_path / "in"))
+    rules = spark.createDataFrame([(1, 1, "keyword", ["e"], True)], "id int, user_id int, type string, conditions array<string>, enabled boolean")
+    counts = []
+    for k in range(2):  # a lost checkpoint makes the stream send its first batch again
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), some_notices(spark).schema)
+        jobs.write_matches(stream, lambda: rules, str(tmp_path / "out"), str(tmp_path / f"checkpoint{k}")).awaitTermination()
+        counts.append(spark.read.parquet(str(tmp_path / "out" / "epoch=*")).count())
+    assert counts[0] == counts[1] > 0
+
+
+def test_a_tag_that_all_share_still_suggests(spark):
+    rows = [(k, "o" + str(k % 3), "c", ["all", f"t{k % 25}"]) for k in range(100)] + [(100, "o9", None, None), (101, "o9", None, [])]
+    table = spark.createDataFrame(rows, "id int, organization string, category string, tags array<string>")
+    got = {}
+    for r in recommend.related_notices(table, 3, table.filter("id % 20 = 0")).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.related_id, r.score))
+    for a, o, c, t in rows:
+        if a % 20 == 0:
+            scores = {}
+            for b, p, d, u in rows:
+                shared, same = len(set(t or []) & set(u or [])), o == p
+                if a != b and (shared or same):
+                    scores[b] = 2 * same + (c is not None and c == d) + shared
+            assert sorted(got[a]) == [(j + 1, b, scores[b]) for j, b in enumerate(sorted(scores, key=lambda b: (-scores[b], b))[:3])]
