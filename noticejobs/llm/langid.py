@@ -5,13 +5,18 @@ longest prefix of the rest that occurs somewhere in the sample". Cutting a text
 longest matches gives ``c`` phrases; ``c * log2(sample length) / text length`` estimates the cross
 entropy in bits a character, and the language with the smallest estimate wins.
 
-Texts are lower-cased; letters stay, every run of other characters is one blank. A text is parsed
-in blocks of ``BLOCK`` characters (a phrase ends at a block's end, for every language alike), so
-all blocks of a batch step through the automata together.
+Texts are lower-cased; letters stay, every run of other characters is one blank. All texts of a batch step through
+the automata together, in blocks of ``BLOCK`` characters: each block is first parsed as if a phrase began with it; then
+the parse of the block before it is carried on into it until both are in one state, which corrects its count. A
+block in which they never meet hands its own last state on. So the phrases are those of the whole text, whatever
+its length.
+
+The fit reads a bounded sample: of each language ``SAMPLE_DOCS`` labelled texts, and of those the first
+``SAMPLE_CHARS`` characters. The automata take about 16 MB a language in each worker.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when
 no labelled text exists; equal estimates go to the language that sorts first; repeated rows are
-scored each by itself; other columns are ignored.
+scored each by itself; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ from noticejobs.llm.common import arrow_rows, slices, texts
 BLOCK = 512
 #: Sample bound: characters of labelled text for each language, and documents they come from.
 SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 48
-#: Letters with a code of their own; rarer ones share one code that matches nothing.
-MAX_LETTERS = 250
+#: Letters, by frequency in the sample, whose transitions are columns of a table; those of all others are found by search.
+DENSE_LETTERS = 64
 OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_letters", pa.int64()), ("phrases", pa.int64())])
 
 
@@ -84,33 +89,68 @@ def suffix_automaton(word: list[int]) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Automata of all languages in one table: entry = 2 * (next state's offset) + (a new phrase began)."""
+    """Automata of all languages in one table: entry = 2 * (next state's offset) + (a new phrase began).
+
+    Codes: 0 a blank, then the frequent letters, then ``strange`` (in no sample), then the rarer letters of the sample.
+    """
 
-    def __init__(self, sample: dict[str, str]):
+    def __init__(self, sample: dict[str, str], dense: int = DENSE_LETTERS):
         self.langs = sorted(sample)
-        letters = [c for c, _ in sorted(Counter("".join(sample.values())).items(), key=lambda x: (-x[1], x[0])) if c != " "][:MAX_LETTERS]
-        self.width = len(letters) + 2
-        code = np.zeros(0x110000, np.uint8)
-        code[[k for k in range(0x110000) if chr(k).isalpha()]] = self.width - 1
+        letters = [c for c, _ in sorted(Counter("".join(sample.values())).items(), key=lambda x: (-x[1], x[0])) if c != " "]
+        strange = min(dense, len(letters)) + 1
+        self.width = strange + 1
+        code = np.zeros(0x110000, np.int32)
+        code[[k for k in range(0x110000) if chr(k).isalpha()]] = strange
         for k, c in enumerate(letters):
-            code[ord(c)] = k + 1
-        self.code, tables, base, self.start, self.bits = code, [], 0, [], []
+            code[ord(c)] = k + 1 if k < dense else k + 2
+        self.code, tables, base, start, lost, self.bits = code, [], 0, [], [], []
+        keys, to = [], []
         for lang in self.langs:
             word = code[np.frombuffer(sample[lang].encode("utf-32-le"), np.uint32)].tolist()
             move = suffix_automaton(word)
-            strange = len(move)  # the state after a letter that the sample lacks, a phrase of its own
-            fresh = np.full(self.width, 2 * (base + strange * self.width) + 1, np.int32)
+            lost.append(base + len(move) * self.width)  # the state after a letter that the sample lacks, a phrase of its own
+            fresh = np.full(self.width, 2 * lost[-1] + 1, np.int64)
             for c, s in move[0].items():
-                fresh[c] = 2 * (base + s * self.width) + 1
+                if c < self.width:
+                    fresh[c] = 2 * (base + s * self.width) + 1
             table = np.tile(fresh, len(move) + 1).reshape(-1, self.width)
-            for s, to in enumerate(move):
-                table[s, list(to)] = [2 * (base + x * self.width) for x in to.values()]
-            table[0] = fresh - 1  # a block's first phrase is counted from the start
+            for s, out in enumerate(move):
+                for c, x in out.items():
+                    if c < self.width:
+                        table[s, c] = 2 * (base + x * self.width)
+                    else:
+                        keys.append(((base + s * self.width) << 20) + c)
+                        to.append(2 * (base + x * self.width))
+            table[0] = fresh - 1  # a text's first phrase is counted from the start
             tables.append(table.ravel())
-            self.start.append(base)
+            start.append(base)
             self.bits.append(np.log2(len(word) + 1))
             base += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        self.table = self.table.astype(np.int32) if base < 1 << 30 else self.table
+        self.start, self.lost = np.array(start, np.int64), np.array(lost, np.int64)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.append(np.array(keys, np.int64)[order], np.int64(-1)), np.append(np.array(to, np.int64)[order], 0)
+
+    def found(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Transitions by rare letters, -1 where there are none."""
+        key = (state << 20) + code
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+    def step(self, state: np.ndarray, code: np.ndarray, lang: np.ndarray, rare: bool) -> np.ndarray:
+        """Next states (as table entries) of states (as offsets); ``lang`` broadcasts against ``state``."""
+        if not rare:
+            return self.table[state + code]
+        code, lang = np.broadcast_to(code, state.shape), np.broadcast_to(lang, state.shape)
+        out = self.table[state + np.minimum(code, self.width - 1)].astype(np.int64)
+        at = np.nonzero(code >= self.width)
+        if len(at[0]):
+            s, c, l = state[at].astype(np.int64), code[at].astype(np.int64), lang[at]
+            go, again = self.found(s, c), self.found(self.start[l], c)
+            begun = np.where(again >= 0, again, 2 * self.lost[l]) + (s != self.start[l])
+            out[at] = np.where(go >= 0, go, begun)
+        return out
 
     def phrases(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases (languages x texts), characters and letters of each text."""
@@ -121,6 +161,7 @@ class CrossParser:
         at = np.cumsum(keep & ~ends)[ends]  # kept characters up to each text's end
         letters = np.diff(np.cumsum(code != 0)[ends], prepend=0)
         code = code[keep & ~ends]
+        rare = bool((code >= self.width).any())
         size = np.diff(at, prepend=0)
         n_blocks = -(-size // BLOCK)
         of = np.repeat(np.arange(len(docs)), n_blocks)
@@ -128,21 +169,56 @@ class CrossParser:
         begin = (at - size)[of] + k * BLOCK
         length = np.minimum(BLOCK, size[of] - k * BLOCK)
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        active = np.searchsorted(-length, -np.arange(BLOCK), side="left")
-        state = np.repeat(2 * np.array(self.start, np.int32), len(begin)).reshape(len(self.langs), -1)
-        count = np.ones(state.shape, np.int64)
+        sorted_begin = begin[order]
+        active = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")
+        lang = np.arange(len(self.langs))[:, None]
+        state = np.repeat(self.start.astype(self.table.dtype), len(begin)).reshape(len(self.langs), -1)
+        count = np.zeros(state.shape, np.int64)
         for j in range(BLOCK):
             n = active[j]
             if not n:
                 break
-            step = self.table[(state[:, :n] >> 1) + code[begin[:n] + j]]
-            state[:, :n] = step
-            count[:, :n] += step & 1
+            entry = self.step(state[:, :n], code[sorted_begin[:n] + j], lang, rare)
+            state[:, :n] = entry >> 1
+            count[:, :n] += entry & 1
+        last, counts = np.empty_like(state), np.empty_like(count)
+        last[:, order], counts[:, order] = state, count
+        self.carry(code, begin, length, k, last, counts, rare)
         total = np.zeros((len(self.langs), len(docs)), np.int64)
-        for row, c in zip(total, count, strict=True):
-            np.add.at(row, of[order], c)
-        return total, size, letters
+        for row, c in zip(total, counts, strict=True):
+            np.add.at(row, of, c)
+        return total + (size > 0), size, letters
+
+    def carry(self, code: np.ndarray, begin: np.ndarray, length: np.ndarray, k: np.ndarray, last: np.ndarray, counts: np.ndarray, rare: bool) -> None:
+        """Correct the counts of blocks for the phrases that reach into them from the block before."""
+        # A row for each language and block that is not its text's first: lang, block.
+        inner = np.flatnonzero(k > 0)
+        lang, block = (x.ravel() for x in np.meshgrid(np.arange(len(self.langs)), inner, indexing="ij"))
+        alone, fix = last.copy(), np.zeros(last.shape, np.int64)
+        while len(block):
+            real, guess = last[lang, block - 1], self.start[lang].astype(last.dtype)
+            entered = np.zeros(len(block), np.int64)
+            result, live = alone[lang, block], np.arange(len(block))
+            j = 0
+            while len(live):
+                at, l = code[begin[block[live]] + j], lang[live]
+                a, b = self.step(real, at, l, rare), self.step(guess, at, l, rare)
+                entered[live] += (a & 1).astype(np.int64) - (b & 1)
+                real, guess = a >> 1, b >> 1
+                j += 1
+                ended = length[block[live]] == j
+                result[live[ended]] = real[ended]
+                on = (real != guess) & ~ended
+                live, real, guess = live[on], real[on], guess[on]
+            fix[lang, block] = entered
+            changed = result != last[lang, block]
+            last[lang, block] = result
+            # A block whose last state is not what the next one was given has the next one corrected again.
+            lang, block = lang[changed], block[changed] + 1
+            follows = block < len(k)
+            follows[follows] = k[block[follows]] > 0
+            lang, block = lang[follows], block[follows]
+        counts += fix
 
     def predict(self, docs: list[str | None]) -> tuple[list, list, list, list]:
         if not self.langs:
