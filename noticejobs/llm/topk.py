@@ -11,13 +11,14 @@ the block alone holds k better ones. So a block sends at most k rows a query and
 ties or copies it holds.
 
 Vectors become ``floor(256 * x)``. Vectors that are null, empty or hold null or non-finite parts take no
-part, nor do rows without an id; vectors of other lengths than the query's are no candidates of it.
+part, nor do rows without an id; vectors of other lengths than the query's are no candidates of it. Scores must fit 64 bits.
 A query id repeated asks once, with its smallest vector; a candidate row repeated counts each time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from noticejobs.llm.common import arrow_rows, stored
 BINS = 1024
 #: Rows of a candidate block and queries of a query block.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
-#: Query blocks up to this size are broadcast; larger sets are joined by a shuffle.
+#: Query blocks are broadcast in batches up to this size, one batch after the other; candidate blocks are never moved.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -75,15 +76,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     asked = stored(asked.withColumn("dim", F.size("v")))
     n_queries, most = asked.agg(F.count("*"), F.max("dim")).first()
     n_blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    small = n_queries * (most or 0) * 8 <= BROADCAST_BYTES
+    n_batches = min(n_blocks, max(1, -(-n_queries * (most or 0) * 8 // BROADCAST_BYTES)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
 
     def scored(limits: DataFrame, emit, schema: str) -> DataFrame:
         """Apply ``emit`` to each pair of a candidate block and a query block of the same dimension."""
         with_limits = asked.join(limits, "query_id")
         qblocks = with_limits.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v", "low", "width")).alias("q"))
-        spread = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        pairs = spread.join(F.broadcast(qblocks) if small else qblocks, ["dim", "block"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -103,7 +102,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                         s = (qv[part].astype(np.float64) @ left).astype(np.int64) if exact else qv[part] @ left
                         yield from emit(qid[part], low[part], width[part], ids, s)
 
-        return pairs.select("dim", "n", "ids", "matrix", "q").mapInArrow(run, schema)
+        def batch(k: int) -> DataFrame:
+            asked_now = F.broadcast(qblocks if n_batches == 1 else qblocks.filter(F.col("block") % n_batches == k))
+            return blocks.join(asked_now, "dim").select("dim", "n", "ids", "matrix", "q").mapInArrow(run, schema)
+
+        return batch(0) if n_batches == 1 else reduce(DataFrame.unionByName, [stored(batch(k)) for k in range(n_batches)])
 
     counted = pa.schema([("query_id", pa.int64()), ("bin", pa.int64()), ("c", pa.int64())])
 
@@ -133,8 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         yield arrow_rows(ranked, out)
 
     # First range: |score| <= |q| * max |x|, from the data; one pass over the blocks' norms.
-    longest = usable(vectors, id_col, vector_col).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).first()[0] or 0.0
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)) * F.lit(float(np.sqrt(longest)))
+    longest = usable(vectors, id_col, vector_col).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))).first()[0] or 0.0
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)) * F.lit(float(np.sqrt(longest)))
     reach = F.ceil(norm).cast("long") + 1
     limits = asked.select("query_id", (-reach).alias("low"), F.ceil((2 * reach + 1) / BINS).cast("long").alias("width"))
     # A round narrows the range BINS times; how many are needed follows from the widest one.
