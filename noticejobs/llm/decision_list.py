@@ -10,7 +10,8 @@ number does not depend on the rows.
 
 Defined results: a null text has no words; statistics of texts without words are 0; a document with several
 labels counts once for each; without labels of both kinds the list is empty and keeps everything; a
-condition is ``statistic >= limit`` or ``statistic < limit``.
+condition is ``statistic >= limit`` or ``statistic < limit``; of conditions with one gain the first by name, limit and sign is taken;
+repeated rows are judged each; an empty table gives an empty result; other columns are kept, but for the names of the statistics.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ at one place, whatever else the document holds. The plain phrases (``PHRASES``)
 Words: A-Z lower-cased, then runs of digits, a-z and non-ASCII characters.
 
 Defined results: a null or empty text has no words, places or labels and score 0; a document
-repeated is reported each time; equal words of a template vote for each of their positions.
+repeated is reported each time; equal words of a template vote for each of their positions; a text of any length is looked
+through whole, and every notice in it is found; of rarest words with one frequency the first of the phrase counts; columns other than
+doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ only with a strictly higher score, candidates come in order of their start; a ch
 piece of its own costs the lowest score less 10, and a run of such characters is one unknown token,
 or one token for each of its bytes with ``byte_fallback``.
 
-Defined results: a null text and an empty one have 0 tokens and score 0; repeated rows count each.
+Defined results: a null text and an empty one have 0 tokens and score 0; repeated rows count each; of paths with one score
+the first found stays; a text or word of any length is taken whole; columns other than doc_id and text are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
