@@ -6,8 +6,10 @@ the best k of a partition are shuffled. So frequent tags and words need no cap.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +17,44 @@ from noticejobs.operators.activity import current_saved, popular_notices, seen,
 from noticejobs.sources.shared import materialized
 
 
-#: Queries of a block.
-BLOCK_QUERIES = 128
+#: Queries of a block, and blocks that the rows of a partition are dealt to.
+BLOCK_QUERIES, ROW_BLOCKS = 256, 16
 
 
-def best_partners(rows: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], order: Column, k: int) -> DataFrame:
+def best_partners(rows: DataFrame, queries: DataFrame, score: Callable, k: int) -> DataFrame:
     """(a, rank, b, score): the best k other rows with a score above 0 for each query, equal scores by id.
 
-    ``rows`` and ``queries`` are (id, f); ``score`` compares a query's f with a row's. Spark broadcasts the written
-    blocks of queries if their files are small enough, and shuffles them otherwise.
+    ``rows`` and ``queries`` are (id, words, labels), two arrays of strings; a word counts once. For a block of queries and a block of
+    rows ``score`` gets the number of shared words, both sizes, and for each label whether it is the same, as arrays of
+    queries x rows. A pair of blocks keeps its own k best for a query. Spark broadcasts the written blocks of
+    queries if their files are small enough, and shuffles them otherwise.
     """
+    item = F.struct("id", "words", "labels")
     n = max(1, -(-queries.count() // BLOCK_QUERIES))
-    blocks = materialized(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "f")).alias("q")))
-    pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block")
-    scored = F.transform("q", lambda x: F.struct(x["id"].alias("a"), score(x["f"], F.col("f")).alias("score")))
-    found = pairs.select(F.col("id").alias("b"), F.explode(F.filter(scored, lambda x: (x["score"] > 0) & (x["a"] != F.col("id")))).alias("x")).select("x.a", "b", "x.score")
-    return top_k(found, "a", [order, F.col("b")], k)
+    blocks = materialized(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(item).alias("q")))
+    dealt = rows.withColumn("shard", F.spark_partition_id()).groupBy("shard", F.pmod(F.xxhash64("id"), F.lit(ROW_BLOCKS)).alias("salt")).agg(F.collect_list(item).alias("r"))
+    pairs = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("q", "r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                r.sort(key=lambda x: x["id"])  # the stable sort below leaves ties in this order
+                sets = [[set(x["words"]) for x in side] for side in (q, r)]
+                column = {w: c for c, w in enumerate(set().union(*sets[0]))}
+                asked = np.zeros((len(column) + 1, len(q)), np.float32)
+                for j, words in enumerate(sets[0]):
+                    asked[[column[w] for w in words], j] = 1
+                shared = np.array([asked[[column[w] for w in words if w in column] or [-1]].sum(0) for words in sets[1]]).T
+                same = [np.array([x["labels"][c] is not None and y["labels"][c] == x["labels"][c] for x in q for y in r]).reshape(len(q), len(r)) for c in range(len(q[0]["labels"]))]
+                of_q, of_r = (np.array([x["id"] for x in side]) for side in (q, r))
+                value = score(shared, np.array([[len(x)] for x in sets[0]]), np.array([[len(x) for x in sets[1]]]), same)
+                value = np.where(of_q[:, None] == of_r, 0, value)
+                best = np.argsort(-value, axis=1, kind="stable")[:, :k]
+                top = np.take_along_axis(value, best, 1).astype(float)
+                keep = top > 0
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.broadcast_to(of_q[:, None], best.shape)[keep]), "b": pa.array(of_r[best][keep]), "score": pa.array(top[keep])})
+
+    return top_k(pairs.mapInArrow(run, "a long, b long, score double"), "a", [F.desc("score"), F.col("b")], k)
 
 
 def top_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
@@ -40,15 +64,14 @@ def top_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
 def related_notices(notices: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Best k suggestions for each of ``queries`` (default: all): 2 for the same organization, 1 for the same category, 1 for
     each shared tag; at least one shared tag or the same organization."""
-    described = lambda df: df.select("id", F.struct("organization", "category", F.coalesce(F.array_distinct("tags"), F.lit([]).cast("array<string>")).alias("tags")).alias("f"))
+    tags = F.coalesce("tags", F.lit([]).cast("array<string>"))
+    described = lambda df: df.select(F.col("id").cast("long").alias("id"), F.filter(tags, lambda t: t.isNotNull()).alias("words"), F.array("organization", "category").alias("labels"))
 
-    def score(q: Column, x: Column) -> Column:
-        same = lambda c: F.coalesce((q[c] == x[c]).cast("int"), F.lit(0))
-        shared = F.size(F.array_intersect(q["tags"], x["tags"]))
-        return F.when((shared > 0) | (same("organization") > 0), 2 * same("organization") + same("category") + shared).otherwise(0)
+    def score(shared: np.ndarray, _, __, same: list[np.ndarray]) -> np.ndarray:
+        return np.where((shared > 0) | same[0], 2 * same[0] + same[1] + shared, 0)
 
-    best = best_partners(described(notices), described(notices if queries is None else queries), score, F.desc("score"), k)
-    return best.select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), "score")
+    best = best_partners(described(notices), described(notices if queries is None else queries), score, k)
+    return best.select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), F.col("score").cast("long").alias("score"))
 
 
 def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
@@ -82,14 +105,13 @@ def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> Da
 def related_questions(messages: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Questions like each of ``queries`` (messages; default: all questions): Jaccard similarity of their words."""
     def words(df: DataFrame) -> DataFrame:
-        found = F.array_distinct(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: w != ""))
-        return df.filter("role = 'user' and content is not null").select("id", F.struct(found.alias("w")).alias("f"))
+        found = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: w != "")
+        return df.filter("role = 'user' and content is not null").select(F.col("id").cast("long").alias("id"), found.alias("words"), F.lit([]).cast("array<string>").alias("labels"))
 
-    def score(q: Column, x: Column) -> Column:
-        common = F.size(F.array_intersect(q["w"], x["w"]))
-        return F.when(common > 0, F.round(common / (F.size(q["w"]) + F.size(x["w"]) - common), 6)).otherwise(0.0)
+    def score(shared: np.ndarray, q: np.ndarray, r: np.ndarray, _) -> np.ndarray:
+        return np.round(shared / np.maximum(q + r - shared, 1), 6)
 
-    best = best_partners(words(messages), words(messages if queries is None else queries), score, F.desc("score"), k)
+    best = best_partners(words(messages), words(messages if queries is None else queries), score, k)
     return best.select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), F.col("score").alias("jaccard"))
 
 
