@@ -144,7 +144,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
         """Hashes of the last two words and of the last word alone, digits as 9; found from the end, so in one pass."""
         ending = lambda regex: F.lower(F.regexp_replace(F.regexp_extract(F.reverse(before), regex, 0), "[0-9]", "9"))
         two, one = ending(r"^\s*+\S*+(?:\s++\S++)?"), ending(r"^\s*+\S*+")
-        return F.filter(F.array_distinct(F.array(*[F.when(F.trim(x) != "", F.sha2(x, 256)) for x in (two, F.concat(one, F.lit("\n1")))])), lambda x: x.isNotNull())
+        return F.filter(F.array_distinct(F.array(*[F.when(x.rlike(r"\S"), F.sha2(F.concat(x, F.lit(mark)), 256)) for x, mark in ((two, "2"), (one, "1"))])), lambda x: x.isNotNull())
 
     def described(found: Column) -> Column:
         return F.zip_with(found, overlapping(found, F.col("base")), lambda x, hit: F.struct(
