@@ -6,12 +6,14 @@ of slots. Each indicator is scaled by the log ratio of its smoothed counts in th
 linear hinge-loss model is fitted on the scaled, length-normalised vectors by dual coordinate
 descent, and a logistic curve fitted on rows kept apart turns its margin into a score.
 
-The fit uses a bounded sample: the ``SAMPLE_ROWS`` labelled rows with the smallest hash of their id. The
-weights have a fixed size; every text is scored in whole.
+The fit uses a bounded sample: the ``SAMPLE_ROWS`` labelled rows with the smallest hash of their id, as many of them, in
+that order, as have ``SAMPLE_FEATURES`` features together. One task fits the model, and only its weights, which
+have a fixed size, reach the driver. Every text is scored in whole.
 
 Defined results: null and empty texts have no features, so they get the score of the intercept; with no
 labels, or labels of one class only, every score is 1.0 (or 0.0, if only 0 was seen); a document with several
-labels takes the lowest; repeated rows are scored each; equal vectors get equal scores.
+labels takes the lowest; of labelled rows with one doc_id, that whose features sort first is learned from; repeated rows are
+scored each; equal vectors get equal scores; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from noticejobs.llm.common import arrow_rows, slices, texts
 
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS, SAMPLE_FEATURES = 8192, 1 << 23
 WORD_SLOTS, SHAPE_SLOTS = 1 << 18, 1 << 16
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
 CACHE_WORDS = 500_000
@@ -83,6 +85,12 @@ class Model:
     def __init__(self, weight: np.ndarray, ratio: np.ndarray, bias: float, slope: float, shift: float):
         self.weight, self.square, self.bias, self.slope, self.shift = weight.astype(np.float32), np.square(ratio).astype(np.float32), bias, slope, shift
 
+    @classmethod
+    def of(cls, weight: bytes, square: bytes, bias: float, slope: float, shift: float) -> Model:
+        out = cls(np.frombuffer(weight, np.float32), np.zeros(0), bias, slope, shift)
+        out.square = np.frombuffer(square, np.float32)
+        return out
+
     def margins(self, slots: np.ndarray, size: np.ndarray) -> np.ndarray:
         doc = np.repeat(np.arange(len(size)), size)
         norm = np.sqrt(np.bincount(doc, self.square[slots], minlength=len(size)))
@@ -146,8 +154,8 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled documents, chosen by the hash of their id."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
+    """Fit on at most ``sample_rows`` labelled documents of ``sample_features`` features, chosen by the hash of their id."""
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     chosen = rated.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     picked = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # bounded by sample_rows
@@ -161,9 +169,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "y": pa.array(y[done : done + len(ids)], pa.int32()), "slots": pa.array([x.tobytes() for x in np.split(slots, np.cumsum(size)[:-1])], pa.binary())})
                 done += len(ids)
 
-    got = picked.mapInArrow(run, "doc_id long, y int, slots binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    data = [(np.frombuffer(s.as_buffer(), np.int32), y) for s, y in zip(got["slots"], got["y"].to_pylist(), strict=True)]
-    return fit([data[k] for k in np.random.default_rng(3).permutation(len(data))])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data: list[tuple[np.ndarray, int]] = []
+        last, held = None, 0
+        for batch in batches:  # in the order of the sample; what is beyond its bound is not kept
+            for doc, y, slots in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if held < sample_features and doc.as_py() != last:
+                    data.append((np.frombuffer(slots.as_py(), np.int32), y.as_py()))
+                    last, held = doc.as_py(), held + len(data[-1][0])
+        model = fit([data[k] for k in np.random.default_rng(3).permutation(len(data))])
+        yield pa.RecordBatch.from_pydict({"weight": [model.weight.tobytes()], "square": [model.square.tobytes()], "bias": [float(model.bias)], "slope": [float(model.slope)], "shift": [float(model.shift)]})
+
+    sample = picked.mapInArrow(run, "doc_id long, y int, slots binary").withColumn("h", F.xxhash64("doc_id"))
+    one = sample.repartition(1).sortWithinPartitions("h", "doc_id", "slots").select("doc_id", "y", "slots")  # the bounded sample in one task
+    got = one.mapInArrow(fitted, "weight binary, square binary, bias double, slope double, shift double").toArrow().to_pylist()
+    return Model.of(**got[0]) if got else constant(1.0)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
