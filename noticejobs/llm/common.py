@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +40,46 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"  # a single machine, as in tests
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_tracked: ContextVar[dict | None] = ContextVar("stored tables", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps survive lost executors."""
-    folder = shared_folder(df.sparkSession)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    if (held := _tracked.get()) is not None:
+        held[folder] = spark
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.stored_in)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if (held := _tracked.get()) is not None:
+        held.pop(folder, None)
+
+
+@contextmanager
+def tracking() -> Iterator[dict]:
+    """The folders of the tables stored (and not discarded) inside, as keys."""
+    held: dict = {}
+    token = _tracked.set(held)
+    try:
+        yield held
+    finally:
+        _tracked.reset(token)
