@@ -1,29 +1,60 @@
 """Corpus pipeline: quality rules, quality classifier, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next stage's ``docs``. All stages but the last return the columns of ``docs``.
+as the next stage's ``docs``. All stages but the last return the columns of ``docs``, whatever other columns and names
+they are. Tables that a stage wrote for itself are deleted when the next stage begins, unless its ``docs`` still reads them.
+
+Defined results of every stage but the last: an empty table gives an empty one; rows are kept or dropped whole. Null and empty
+texts have no words, so the first stage rejects them; the others keep them, but for what their score decides.
+Rows that share a doc_id are judged each by their text; the near-duplicate stage keeps one of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+from threading import get_ident
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticejobs.llm import decision_list, langid, nbsvm, packing, pii, trie_join
-from noticejobs.llm.common import slices, stored
+from noticejobs.llm.common import delete, discard, slices, stored, tracking
 from noticejobs.llm.queries import documents, tokenizer_file
 
 #: The whole cannot be expressed in SQL (learned rules and weights, trie join, packing).
 ORACLE_SQL: str | None = None
 
 
+_left: dict[int, dict] = {}  # a thread's stored tables of its last stage
+
+
+def stage(body: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Delete what the stage before this one stored; keep account of what this one stores."""
+
+    @wraps(body)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        old = _left.pop(get_ident(), {})
+        read = set("/".join(x.split("/")[:-1]) for x in docs.inputFiles()) if old else set()
+        for folder, session in old.items():
+            if session is spark and not any(x.endswith(folder.split(":")[-1]) for x in read):
+                delete(spark, folder)
+        with tracking() as held:
+            out = body(spark, docs, sf_dir)
+        _left[get_ident()] = held
+        return out
+
+    return run_stage
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what neither the base limits nor the learned decision list reject."""
+    """Keep what neither the base limits nor the learned decision list reject. A null label counts as none."""
     # The row travels as one struct, so that no column of it can clash with a statistic; the statistics are
     # computed once and written, as a filter on them would be pushed below and compute them again.
     rows = stored(decision_list.described(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).drop("text"))
@@ -31,6 +62,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.filter(~decision_list.base_failed() & ~rules.rejects()).select("_row.*")
 
 
+@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a score of at least 0.3; the model learns from the labelled documents of the whole table."""
     model = nbsvm.learn(documents(spark, sf_dir), labels(spark, sf_dir).filter(langid.fold(5) != 0))
@@ -48,29 +80,43 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.mapInArrow(run, docs.schema)
 
 
+@stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more."""
-    groups = trie_join.jaccard_groups(docs, n=5, num=80, den=100)
-    copies = stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("copy_id")).distinct())
-    if copies.count() <= trie_join.BROADCAST_IDS:
-        copies = F.broadcast(copies)  # else the table and the ids are joined by a shuffle
-    return docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
-
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more.
 
+    Null texts and null ids link with nothing and stay. Of rows that share a doc_id one stays, that whose row hashes to the
+    least; equal rows among them are one.
+    """
+    groups = trie_join.jaccard_groups(docs, n=5, num=80, den=100)
+    copies = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    ids = F.broadcast(copies) if copies.count() <= trie_join.BROADCAST_IDS else copies  # else the table and the ids are joined by a shuffle
+    # The row travels as one struct, so that no column of it can clash.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = rows.join(ids, "doc_id", "left_anti")
+    repeated = stored(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("doc_id is not null and count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept.select("_row.*")
+    many = F.broadcast(repeated) if repeated.count() <= trie_join.BROADCAST_IDS else repeated
+    single, several = kept.join(many, "doc_id", "left_anti"), kept.join(many, "doc_id", "left_semi")
+    one = several.groupBy("doc_id").agg(F.min_by("_row", F.sha2(F.to_json("_row"), 256)).alias("_row"))
+    return single.select("_row.*").unionByName(one.select("_row.*"))
+
+
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span of personal data becomes its kind in brackets; ``n_chars`` follows the text."""
+    """Every span of personal data becomes its kind in brackets; ``n_chars``, where there is one, follows the text; a null text stays null."""
     rows = pii.detect(docs.select(F.struct("*").alias("_whole"), "text"), keep=("_whole",))
     text = pii.redacted(F.col("_whole.text"), F.col("all_spans"))
     changed = F.size("all_spans") > 0
-    out = rows.select("_whole.*", text.alias("_text"), changed.alias("_changed"))
-    for name, value in (("text", F.col("_text")), ("n_chars", F.length("_text").cast("long"))):
-        if name in docs.columns:
-            out = out.withColumn(name, F.when(F.col("_changed"), value).otherwise(F.col(name)).cast(docs.schema[name].dataType))
-    return out.select(*docs.columns)
+    out = rows.select("_whole", text.alias("_text"), changed.alias("_changed"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    old = {name: F.col("_whole").getField(name) for name in docs.columns}
+    return out.select(*[F.when(F.col("_changed"), new[c]).otherwise(v).cast(docs.schema[c].dataType).alias(c) if c in new else v.alias(c) for c, v in old.items()])
 
 
+@stage
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens in sequences."""
+    """Pieces of at most 2048 tokens in sequences; a null text has the end id alone, rows that share a doc_id are packed each."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -85,6 +131,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for k, (_, f) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(f(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
