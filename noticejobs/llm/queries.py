@@ -80,6 +80,18 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_join.jaccard_groups(documents(spark, sf_dir), n=3, num=90, den=100)
 
 
+#: All pairs; the columns of the contract for ids without nulls.
+SQL["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) END AS g FROM d),
+h AS (SELECT doc_id, [hash(x) for x in g] AS g, len(g) AS n FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.g, y.g)) AS common, x.n + y.n AS n FROM h x JOIN h y ON x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) AND x.n > 0),
+e AS (SELECT a, b FROM p WHERE 100 * common >= 90 * (n - common) UNION ALL SELECT b, a FROM p WHERE 100 * common >= 90 * (n - common)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM h UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, n AS n_shingles, component_id FROM h JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1) USING (doc_id)
+"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(documents(spark, sf_dir))
 
