@@ -1,9 +1,10 @@
 """N-gram Jaccard join with prefix trees, and the groups its links form.
 
 Every document becomes the set of its distinct word n-grams (64-bit hashes). Equal sets are one class. A global
-order puts n-grams that a fixed-size count sketch of the whole corpus finds frequent last, all others by
-hash. Two sets with Jaccard similarity at or above the threshold share one of the first
-``n - ceil(threshold * n) + 1`` n-grams of either, so only sets that share one are compared.
+order puts n-grams that a fixed-size count sketch finds repeated last, all others by hash; the sketch counts those that
+stand in two documents of the ``REPEAT_GRAMS`` n-grams that a task holds at a time. Two sets with Jaccard similarity at or above the threshold share one of the first
+``n - ceil(threshold * n) + 1`` n-grams of either, so only sets that share one are compared. Of n-grams that
+are shared by the very same sets, the first in the global order stands for all.
 
 Parity bits of the sets rule out most pairs that share an n-gram by chance before any set is moved.
 Comparison is by trie: the sets to be compared with one probe are stored, in the global order, in a compressed
@@ -17,7 +18,8 @@ out; pairs inside one component are not enumerated, so a group of n near copies
 
 Defined results: null and empty texts have no n-grams, link with nothing and are their own group; a
 text with fewer words than n is one n-gram; rows that share a doc_id are one document; a null doc_id has
-group null and links with nothing. Two different n-grams with the same 64-bit hash would count as one.
+group null and links with nothing. Columns other than doc_id and text are ignored; an empty table gives an empty result. Two different
+n-grams with the same 64-bit hash would count as one.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticejobs.llm.common import slices, stored, texts
+from noticejobs.llm.common import discard, slices, stored, texts
 
 #: Counters of the frequency sketch: 4 MB, whatever the corpus.
 SKETCH, SKETCH_CHUNK = 1 << 20, 1 << 14
+#: N-grams among which a task looks for repeated ones at a time: 32 MB.
+REPEAT_GRAMS = 1 << 22
 #: Ids that are broadcast at most: 8 MB of longs.
 BROADCAST_IDS = 1 << 20
 #: Sets compared with a probe in one trie.
@@ -80,15 +84,27 @@ def in_order(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
-    """A rank for each counter of the sketch: 0 unless its n-grams stand in clearly more documents than the mean."""
+    """A rank for each counter of the sketch: 0 unless its n-grams were repeated clearly more often than most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total = Shingler(n), np.zeros(SKETCH, np.int64)
+        held: list[np.ndarray] = []
+
+        def repeated() -> np.ndarray:
+            grams = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            same = grams[1:] == grams[:-1]
+            again = np.zeros(len(grams), bool)
+            again[1:] |= same
+            again[:-1] |= same
+            held.clear()
+            return np.bincount((grams[again] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+
         for batch in batches:
             for _, rows in slices(batch):
-                sets = shingler.sets(rows)
-                total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield from rows_of(total, TaskContext.get().partitionId() % 256)
+                held += shingler.sets(rows)
+                if sum(map(len, held)) >= REPEAT_GRAMS:
+                    total += repeated()
+        yield from rows_of(total + repeated(), TaskContext.get().partitionId() % 256)
 
     def rows_of(total: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
         parts = total.astype("<i8").reshape(-1, SKETCH_CHUNK)
@@ -102,9 +118,9 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
     parts = texts(docs).mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
     got = parts.groupBy("chunk").applyInArrow(add, schema).toArrow().sort_by("chunk")  # 8 MB, whatever the corpus
     counts = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in got["counts"]]) if len(got) else np.zeros(SKETCH, np.int64)
-    # Rare n-grams fill all counters alike; what stands clearly above that noise is frequent.
+    # Repeated n-grams that are many and rare fill all counters alike; what stands clearly above that noise is frequent.
     usual = float(np.median(counts))
-    noise = 4 * math.sqrt(usual) + 4
+    noise = 4 * math.sqrt(usual) + 1
     return np.clip(np.ceil(2 * np.log2(np.maximum((counts - usual) / noise, 1))), 0, 255).astype(np.uint8)
 
 
@@ -246,12 +262,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        now = stored(small.filter("u <> v").distinct())
+        before, now = now, stored(small.filter("u <> v").distinct())
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == mark:
             break
         mark = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    out.stored_in = now.stored_in
+    return out
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -282,26 +301,38 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     described = stored(texts(docs).mapInArrow(describe, "doc_id long, n long, class binary, prefix array<long>, bits binary, words array<long>"))
     present = described.filter("class is not null and doc_id is not null")
     classes = stored(present.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("words").alias("words")))
+    ids = stored(described.select("doc_id", "n", "class"))
+    discard(described)
 
     index = classes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = index.groupBy("gram").count().filter("count > 1").select("gram")
+    # The sets of an n-gram, as two sums of hashes; of n-grams with the same sets the first in the global order is kept.
+    sharing = index.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.min("pos").alias("pos"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("c > 1")
+    shared = sharing.groupBy("c", "least", "x", "y").agg(F.min_by("gram", "pos").alias("gram")).select("gram")
     index = stored(index.join(shared, "gram", "left_semi"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        nodes = stored(nodes)
-        if nodes.count() <= BROADCAST_IDS:
-            nodes = F.broadcast(nodes)  # else texts and ids are joined by a shuffle
-        wanted = texts(docs).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-        return stored(wanted.mapInArrow(grams, "node long, grams binary"))
+        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        ids = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes  # else texts and ids are joined by a shuffle
+        wanted = texts(docs).join(ids, F.col("doc_id") == F.col("node"), "left_semi")
+        sets = stored(wanted.mapInArrow(grams, "node long, grams binary"))
+        discard(nodes)
+        return sets
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets reach the similarity; ``pairs`` is discarded."""
+        sets = sets_of(pairs)
+        edges = stored(linked(pairs, sets, num, den))
+        discard(pairs, sets)
+        return edges
 
     # Stars: every set of an n-gram and size band against the smallest node of both.
     banded = index.withColumn("band", F.floor(F.log("n") / math.log(den / num)))
     leader = banded.groupBy("gram", "band").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
     stars = stored(banded.join(leader, ["gram", "band"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     near_stars = stored(plausible(stars, classes, num, den))
-    edges = stored(linked(near_stars, sets_of(near_stars), num, den))
+    edges = checked(near_stars)
     groups = components(edges)
+    discard(edges)
 
     # What stars left open: sets of one n-gram in different components.
     placed = stored(index.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
@@ -316,10 +347,18 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     near &= differ <= F.col("l.n") + F.col("r.n") - 2 * F.ceil(num * (F.col("l.n") + F.col("r.n")) / (num + den))
     crossing = l.join(r, near & ((F.col("r.comp") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     crossing = stored(plausible(crossing.join(stars, ["a", "b"], "left_anti"), classes, num, den))
+    discard(stars, placed, index)
     if not crossing.isEmpty():
-        more = stored(linked(crossing, sets_of(crossing), num, den))
+        more = checked(crossing)
         if not more.isEmpty():
-            groups = components(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
-
-    moved = classes.select("class", "node", "copies").join(groups, "node", "left").filter("copies > 1 or comp is not null").select("class", F.coalesce("comp", "node").alias("comp"))
-    return described.select("doc_id", "n", "class").join(moved, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+            stars_only, groups = groups, components(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+            discard(stars_only)
+        discard(more)
+    else:
+        discard(crossing)
+    rank.unpersist()
+
+    moved = stored(classes.select("class", "node", "copies").join(groups, "node", "left").filter("copies > 1 or comp is not null").select("class", F.coalesce("comp", "node").alias("comp")))
+    discard(classes, groups)
+    # A class with very many copies is a hot key of this join; adaptive execution splits it, as the other side has one row a class.
+    return ids.join(moved, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
