@@ -36,11 +36,10 @@ def j3_keyword_rules(spark, d):
     return L.match_keyword_rules(*both(spark, d)).select("rule_id", "notice_id")
 
 
-@query("SELECT 1 AS rule_id, id AS notice_id FROM notices WHERE contains(lower(title), 'urgent') AND contains(lower(title), 'nation_1')", "notices")
+@query("SELECT r.id AS rule_id, n.id AS notice_id FROM notices n JOIN alert_rules r ON r.enabled AND r.type = 'keyword' AND (contains(lower(n.title), lower(r.condition)) OR contains(lower(n.organization), lower(r.condition))) AND (contains(lower(n.title), 'nation_1') OR contains(lower(n.organization), 'nation_1'))", "notices", "alert_rules")
 def j3_all_keywords(spark, d):
-    """A rule with several keywords that all have to occur."""
-    rules = spark.createDataFrame([(1, 1, "keyword", ["URGENT", " nation_1 ", ""], True), (2, 1, "keyword", ["urgent"], False)], "id int, user_id int, type string, conditions array<string>, enabled boolean")
-    rules = rules.withColumn("conditions", F.filter("conditions", lambda c: c != ""))
+    """Rules with several keywords that all have to occur."""
+    rules = A.alert_rules(spark, d).withColumn("conditions", F.array_union("conditions", F.array(F.lit("nation_1"))))
     return L.match_keyword_rules(A.notices(spark, d), rules, "all").select("rule_id", "notice_id").distinct()
 
 
