@@ -18,15 +18,19 @@ Ids of one piece are contiguous ids of its document; every id lies in exactly on
 does not depend on retries.
 
 Defined results: a null or empty text has the end id alone; equal scores go to the earlier document of the
-shard (by key, then doc_id); repeated rows are packed each; a null doc_id stays null.
+shard (by key, then doc_id); repeated rows are packed each; a null doc_id stays null; a text of any length is cut into whole
+windows first; columns other than doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -41,9 +45,11 @@ from noticejobs.llm.common import arrow_rows, slices, stored, texts
 WINDOW = 2048
 #: Tokens of a shard, shards of a task, and terms of the key by which remainders are dealt.
 SHARD_TOKENS, TASK_SHARDS, KEY_TERMS = 1_500_000, 4, 3
-#: Pieces of text whose ids a worker remembers; beyond this it starts afresh.
-CACHE_PIECES = 700_000
+#: Pieces of text whose ids a worker remembers (beyond this it starts afresh), and bytes of text that it works on at a time.
+CACHE_PIECES, SLICE = 600_000, 2 << 20
 K1, B = 1.2, 0.75
+#: Neighbours of a seed that are sorted before the others, and the share of a shard above which a term's weights are a row.
+BEST, DENSE = 64, 0.12
 OUT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 REMAINDERS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("rest", pa.binary())])
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -53,53 +59,106 @@ class WordIds:
     """Token ids of whole texts, with those of each blank-separated piece remembered.
 
     The tokenizer drops white space, so a text's ids are those of its pieces in order. Pieces of plain
-    characters are split here and given to the tokenizer's model word by word; all others go to the
-    tokenizer itself.
+    characters are split here and given to the tokenizer's model word by word; all others, and those that may hold the
+    string of a special token, go to the tokenizer itself.
     """
 
     PLAIN = re.compile("[\\n\\t\\x21-\\x7e\\u00a1-\\u0233]*")
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    WORDS = regex.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\x00]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {}  # byte -> the character that stands for it
         for c in map(chr, [*range(0x80), *range(0xA0, 0x800), 0x1000, 0x2000, 0x4000, 0x8000, 0xF000, *range(0x10000, 0x10FFFF, 0x3F0F)]):
             shown = byte_level.pre_tokenize_str(c)[0][0]
             self.letters.update(zip(c.encode(), shown, strict=True))
-        self.cache: dict[str, bytes] = {"": b""}
+        self.end_id = end_id
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, int] = {}  # a piece's number; number 0 is the end id
+        self.pool, self.begin, self.count = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def word(self, w: str) -> bytes:
-        got = self.words.get(w)
-        if got is None:
-            shown = "".join([self.letters[b] for b in w.encode()])
-            got = self.words[w] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        shown = w if w.isascii() else "".join([self.letters[b] for b in w.encode()])  # visible ASCII stands for itself
+        got = self.words[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return got
 
     def learn(self, new: list[str]) -> None:
-        other = []
-        for piece in new:
-            if self.PLAIN.fullmatch(piece):
-                w = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-                self.cache[piece] = b"".join([self.word(x) for x in self.WORDS.findall(w.lower())])
+        found: list[bytes] = [b""] * len(new)
+        plain: list[int] = []
+        other: list[int] = []
+        word, known, text = self.word, self.words.get, "\n".join(new)
+        special = [x for x in self.special if x in text]
+        for k, piece in enumerate(new):
+            if piece.isalpha() and piece.isascii():
+                w = piece.lower()
+                found[k] = known(w) or word(w)
+            elif self.PLAIN.fullmatch(piece) and not (special and any(x in piece for x in special)):
+                plain.append(k)
+            else:
+                other.append(k)
+        # The words of all plain pieces come from one pass over them, a NUL between two.
+        text = "\0".join([new[k] for k in plain])
+        text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        ids, size = [], 0
+        ends = []
+        for w in self.WORDS.findall(text):
+            if w == "\0":
+                ends.append(size)
             else:
-                other.append(piece)
-        for piece, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False) if other else [], strict=True):
-            self.cache[piece] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, rows: list[str | None]) -> list[np.ndarray]:
-        cut = [(x or "").split(" ") for x in rows]
-        new = list({p for x in cut for p in x}.difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache, self.words = {"": b""}, {}
-            new = list({p for x in cut for p in x})
+                got = known(w) or word(w)
+                ids.append(got)
+                size += len(got)
+        raw = b"".join(ids)
+        for k, at, end in zip(plain, [0, *ends], [*ends, size], strict=True) if plain else ():
+            found[k] = raw[at:end]
+        for k, got in zip(other, self.tokenizer.encode_batch([new[k] for k in other], add_special_tokens=False) if other else [], strict=True):
+            found[k] = array("I", got.ids).tobytes()
+        count = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        number = len(self.count)
+        self.begin = np.append(self.begin, len(self.pool) + np.cumsum(count) - count)
+        self.count = np.append(self.count, count)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(found), np.uint32))
+        self.pieces.update(zip(new, range(number, number + len(new))))
+
+    def lowered(self, text: str) -> str:
+        """The text in lower case, where that is plain and makes no special token: fewer pieces differ then."""
+        low = text.lower()
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text if any(x in low for x in self.special) else low
+
+    def encode(self, rows: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after the other, and how many each text has."""
+        cut = [self.lowered(x or "").split(" ") for x in rows]
+        flat = list(chain.from_iterable(cut))
+        held = list(map(self.pieces.get, flat))
+        new = list({p for p, n in zip(flat, held, strict=True) if n is None})
+        if len(self.pieces) + len(new) > CACHE_PIECES:
+            self.forget()
+            held, new = [None] * len(flat), list(set(flat))
         self.learn(new)
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, x)), "<u4") for x in cut]
+        held = [self.pieces[p] if n is None else n for p, n in zip(flat, held, strict=True)]
+        size = np.fromiter(map(len, cut), np.int64, len(cut)) + 1
+        end = np.cumsum(size)
+        number = np.zeros(end[-1] if len(end) else 0, np.int64)
+        inner = np.ones(len(number), bool)
+        inner[end - 1] = False
+        number[inner] = held
+        count = self.count[number]
+        total = np.cumsum(count)
+        ids = self.pool[np.repeat(self.begin[number] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.diff(total[end - 1], prepend=0) if len(end) else end
 
 
 class Corpus(NamedTuple):
@@ -113,21 +172,33 @@ class Corpus(NamedTuple):
         idf = np.log(1 + (self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
         return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(1.0, self.mean)))
 
-    def key(self, ids: np.ndarray) -> list[int]:
-        """Heaviest terms that another remainder holds too; a term in over half of them says nothing."""
-        term, tf = counted(ids)
-        weight = self.weight(term, tf, len(ids))
-        weight[(self.df[term] < 2) | (2 * self.df[term] > self.n)] = 0
-        best = np.argsort(-weight, kind="stable")[:KEY_TERMS]
-        best = term[best[weight[best] > 0]].tolist()
-        return best + [-1] * (KEY_TERMS - len(best))
-
+    def keys(self, parts: list[np.ndarray]) -> np.ndarray:
+        """For each part its ``KEY_TERMS`` heaviest terms that another part of the corpus holds too, -1 where there are fewer.
 
-def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct terms, in order, and how often each occurs."""
-    t = np.sort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(t, prepend=t[0] + 1)) if len(t) else np.zeros(0, np.int64)
-    return t[first].astype(np.int64), np.diff(first, append=len(t))
+        A term in over half of the corpus says nothing; equal weights go to the smaller term.
+        """
+        doc, term, tf = counted(parts)
+        length = np.array([len(x) for x in parts], float)
+        weight = self.weight(term, tf, length[doc])
+        weight[(self.df[term] < 2) | (2 * self.df[term] > self.n)] = 0
+        out = np.full((len(parts), KEY_TERMS), -1, np.int64)
+        start = np.flatnonzero(np.diff(doc, prepend=-1))
+        for k in range(KEY_TERMS if len(doc) else 0):
+            best = np.maximum.reduceat(weight, start)
+            at = np.flatnonzero((weight == np.repeat(best, np.diff(start, append=len(doc)))) & (weight > 0))
+            at = at[np.diff(doc[at], prepend=-1) != 0]  # the first of equals
+            out[doc[at], k] = term[at]
+            weight[at] = 0
+        return out
+
+
+def counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, term, how often it occurs) of the distinct terms of each part, in order."""
+    size = np.array([len(x) for x in parts], np.int64)
+    doc = np.repeat(np.arange(len(parts), dtype=np.uint64), size)
+    key = np.sort((doc << np.uint64(32)) | (np.concatenate(parts) if len(parts) else np.zeros(0)).astype(np.uint64))
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1)))
+    return (key[first] >> np.uint64(32)).astype(np.int64), (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), np.diff(first, append=len(key))
 
 
 class Pool:
@@ -135,32 +206,48 @@ class Pool:
 
     def __init__(self, parts: list[np.ndarray], vocabulary: int, corpus: Corpus | None = None):
         n = len(parts)
-        doc, term, tf = [], [], []
-        for k, ids in enumerate(parts):
-            t, count = counted(ids.astype(id_type(vocabulary)))
-            doc.append(np.full(len(t), k, np.int32))
-            term.append(t)
-            tf.append(count)
+        doc, term, tf = counted(parts)
+        self.first = np.searchsorted(doc, np.arange(n + 1))
         self.terms = term
-        doc, term, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, term, tf))
-        self.df = np.bincount(term, minlength=vocabulary)
+        df = np.bincount(term, minlength=vocabulary)
         length = np.array([len(x) for x in parts], float)
-        corpus = corpus or Corpus(n, length.mean() if n else 1, self.df)
-        self.telling = 2 * corpus.df <= corpus.n
+        corpus = corpus or Corpus(n, length.mean() if n else 1, df)
         weight = corpus.weight(term, tf, length[doc])
         order = np.argsort(term.astype(id_type(vocabulary)), kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.end = np.cumsum(self.df)
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score against the seed; terms in over half the corpus say nothing."""
-        terms = self.terms[seed]
-        terms = terms[self.telling[terms]]
-        size = self.df[terms]
-        at = np.arange(size.sum()) + np.repeat(self.end[terms] - np.cumsum(size), size)
-        score = np.bincount(self.doc[at], self.weight[at], minlength=len(unused))
+        self.end = np.cumsum(df)
+        self.size = df
+        # A frequent term's postings are a row of weights by document.
+        frequent = np.flatnonzero(df > max(16, DENSE * n))
+        self.row = np.full(vocabulary, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), n))
+        at = np.flatnonzero(self.row[term] >= 0)
+        self.rows[self.row[term[at]], doc[at]] = weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents against the terms of the seed."""
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        row = self.row[terms]
+        total = self.rows[row[row >= 0]].sum(0)
+        rare = terms[row < 0]
+        size, end = self.size[rare], self.end[rare]
+        at = np.arange(size.sum()) + np.repeat(end - np.cumsum(size), size)  # the places of all their postings
+        total += np.bincount(self.doc[at], self.weight[at], minlength=len(total))
+        return total
+
+    def neighbours(self, seed: int, unused: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[np.ndarray]:
+        """Unused documents by falling score against the seed, equal scores in order: the best of them, then all others
+        (or those of them that ``wanted`` still marks by then)."""
         left = np.flatnonzero(unused)
-        return left[np.argsort(-score[left], kind="stable")]
+        score = -self.scores(seed)[left]
+        if len(left) > 4 * BEST:
+            limit = np.partition(score, BEST)[BEST]
+            best, rest = np.flatnonzero(score <= limit), np.flatnonzero(score > limit)
+            yield left[best[np.argsort(score[best], kind="stable")]]
+            rest = rest[wanted(left[rest])] if wanted else rest
+            left, score = left[rest], score[rest]
+        yield left[np.argsort(score, kind="stable")]
 
 
 def id_type(vocabulary: int) -> type:
@@ -179,31 +266,39 @@ def pack_shard(docs: list[tuple[int | None, int, int, np.ndarray]], sequence: in
 
     start = np.zeros(len(docs), np.int64)
     left = np.array([len(ids) for *_, ids in docs], np.int64)
-    pool = Pool([ids for *_, ids in docs], vocabulary, corpus)
+    parts = [ids for *_, ids in docs]
+    corpus = corpus or Corpus(len(parts), sum(map(len, parts)) / max(1, len(parts)), np.bincount(counted(parts)[1], minlength=vocabulary))
+    indexed = np.arange(len(docs))
+    pool = Pool(parts, vocabulary, corpus)
     unused = left > 0
     by_length = iter(np.argsort(-left, kind="stable").tolist())
     total = int(left.sum())
     while total:
+        if len(indexed) > 512 and 2 * unused.sum() < len(indexed):  # the index goes on with the unused half
+            indexed = np.flatnonzero(unused)
+            pool = Pool([parts[k] for k in indexed], vocabulary, corpus)
         seed = next((k for k in by_length if unused[k]), None)
         if seed is None:  # only remainders that were cut before
             seed = int(np.flatnonzero(unused)[0])
         chosen, gap = [(seed, int(left[seed]))], window - int(left[seed])
         unused[seed] = False
         if gap and total > left[seed]:
-            ranked = pool.neighbours(seed, unused)
-            sizes = left[ranked]
             spare = None
-            for k, size in zip(ranked.tolist(), sizes.tolist(), strict=True):
-                if size <= gap:
-                    chosen.append((k, size))
-                    gap -= size
-                    unused[k] = False
-                    if not gap:
-                        break
-                elif spare is None:
-                    spare = k
-                    if gap < 32:  # too little for most documents: cut the best one now
+            smallest = int(left[unused].min())
+            useful = lambda x: left[indexed[x]] <= (gap if spare is not None else window)  # noqa: B023, E731 - as it is when asked
+            for local in pool.neighbours(int(np.searchsorted(indexed, seed)), unused[indexed], useful):
+                ranked, at = indexed[local], 0
+                while gap and (spare is None or gap >= smallest):
+                    fits = np.flatnonzero(left[ranked[at:]] <= gap)
+                    if spare is None and at < len(ranked) and not (len(fits) and fits[0] == 0):
+                        spare = int(ranked[at])  # the best of those that do not fit
+                    if not len(fits):
                         break
+                    k = int(ranked[at + fits[0]])
+                    at += int(fits[0]) + 1
+                    chosen.append((k, int(left[k])))
+                    gap -= int(left[k])
+                    unused[k] = False
             if gap and spare is not None:
                 chosen.append((spare, gap))
                 gap = 0
@@ -225,71 +320,82 @@ def pack_shard(docs: list[tuple[int | None, int, int, np.ndarray]], sequence: in
     return out, sequence
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[tuple[str, int], WordIds] = {}
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, window: int, vocabulary: int) -> DataFrame:
-    """(doc_id, doc_tokens, crcs and first sequence of the full windows, start and ids of the remainder), written."""
-    schema = pa.schema([*REMAINDERS, ("crcs", pa.list_(pa.int64())), ("sequence", pa.int64())])
+    """(doc_id, doc_tokens, crcs and first sequence of the full windows, start and ids of the remainder), written.
+
+    The last row of a task has only ``terms`` and in how many remainders each is ``held``; their number and tokens are terms -1 and -2.
+    """
+    schema = pa.schema([*REMAINDERS, ("crcs", pa.list_(pa.int64())), ("sequence", pa.int64()), ("terms", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordIds(path)
+        if (path, end_id) not in _encoders:
+            _encoders[path, end_id] = WordIds(path, end_id)
         sequence = TaskContext.get().partitionId() << 33
+        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
-            for doc_ids, rows in slices(batch):
+            for doc_ids, rows in slices(batch, SLICE):
                 out: list[list] = [[] for _ in schema.names]
-                for doc, ids in zip(doc_ids, _encoders[path].encode(rows), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    full = len(ids) // window
-                    crcs = [zlib.crc32(ids[k * window : (k + 1) * window].tobytes()) for k in range(full)]
-                    for column, value in zip(out, (doc, len(ids), full * window, ids[full * window :].astype(id_type(vocabulary)).tobytes(), crcs, sequence), strict=True):
+                ids, size = _encoders[path, end_id].encode(rows)
+                wide, small = memoryview(ids.astype("<u4").tobytes()), memoryview(ids.astype(id_type(vocabulary)).tobytes())
+                width, at = len(small) // max(1, len(ids)), 0
+                for doc, n_ids in zip(doc_ids, size.tolist(), strict=True):
+                    full = n_ids // window
+                    crcs = [zlib.crc32(wide[4 * k : 4 * (k + window)]) for k in range(at, at + full * window, window)]
+                    for column, value in zip(out, (doc, n_ids, full * window, small[width * (at + full * window) : width * (at + n_ids)], crcs, sequence, None, None), strict=True):
                         column.append(value)
                     sequence += full
+                    at += n_ids
+                parts = [np.frombuffer(x, id_type(vocabulary)) for x in out[3] if len(x)]
+                df += np.bincount(counted(parts)[1], minlength=vocabulary)
+                n += len(parts)
+                total += sum(map(len, parts))
                 yield arrow_rows(schema, out)
+        held = np.flatnonzero(df)
+        yield arrow_rows(schema, [*[[None]] * 6, [np.append(held, [-1, -2])], [np.append(df[held], [n, total])]])
 
-    return stored(texts(docs).mapInArrow(run, "doc_id long, doc_tokens long, start long, rest binary, crcs array<long>, sequence long"))
+    return stored(texts(docs).mapInArrow(run, "doc_id long, doc_tokens long, start long, rest binary, crcs array<long>, sequence long, terms array<long>, held array<long>"))
 
 
-def statistics(remainders: DataFrame, vocabulary: int) -> Corpus:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(vocabulary, np.int64), 0, 0
-        for batch in batches:
-            for rest in batch.column(0).to_pylist():
-                ids = np.frombuffer(rest, id_type(vocabulary))
-                df[counted(ids)[0]] += 1
-                n += 1
-                total += len(ids)
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": np.append(held, [-1, -2]), "n": np.append(df[held], [n, total])}, schema=pa.schema([("term", pa.int64()), ("n", pa.int64())]))
+def statistics(rows: DataFrame, vocabulary: int) -> Corpus:
+    """The sums of what the tasks of ``encoded`` counted."""
+    counts = rows.filter("terms is not null").select(F.explode(F.arrays_zip("terms", "held")).alias("x"))
+    got = counts.groupBy("x.terms").agg(F.sum("x.held").alias("n")).toArrow()  # as many rows as the vocabulary at most
+    df = np.zeros(vocabulary + 2, np.int64)
+    df[got["terms"].to_numpy()] = got["n"].to_numpy()
+    return Corpus(int(df[-1]), int(df[-2]) / max(1, int(df[-1])), df[:-2])
+
+
+def unpacked(column: pa.Array, vocabulary: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, id_type(vocabulary)) for x in column.to_pylist()]
 
-    # As many rows as the vocabulary at most.
-    got = dict(remainders.select("rest").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False, name=None))
-    n, total = int(got.pop(-1, 0)), int(got.pop(-2, 0))
-    df = np.zeros(vocabulary, np.int64)
-    df[np.fromiter(got.keys(), np.int64)] = np.fromiter(got.values(), np.int64)
-    return Corpus(n, total / max(1, n), df)
+
+def vocabulary_size(path: str, end_id: int) -> int:
+    """One more than the largest id: of the tokenizer's file, and the end id."""
+    with open(path) as file:
+        held = json.load(file)
+    return max(*held["model"]["vocab"].values(), *(t["id"] for t in held["added_tokens"]), end_id) + 1
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    from tokenizers import Tokenizer
-
-    vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id) + 1
+    vocabulary = vocabulary_size(path, end_id)
     rows = encoded(docs, path, end_id, window, vocabulary)
     full = rows.filter(F.size("crcs") > 0).select("doc_id", "doc_tokens", "sequence", F.posexplode("crcs").alias("k", "ids_crc32"))
     number = F.col("k").cast("long")
     full = full.select("doc_id", (number * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("sequence") + number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     remainders = rows.filter(F.length("rest") > 0).select(*REMAINDERS.names)
-    corpus = statistics(remainders, vocabulary)
+    corpus = statistics(rows, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
     names = [f"key{k}" for k in range(KEY_TERMS)]
     keyed = pa.schema([*REMAINDERS, *((c, pa.int64()) for c in names)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([shared.value.key(np.frombuffer(x, id_type(vocabulary))) for x in batch.column(3).to_pylist()], np.int64).reshape(-1, KEY_TERMS)
+            found = shared.value.keys(unpacked(batch.column(3), vocabulary))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in found.T)], schema=keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

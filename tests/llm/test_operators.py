@@ -76,6 +76,26 @@ def test_cross_parsing_counts_greedy_longest_matches():
         assert size[0] == len(text) and total[:, 0].tolist() == [phrases(text, sample[x]) for x in parser.langs]
 
 
+def test_cross_parsing_of_long_texts_and_large_scripts():
+    """Blocks change no phrase, however long the text, and letters beyond the table's columns match."""
+    rng = np.random.default_rng(15)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters, n)).split())
+    script = [chr(0x4E00 + k) for k in range(3000)]
+    sample = {"ab": say(list("abcde "), 3000), "runs": "a" * 37 + " ab", "zh": say(script, 5000)}
+    texts = [say(list("abcdefgh "), n) for n in (1, 5, 511, 512, 513, 1500, 5000)] + ["a" * 3000, "h" * 2000, sample["ab"], say(script, 2000), say([*script, *"abc"], 600), sample["zh"][100:2100], ""]
+    for dense in (64, 3):
+        parser = langid.CrossParser(sample, dense)
+        total, size, _ = parser.phrases(texts)
+        for k, text in enumerate(texts):
+            assert size[k] == len(text) and total[:, k].tolist() == [phrases(text, sample[x]) for x in parser.langs]
+    assert langid.CrossParser(sample).predict([sample["zh"][7:900], say(list("abcde "), 900)])[0] == ["zh", "ab"]
+
+
+def test_equal_estimates_go_to_the_first_language_and_repeated_rows_are_alike():
+    parser = langid.CrossParser({"xx": "one two", "aa": "one two"})
+    assert parser.predict(["one", "one", None, "12"])[0] == ["aa", "aa", "und", "und"]
+
+
 def test_token_counts_equal_the_library(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer_files.path("piece_bpe_32k.model")
@@ -89,11 +109,49 @@ def test_token_counts_equal_the_library(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def plain_unigram(word, pieces, unknown):
+    """Best segmentation by trying every substring; (tokens with a byte each for unknown characters, unknown, score)."""
+    best, back, longest = [0.0], [None], max(map(len, pieces))
+    for end in range(1, len(word) + 1):
+        top, found, single = None, None, False
+        for start in range(max(0, end - longest), end):
+            score = pieces.get(word[start:end])
+            if score is not None:
+                single |= start == end - 1
+                if top is None or best[start] + score > top:
+                    top, found = best[start] + score, (start, False)
+        if not single and (top is None or best[end - 1] + unknown > top):
+            top, found = best[end - 1] + unknown, (end - 1, True)
+        best.append(top)
+        back.append(found)
+    tokens = strange = 0
+    end = len(word)
+    while end:
+        start, odd = back[end]
+        tokens += len(word[start:end].encode()) if odd else 1
+        strange += odd
+        end = start
+    return tokens, strange, best[-1]
+
+
+def test_token_counts_equal_every_substring_tried():
+    """Tokens, unknown characters and scores, ties and words of 5000 letters included."""
+    rng = np.random.default_rng(20)
+    pieces = {token_counts.MARK: -2.0, "a": -3.0, "b": -3.0, "ab": -6.0, "ba": -5.5, "aab": -7.0, "bb": -6.0, "abab": -11.0, "é": -8.0}
+    counter = token_counts.UnigramCounter(list(pieces.items()))
+    words = ["".join(rng.choice(list("aabbé日x"), rng.integers(1, 25))) for _ in range(300)] + ["ab" * 2500, "x" * 5000, "aab" * 1700 + "日"]
+    for w in words:
+        got, right = counter.word(token_counts.MARK + w), plain_unigram(token_counts.MARK + w, pieces, min(pieces.values()) - token_counts.UNKNOWN_PENALTY)
+        assert got[:2] == right[:2] and math.isclose(got[2], right[2], abs_tol=1e-6), w[:40]
+    line = " ".join(words[:50])
+    whole = [counter.word(token_counts.MARK + w) for w in words[:50]]
+    assert counter.text(line)[:2] == (sum(x[0] for x in whole), sum(x[1] for x in whole)) and math.isclose(counter.text(line)[2], sum(x[2] for x in whole))
+
+
 def test_packing(docs, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer_files.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rows = packing.pack(docs, path).collect()
     ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in enumerate(TEXTS)}
     covered, windows = Counter(), {}
@@ -112,11 +170,55 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_token_ids_equal_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer_files.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = np.random.default_rng(14)
+    stock = [" ", "  ", "\n", "a", "Hello", "don't", "naïve", "e\u0301", "İ", "ß", "日本", "12", "!!", ".", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "\x00", "\ufeff", "🎉", "\u2028", "Ω", "ﬁ"]
+    rows = ["".join(rng.choice(stock, rng.integers(0, 20))) for _ in range(1500)] + [None, "", LONG]
+    ids, size = packing.WordIds(path, 1).encode(rows)
+    for text, got in zip(rows, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+        assert got.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
 def test_neighbours_come_by_bm25():
     parts = [np.array(x, "<u4") for x in ([1, 2, 3, 9], [4, 5, 6, 9], [1, 2, 7, 9], [4, 8, 8, 9], [10, 11, 12, 9])]
     pool = packing.Pool(parts, 16)
-    assert pool.neighbours(0, np.array([False, True, True, True, True])).tolist()[0] == 2
-    assert pool.neighbours(3, np.array([True, True, True, False, True])).tolist()[0] == 1
+    ranked = lambda seed, unused: np.concatenate(list(pool.neighbours(seed, np.array(unused)))).tolist()
+    assert ranked(0, [False, True, True, True, True])[0] == 2
+    assert ranked(3, [True, True, True, False, True])[0] == 1
+
+
+def test_bm25_equals_the_formula():
+    rng = np.random.default_rng(12)
+    parts = [rng.zipf(1.4, rng.integers(0, 90)).clip(1, 60).astype("<u4") for _ in range(400)]
+    n, mean = len(parts), np.mean([len(x) for x in parts])
+    held = [Counter(x.tolist()) for x in parts]
+    df = Counter(t for x in held for t in x)
+    pool = packing.Pool(parts, 64)
+
+    def score(seed, k):
+        return sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * held[k][t] * 2.2 / (held[k][t] + 1.2 * (0.25 + 0.75 * len(parts[k]) / mean)) for t in held[seed] if t in held[k])
+
+    for seed in range(0, 400, 40):
+        expected = [score(seed, k) for k in range(n)]
+        assert np.allclose(pool.scores(seed), expected)
+        unused = rng.random(n) < 0.8
+        got = np.concatenate(list(pool.neighbours(seed, unused))).tolist()
+        assert sorted(got) == np.flatnonzero(unused).tolist() and all(expected[a] > expected[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_packing_keys_are_the_heaviest_shared_terms():
+    rng = np.random.default_rng(13)
+    parts = [rng.zipf(1.3, rng.integers(0, 60)).clip(1, 300).astype("<u4") for _ in range(200)]
+    df = np.bincount(packing.counted(parts)[1], minlength=400)
+    corpus = packing.Corpus(len(parts), np.mean([len(x) for x in parts]), df)
+    assert df.tolist() == np.bincount([t for x in parts for t in set(x.tolist())], minlength=400).tolist()
+    for ids, key in zip(parts, corpus.keys(parts).tolist(), strict=True):
+        tf = Counter(ids.tolist())
+        ranked = sorted((-float(corpus.weight(np.array([t]), np.array([c]), len(ids))[0]), t) for t, c in tf.items() if 2 <= df[t] <= 100)[: packing.KEY_TERMS]
+        assert key == [t for _, t in ranked] + [-1] * (packing.KEY_TERMS - len(ranked))
 
 
 def test_quality_statistics(docs, empty):
@@ -145,6 +247,41 @@ def test_decision_list_learns_a_threshold(spark):
     assert decision_list.learn(table.filter("not bad"), ("x", "y")).rules == [] and decision_list.learn(table.limit(0), ("x", "y")).rules == []
 
 
+def plain_rule(rows, limits):
+    """Greedy growth by information gain over the rows themselves."""
+    rule, left = [], rows
+    while 0 < sum(r["bad"] for r in left) < len(left) and len(rule) < decision_list.MAX_CONDITIONS:
+        share, best = sum(r["bad"] for r in left) / len(left), (0.0, None, None)
+        for f in sorted(limits):
+            for at in limits[f]:
+                for op in (">=", "<"):
+                    held = [r for r in left if (r[f] >= at) == (op == ">=")]
+                    p = sum(r["bad"] for r in held)
+                    if p >= decision_list.MIN_COVER and len(held) < len(left):
+                        gain = p * (math.log2(p / len(held)) - math.log2(share))
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (f, op, at), held)
+        if best[1] is None:
+            break
+        rule.append(best[1])
+        left = best[2]
+    return rule
+
+
+def test_rules_grow_and_judge_as_in_a_plain_version(spark):
+    rng = np.random.default_rng(21)
+    rows = [{"x": float(x), "y": float(y), "z": float(z), "bad": int((x > 0.7 and y < 0.5) or rng.random() < 0.05)} for x, y, z in rng.random((400, 3))]
+    limits = {f: [0.1, 0.3, 0.5, 0.7, 0.9] for f in "xyz"}
+    binned = [(r["bad"], r["x"], r["y"], r["z"], [(f, sum(r[f] >= at for at in limits[f])) for f in "xyz"]) for r in rows]
+    table = spark.createDataFrame(binned, "bad int, x double, y double, z double, bins array<struct<f:string,bin:int>>")
+    rule = decision_list.grow(table, limits)
+    assert rule and rule == plain_rule(rows, limits)
+    rules = [rule, [("z", ">=", 0.9), ("y", "<", 0.3)]]
+    judged = table.select("x", "y", "z", decision_list.DecisionList(rules).rejects().alias("rejected")).collect()
+    holds = lambda r, c: r[c[0]] >= c[2] if c[1] == ">=" else r[c[0]] < c[2]
+    assert all(r.rejected == any(all(holds(r, c) for c in one) for one in rules) for r in judged)
+
+
 def test_classifier(spark, docs, empty):
     rng = np.random.default_rng(3)
     good, bad = ["river", "stone", "bridge", "cloud"], ["BUY!!", "CHEAP!!", "$$$", "WIN##"]
@@ -190,6 +327,67 @@ def test_byte_bpe_on_awkward_strings():
     assert coder.encode(texts)[1] == ids
 
 
+def plain_fit(x, y, cost, epochs, order):
+    """Dual coordinate descent for the hinge loss with a bias, on dense vectors."""
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(y))
+    for at in order:
+        for i in at:
+            g = y[i] * (x[i] @ w + bias) - 1
+            new = min(max(alpha[i] - g / (x[i] @ x[i] + 1), 0), cost[i])
+            w, bias, alpha[i] = w + (new - alpha[i]) * y[i] * x[i], bias + (new - alpha[i]) * y[i], new
+    return w, bias, alpha
+
+
+def test_classifier_equals_a_plain_version():
+    """Log-count ratios, dual solution and margins against dense arithmetic; the duality gap closes."""
+    rng = np.random.default_rng(16)
+    rows = []
+    for k in range(150):
+        y = int(k % 3 > 0)
+        rows.append((np.unique(np.where(rng.random(12) < 0.7, rng.integers(0, 40, 12) + 40 * y, rng.integers(0, 80, 12))).astype(np.int32), y))
+    model = nbsvm.fit(rows)
+    base = [k for k in range(len(rows)) if k % 5 != 4]
+    dense = np.zeros((len(rows), 80))
+    for k, (slots, _) in enumerate(rows):
+        dense[k, slots] = 1
+    y = np.array([rows[k][1] for k in range(len(rows))])
+    slots = 2 * nbsvm.SLOTS
+    p, q = (nbsvm.SMOOTHING + dense[[k for k in base if y[k] == c]].sum(0) for c in (1, 0))
+    rest = (slots - 80) * nbsvm.SMOOTHING
+    ratio = np.log(p / (p.sum() + rest)) - np.log(q / (q.sum() + rest))
+    scaled = dense * ratio
+    scaled /= np.sqrt((scaled**2).sum(1, keepdims=True))
+    sign = np.where(y[base] > 0, 1.0, -1.0)
+    cost = nbsvm.COST * np.where(sign > 0, 0.5 / (sign > 0).mean(), 0.5 / (sign < 0).mean())
+    order_rng = np.random.default_rng(7)
+    w, bias, alpha = plain_fit(scaled[base], sign, cost, nbsvm.EPOCHS, [order_rng.permutation(len(base)) for _ in range(nbsvm.EPOCHS)])
+    expected = scaled @ w + bias
+    got = model.margins(np.concatenate([s for s, _ in rows]), np.array([len(s) for s, _ in rows]))
+    assert np.allclose(got, expected, atol=1e-4)
+    primal = 0.5 * (w @ w + bias**2) + (cost * np.maximum(0, 1 - sign * expected[base])).sum()
+    dual = alpha.sum() - 0.5 * (w @ w + bias**2)
+    assert dual <= primal + 1e-9 and primal - dual < 0.05 * primal
+
+
+def test_features_are_the_distinct_n_grams():
+    """As many slots as a plain set of n-grams has members, and equal sets give equal slots."""
+    rng = np.random.default_rng(17)
+    for _ in range(50):
+        words = [bytes(rng.choice([b"Ab", b"xyz", b"12", b"a.b", b"==", b"xyz"])) for _ in range(rng.integers(0, 12))]
+        forms = [b"=" if k and words[k] == words[k - 1] else nbsvm.shape(w) for k, w in enumerate(words)]
+        grams = {("w", w) for w in words} | {("ww", *p) for p in zip(words, words[1:])} | {("s", f) for f in forms} | {("ss", *p) for p in zip(forms, forms[1:])} | {("sss", *p) for p in zip(forms, forms[1:], forms[2:])}
+        slots, size = nbsvm.Features().slots([b" ".join(words).decode()])
+        assert size.tolist() == [len(slots)] == [len(grams)]
+
+
+def test_the_sample_bound_holds(spark):
+    rows = [(k, f"{['good', 'bad'][k % 2]} text {k}") for k in range(60)]
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int")
+    few, all_ = nbsvm.learn(table, labels, sample_features=200), nbsvm.learn(table.unionByName(table), labels)
+    assert 0 < (few.weight != 0).sum() < (all_.weight != 0).sum()
+    assert np.array_equal(all_.weight, nbsvm.learn(table, labels).weight)  # a repeated row is learned from once
+
+
 def luhn(s):
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
@@ -229,6 +427,81 @@ def test_contexts_of_seeds_find_new_identifiers(spark):
     assert got[100] == "id:14:30" and got[101] == "" and got[0].startswith("id:14:")
 
 
+def test_a_cue_of_one_word_is_enough(spark):
+    rng = np.random.default_rng(18)
+    words = ["blue", "harbour", "ledger", "morning", "quiet", "station"]
+    seeds = [(k, f"{rng.choice(words)} {rng.choice(words)}{k} token: {rng.bytes(20).hex()} end") for k in range(20)]
+    table = spark.createDataFrame([*seeds, (100, "another lantern token: Zx9-Kq77-secret1 end"), (101, "another lantern: Zx9-Kq77-secret2 end")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.detect(table).select("doc_id", pii.joined(F.col("all_spans")).alias("spans")).collect()}
+    assert got[100] == "id:23:39" and got[101] == ""
+
+
+def plain_identifiers(texts):
+    """The method in plain Python: spans of kind id by text."""
+    edges, found = {}, []
+    for k, text in enumerate(texts):
+        base = base_spans(text)
+        at = 0
+        for m in re.finditer(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{8,}", text):
+            before, at = text[at : m.start()], m.end()
+            is_base = any(s < m.end() and e > m.start() for s, _, e in base)
+            hexed = bool(re.fullmatch("(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}", m[0]))
+            two, one = (re.search(p, before)[0] for p in (r"(?:\S+\s+)?\S*\s*$", r"\S*\s*$"))
+            names = {("two", re.sub("[0-9]", "9", two).lower())} if two.strip() else set()
+            names |= {("one", re.sub("[0-9]", "9", one).lower())} if one.strip() else set()
+            found.append((k, m.start(), m.end(), names, is_base))
+            for name in names:
+                edges[name, m[0].lower()] = max(edges.get((name, m[0].lower()), 0.0), float(is_base or hexed))
+    scores = dict(edges)
+    for r in range(pii.ROUNDS):
+        of = {}
+        for (name, _), v in scores.items():
+            of.setdefault(name, []).append(v)
+        mean = {name: sum(v) / len(v) for name, v in of.items()}
+        best = {}
+        for name, what in edges:
+            best[what] = max(best.get(what, 0.0), mean[name])
+        scores = {e: max(v, best[e[1]]) for e, v in edges.items()} if r + 1 < pii.ROUNDS else scores
+    trusted = {name for name, v in of.items() if mean[name] >= pii.MIN_CONFIDENCE and len(v) >= pii.MIN_INSTANCES}
+    return {(k, s, e) for k, s, e, names, is_base in found if not is_base and names & trusted}
+
+
+def test_identifiers_equal_a_plain_version(spark):
+    rng = np.random.default_rng(19)
+    cues, words = ['token = "', "id: ", "call ", "see ", "key="], ["alpha", "beta7", "10.0.0.1", "jo@example.com", "x"]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.integers(0, 5)):
+            cue = rng.integers(0, 5)
+            value = rng.bytes(18).hex() if rng.random() < (0.9 if cue < 2 else 0.3) else f"Ab-{rng.integers(10**8)}"
+            parts.append(f"{rng.choice(words)} {cues[cue]}{value}")
+        texts.append(" ".join(parts))
+    table = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    rows = pii.detect(table).select("k", F.explode("all_spans").alias("x")).filter("x.kind = 4").select("k", "x.start", "x.end").collect()
+    expected = plain_identifiers(texts)
+    assert expected and {tuple(r) for r in rows} == expected
+
+
+def test_personal_data_in_a_text_of_many_identifiers(spark):
+    """Time grows with the text, not with the square of its matches."""
+    n = 20_000
+    text = " ".join(f"u{k}@example.com 10.0.{k % 256}.{k // 256 % 256} ref AB{k:08d}xyz" for k in range(n))
+    r = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("text", "base", pii.redacted(F.col("text"), F.col("base")).alias("clean")).first()
+    assert [tuple(x) for x in r.base] == base_spans(text)
+    assert r.clean == " ".join(f"[EMAIL] [IP] ref AB{k:08d}xyz" for k in range(n))
+
+
+def test_top_k_with_more_queries_than_are_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(120, 4)))], "vec_id long, embedding array<double>").repartition(3)
+    queries = table.filter("vec_id % 3 = 0")
+    expected = sorted(map(tuple, topk.top_k(table, queries, 4).collect()))
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 10)
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 600)
+    assert len(expected) == 160 and sorted(map(tuple, topk.top_k(table, queries, 4).collect())) == expected
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 8)).astype(np.float32)
@@ -247,6 +520,15 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), table.limit(0), 5).count() == 0
 
 
+def test_top_k_with_repeated_queries_large_parts_and_clashing_names(spark):
+    rows = [(1, [4.0, 1.0]), (1, [4.0, 1.0]), (2, [2.0**32, -1.0]), (3, [0.5, 3.0]), (3, [0.5, 3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("query_id", "rank", "score", "v", "dim", "block", "low", "width", "bin"):
+        table = table.withColumn(name, F.lit("clash"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table, table.filter("vec_id = 1"), 3).collect())
+    assert got == [(1, 1, 2, 2**50 - 2**16), (1, 2, 3, 1024 * 128 + 256 * 768), (1, 3, 3, 1024 * 128 + 256 * 768)]
+
+
 def components(sets, num, den):
     parent = {k: k for k in sets}
 

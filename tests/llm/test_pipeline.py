@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from noticejobs.llm.common import stored
@@ -51,3 +52,31 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark, folder):
+    """Names that the stages use themselves, and rows that share an id, through the stages that keep columns."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("copy_id", "component_id", "n_words", "base", "found", "all_spans", "y", "h", "score"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    docs = docs.unionByName(docs.filter("doc_id = 1")).unionByName(docs.filter("doc_id = 2").withColumn("text", F.lit(text[5] + " other end")))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder))
+        assert docs.columns == columns, name
+    got = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert sorted(got) == sorted(set(got)) and {1, 2} <= set(got)
+    assert {r[0] for r in docs.select("copy_id").distinct().collect()} == {"clash"}
+
+
+def test_null_labels_and_ids(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") != 50, F.col("doc_id")))
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("quality", F.when(F.col("doc_id") % 7 > 0, F.col("quality")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = stored(stage(spark, kept, str(tmp_path)))
+    assert kept.filter("doc_id is null").count() == 1 and kept.count() > 150
