@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticejobs.llm import byte_bpe, common, decision_list, langid, licenses, nbsvm, packing, pii, token_counts, topk, trie_join
+from noticejobs.llm import byte_bpe, common, decision_list, infill, langid, licenses, minhash, nbsvm, packing, pii, runs, token_counts, topk, trie_join
 
 SQL: dict[str, str] = {}
 
@@ -96,4 +96,34 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op7_pii, op8_exact_top_k, op9_jaccard_join, op10_license_scan)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(runs.find_runs(runs.with_planted_repeats(documents(spark, sf_dir))))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("size"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"))
+    length = -F.col("top.size")
+    return rows.select("doc_id", "n_runs", "top.start", length.alias("length"), "top.period", F.floor(1000 * length / F.col("top.period")).cast("long").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "class_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+SQL["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256(concat('1:', doc_id)) AS s FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+      least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y FROM h),
+p AS (SELECT *, array_to_string(u[:x], '') AS a, array_to_string(u[x + 1:y], '') AS m, array_to_string(u[y + 1:], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', a, '<S>', z, '<M>', m) ELSE concat('<S>', z, '<P>', a, '<M>', m) END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_retrieval_packing, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op7_pii, op8_exact_top_k, op9_jaccard_join, op10_license_scan, op11_periodic_runs, op12_minhash_fingerprints, op13_fill_in_middle)}
