@@ -39,28 +39,34 @@ PLACE = (1 << 20) - 1
 def with_repeated_words(rows: DataFrame, n: int = 3) -> DataFrame:
     """``n_repeat_words``: words of ``_words`` in an n-word window found twice or more, the first find included.
 
-    Windows are sorted by the high bits of their hash and their place; windows next to each other are then
-    compared by their whole hashes. Texts of over a million words sort whole hashes instead.
+    Windows are sorted by the high bits of their hash and their place. Where different windows share these bits, or places
+    need more bits, the text's whole hashes are sorted with their places instead.
     """
     grams = F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(n)]))
     rows = rows.withColumn("_grams", F.when(F.size("_words") < n, F.lit([]).cast("array<bigint>")).otherwise(grams))
     rows = rows.withColumn("_all_differ", F.size(F.array_distinct("_grams")) == F.size("_grams"))
     keys = F.transform("_grams", lambda h, i: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long")))
-    rows = rows.withColumn("_sorted", F.sort_array(F.when(F.col("_all_differ"), F.lit([]).cast("array<bigint>")).otherwise(keys)))
+    rows = rows.withColumn("_sorted", F.sort_array(F.when(F.col("_all_differ") | (F.size("_grams") > PLACE), F.lit([]).cast("array<bigint>")).otherwise(keys)))
 
     def gram(key: Column) -> Column:
         return F.get("_grams", key.bitwiseAND(F.lit(PLACE)).cast("int"))
 
-    def near(k: Column) -> Column:
-        return F.get("_sorted", F.when(k >= 0, k))
+    def alike(x: Column, y: Column) -> Column:
+        """Whether two keys have the same high bits; no key is like one that is not there."""
+        return F.coalesce(x.bitwiseAND(F.lit(~PLACE)) == y.bitwiseAND(F.lit(~PLACE)), F.lit(False))
 
-    again = F.filter("_sorted", lambda x, k: F.coalesce(gram(near(k + 1)) == gram(x), F.lit(False)) | F.coalesce(gram(near(k - 1)) == gram(x), F.lit(False)) | F.coalesce(gram(near(k + 2)) == gram(x), F.lit(False)) | F.coalesce(gram(near(k - 2)) == gram(x), F.lit(False)))
-    places = F.transform(again, lambda x: x.bitwiseAND(F.lit(PLACE)))
+    def before(keys: str, k: Column) -> Column:
+        return F.get(keys, F.when(k > 0, k - 1))
+
+    rows = rows.withColumn("_again", F.filter("_sorted", lambda x, k: alike(x, F.get("_sorted", k + 1)) | alike(x, before("_sorted", k))))
+    mixed = F.filter("_again", lambda x, k: alike(x, before("_again", k)) & (gram(before("_again", k)) != gram(x)))
+    rows = rows.withColumn("_whole", (F.size("_grams") > PLACE) | (F.size(mixed) > 0))
+    places = F.transform("_again", lambda x: x.bitwiseAND(F.lit(PLACE)))
     whole = F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
     twice = bind(whole, lambda s: F.transform(F.filter(s, lambda x, k: F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, F.when(k > 0, k - 1))["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
-    rows = rows.withColumn("_places", F.when(F.col("_all_differ"), F.lit([]).cast("array<bigint>")).when(F.size("_grams") > PLACE, twice).otherwise(places))
+    rows = rows.withColumn("_places", F.when(F.col("_all_differ"), F.lit([]).cast("array<bigint>")).when(F.col("_whole"), twice).otherwise(places))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_places", lambda i: F.sequence(i, i + n - 1)))))
-    return rows.withColumn("n_repeat_words", covered.cast("long")).drop("_grams", "_all_differ", "_sorted", "_places")
+    return rows.withColumn("n_repeat_words", covered.cast("long")).drop("_grams", "_all_differ", "_sorted", "_again", "_whole", "_places")
 
 
 def bind(value: Column, body) -> Column:
