@@ -76,10 +76,21 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 @contextmanager
 def tracking() -> Iterator[dict]:
-    """The folders of the tables stored (and not discarded) inside, as keys."""
+    """The folders of the tables stored (and not deleted) inside, as keys; what is left counts as stored in the block around this one."""
     held: dict = {}
     token = _tracked.set(held)
     try:
         yield held
     finally:
         _tracked.reset(token)
+        if (around := _tracked.get()) is not None:
+            around.update(held)
+
+
+def delete_unread(result: DataFrame, held: dict) -> None:
+    """Delete the tables of ``held`` that ``result`` does not read."""
+    read = {x.rpartition("/")[0] for x in result.inputFiles()} if held else set()
+    for folder, spark in list(held.items()):
+        if not any(x.endswith(folder.split(":")[-1]) for x in read):
+            delete(spark, folder)
+            held.pop(folder, None)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticejobs.llm.common import stored
+from noticejobs.llm.common import discard, stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -148,6 +148,7 @@ def learn(rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DecisionList
             break
         rules.append(rule)
         left = table.filter(reduce(lambda a, b: a & b, (~both(r) for r in rules)))
+    discard(table)
     return DecisionList(rules)
 
 

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticejobs.llm.common import stored
+from noticejobs.llm.common import discard, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS, MIN_CONFIDENCE, MIN_INSTANCES = 3, 0.8, 3
@@ -160,13 +160,16 @@ def with_spans(docs: DataFrame) -> DataFrame:
 def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float = MIN_CONFIDENCE, instances: int = MIN_INSTANCES) -> DataFrame:
     """(pattern): from rows (pattern, instance, is_base, is_hex), those that mostly precede seeds or trusted instances."""
     edges = stored(found.groupBy("pattern", "instance").agg(F.max((F.col("is_base") | F.col("is_hex")).cast("double")).alias("seed")))
-    scored = edges.withColumn("score", F.col("seed"))
+    scored, used = edges.withColumn("score", F.col("seed")), [edges]
     for k in range(rounds):
         patterns = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.count("*").alias("n"))
         if k + 1 < rounds:
             known = stored(edges.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("best")))
+            used.append(known)
             scored = edges.join(known, "instance").withColumn("score", F.greatest("seed", "best"))
-    return stored(patterns.filter((F.col("confidence") >= confidence) & (F.col("n") >= instances)).select("pattern"))
+    trusted = stored(patterns.filter((F.col("confidence") >= confidence) & (F.col("n") >= instances)).select("pattern"))
+    discard(*used)
+    return trusted
 
 
 def joined(spans: Column) -> Column:

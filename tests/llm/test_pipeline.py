@@ -80,3 +80,14 @@ def test_null_labels_and_ids(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:3]:
         kept = stored(stage(spark, kept, str(tmp_path)))
     assert kept.filter("doc_id is null").count() == 1 and kept.count() > 150
+
+
+def test_a_result_outlives_the_next_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    results = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        results.append(stage(spark, results[-1] if results else docs, folder))
+    counts = [x.count() for x in results]
+    assert [x.count() for x in results] == counts == sorted(counts, reverse=True) and counts[-1] > 0
+    corpus_pipeline.run(spark, folder).count()
+    assert [x.count() for x in results] == counts
