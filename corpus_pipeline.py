@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's ``docs``. All stages but the last return the columns of ``docs``, whatever other columns and names
-they are. Tables that a stage wrote for itself are deleted when the next stage begins, unless its ``docs`` still reads them.
+they are. A stage deletes the tables that it wrote for itself, but for those that its result reads; the result stays readable until
+its caller deletes these (``run`` does, as it writes every result).
 
 Defined results of every stage but the last: an empty table gives an empty one; rows are kept or dropped whole. Null and empty
 texts have no words, so the first stage rejects them; the others keep them, but for what their score decides.
@@ -13,36 +14,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
-from threading import get_ident
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticejobs.llm import decision_list, langid, nbsvm, packing, pii, trie_join
-from noticejobs.llm.common import delete, discard, slices, stored, tracking
+from noticejobs.llm.common import delete_unread, slices, stored, tracking
 from noticejobs.llm.queries import documents, tokenizer_file
 
 #: The whole cannot be expressed in SQL (learned rules and weights, trie join, packing).
 ORACLE_SQL: str | None = None
 
 
-_left: dict[int, dict] = {}  # a thread's stored tables of its last stage
-
-
 def stage(body: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """Delete what the stage before this one stored; keep account of what this one stores."""
+    """Delete what the stage stored for itself and its result does not read."""
 
     @wraps(body)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        old = _left.pop(get_ident(), {})
-        read = set("/".join(x.split("/")[:-1]) for x in docs.inputFiles()) if old else set()
-        for folder, session in old.items():
-            if session is spark and not any(x.endswith(folder.split(":")[-1]) for x in read):
-                delete(spark, folder)
         with tracking() as held:
             out = body(spark, docs, sf_dir)
-        _left[get_ident()] = held
+            delete_unread(out, held)
         return out
 
     return run_stage
@@ -55,11 +47,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what neither the base limits nor the learned decision list reject. A null label counts as none."""
-    # The row travels as one struct, so that no column of it can clash with a statistic; the statistics are
-    # computed once and written, as a filter on them would be pushed below and compute them again.
-    rows = stored(decision_list.described(docs.select(F.struct("*").alias("_row"), "doc_id", "text")).drop("text"))
-    rules = decision_list.learn(decision_list.labelled(rows.drop("_row"), labels(spark, sf_dir)))
-    return rows.filter(~decision_list.base_failed() & ~rules.rejects()).select("_row.*")
+    known = decision_list.labelled(docs.select("doc_id", "text"), labels(spark, sf_dir))
+    rules = decision_list.learn(stored(decision_list.described(known).drop("text")))
+    # The row travels as one struct, so that no column of it can clash with a statistic. A filter does not pass the row
+    # number, which is not deterministic; below it each use of a statistic would compute it again.
+    rows = decision_list.described(docs.select(F.struct("*").alias("_row"), "text")).withColumn("_number", F.monotonically_increasing_id())
+    return rows.filter((F.col("_number") >= 0) & ~decision_list.base_failed() & ~rules.rejects()).select("_row.*")
 
 
 @stage
@@ -131,8 +124,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for k, (_, f) in enumerate(STAGES[:-1]):
-        before, docs = docs, stored(f(spark, docs, sf_dir))
-        if k:
-            discard(before)
+    with tracking() as held:
+        for _, f in STAGES[:-1]:
+            docs = stored(f(spark, docs, sf_dir))
+            delete_unread(docs, held)
     return STAGES[-1][1](spark, docs, sf_dir)
