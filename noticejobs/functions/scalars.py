@@ -185,3 +185,8 @@ def parse_body(c: Column | str) -> Column:
 def deadline_days(deadline: Column | str, as_of: Column | str) -> Column:
     """Days to the deadline, started ones counted whole; not calendar days."""
     return F.ceil((F.unix_millis(col(deadline)) - F.unix_millis(moment(as_of))) / DAY_MS)
+
+
+def words_of(c: str | Column) -> Column:
+    """Lower-case runs of a-z and 0-9, repeats included."""
+    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")

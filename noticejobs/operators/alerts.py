@@ -1,72 +1,130 @@
 """Alert rules against notices: matches, counters, routing.
 
 Rules carry an array ``conditions``; all matching works on one row per (rule, condition), so equal conditions
-of many rules are compared with a notice once.
+of many rules are compared with a notice once. Where rules have ``created_at``, a rule matches notices published at that time
+or later, and older ones only if a back-fill is asked for.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticejobs.functions import scalars as S
+from noticejobs.sources.shared import materialized
 
 #: Text fields that keyword rules search, with the tags.
 KEYWORD_FIELDS = ("title", "ai_summary", "description", "organization", "content")
 #: Distinct keywords one array holds; more are dealt to several arrays.
 KEYWORDS_PER_ARRAY = 2000
-#: Keywords that are broadcast at most, and tasks that share an array otherwise.
-BROADCAST_KEYWORDS, SALTS = 100_000, 64
+#: Distinct keywords from which on they are sought by an index of 3-grams.
+INDEX_FROM = 20_000
+#: Bytes of conditions that are broadcast at most, and parts that a side is dealt to otherwise.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
+GRAM = 3
+
+
+def rule_conditions(rules: DataFrame, kind: str, backfill: bool = False) -> DataFrame:
+    """(rule_id, user_id, wanted, since, condition) of the enabled rules of a kind; empty conditions match nothing. ``since`` is
+    null for a rule that matches notices of any time."""
+    since = F.col("created_at").cast("timestamp") if "created_at" in rules.columns and not backfill else F.lit(None).cast("timestamp")
+    rows = rules.filter((F.col("type") == kind) & F.col("enabled")).select(F.col("id").alias("rule_id"), "user_id", F.size(F.array_distinct("conditions")).alias("wanted"), since.alias("since"), F.explode(F.array_distinct("conditions")).alias("raw"))
+    rows = rows.withColumn("condition", F.lower(S.trimmed("raw"))).filter(F.col("condition") != "")
+    return rows.select("rule_id", "user_id", "wanted", "since", "condition").distinct()
 
 
-def rule_conditions(rules: DataFrame, kind: str) -> DataFrame:
-    """(rule_id, user_id, rule_created, wanted, condition) of the enabled rules of a kind; empty conditions match nothing."""
-    rows = rules.filter((F.col("type") == kind) & F.col("enabled")).select(F.col("id").alias("rule_id"), "user_id", F.size(F.array_distinct("conditions")).alias("wanted"), F.explode(F.array_distinct("conditions")).alias("raw"))
-    rows = rows.withColumn("condition", F.lower(S.trimmed("raw"))).filter(F.col("condition") != "")
-    return rows.select("rule_id", "user_id", "wanted", "condition").distinct()
+def in_time() -> Column:
+    return F.col("since").isNull() | (F.col("published_at") >= F.col("since"))
+
+
+def bytes_of(conditions: DataFrame) -> int:
+    return conditions.agg(F.coalesce(F.sum(F.octet_length("condition") + 40), F.lit(0))).first()[0]
 
 
-def match_category_rules(notices: DataFrame, rules: DataFrame) -> DataFrame:
-    conditions = rule_conditions(rules, "category")
-    return notices.select(F.col("id").alias("notice_id"), "published_at", F.lower("category").alias("condition")).join(conditions, "condition").select("rule_id", "user_id", "notice_id", "published_at", "condition")
+def joined(rows: DataFrame, conditions: DataFrame) -> DataFrame:
+    """``rows`` with the rules of their condition. Rules are broadcast if they are small enough; else the rows of a condition are
+    dealt to ``SALTS`` parts, as there may be few conditions and very many rows of each."""
+    if bytes_of(conditions) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(conditions), "condition").filter(in_time())
+    salt = F.pmod(F.xxhash64("notice_id"), F.lit(SALTS)).cast("int")
+    dealt = conditions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(dealt, ["condition", "salt"]).filter(in_time()).drop("salt")
 
 
-def match_organization_rules(notices: DataFrame, rules: DataFrame) -> DataFrame:
+def match_category_rules(notices: DataFrame, rules: DataFrame, backfill: bool = False) -> DataFrame:
+    rows = notices.select(F.col("id").alias("notice_id"), "published_at", F.lower("category").alias("condition"))
+    return joined(rows, rule_conditions(rules, "category", backfill)).select("rule_id", "user_id", "notice_id", "published_at", "condition")
+
+
+def match_organization_rules(notices: DataFrame, rules: DataFrame, backfill: bool = False) -> DataFrame:
     """Case-insensitive equality with the whole name."""
-    conditions = rule_conditions(rules, "organization")
-    return notices.select(F.col("id").alias("notice_id"), "published_at", F.lower(S.trimmed("organization")).alias("condition")).join(conditions, "condition").select("rule_id", "user_id", "notice_id", "published_at", "condition")
+    rows = notices.select(F.col("id").alias("notice_id"), "published_at", F.lower(S.trimmed("organization")).alias("condition"))
+    return joined(rows, rule_conditions(rules, "organization", backfill)).select("rule_id", "user_id", "notice_id", "published_at", "condition")
 
 
-def match_keyword_rules(notices: DataFrame, rules: DataFrame, mode: str = "any") -> DataFrame:
-    """Literal containment in any searched field. Each notice meets every distinct keyword once, in arrays of
-    bounded length; the keywords found join the rules by equality. The arrays are broadcast up to ``BROADCAST_KEYWORDS``
-    keywords; of more, each is dealt to ``SALTS`` tasks, as all notices meet it."""
-    conditions = rule_conditions(rules, "keyword")
-    distinct = conditions.select("condition").distinct()
-    total = distinct.count()
+def grams(text: Column, size: int = GRAM) -> Column:
+    """Distinct runs of ``size`` characters."""
+
+    def runs(letters: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(letters) - size), lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)])))
+
+    return F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0))  # the letters are found once
+
+
+def all_grams(text: Column, shortest: int) -> Column:
+    """Grams of ``GRAM`` characters, and the shorter ones that keywords of fewer characters stand under."""
+    none = F.lit([]).cast("array<string>")
+    return F.concat(*[F.when(F.length(text) >= size, grams(text, size)).otherwise(none) for size in range(min(shortest, GRAM), GRAM + 1)])
+
+
+def hits_by_arrays(text: DataFrame, keywords: DataFrame, total: int) -> DataFrame:
+    """Each text meets every keyword, in broadcast arrays of bounded length."""
     n = max(1, -(-total // KEYWORDS_PER_ARRAY))
-    arrays = distinct.groupBy(F.pmod(F.xxhash64("condition"), F.lit(n)).alias("deal")).agg(F.sort_array(F.collect_list("condition")).alias("keywords"))
+    arrays = keywords.groupBy(F.pmod(F.xxhash64("condition"), F.lit(n)).alias("deal")).agg(F.sort_array(F.collect_list("condition")).alias("keywords"))
+    dealt = text.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("deal", F.col("deal").cast("long"))
+    met = dealt.join(F.broadcast(arrays), "deal")
+    return met.select("notice_id", "published_at", F.explode(F.expr("filter(keywords, k -> contains(searched, k))")).alias("condition"))
+
+
+def hits_by_index(text: DataFrame, keywords: DataFrame, size: int) -> DataFrame:
+    """Each keyword stands under the one of its 3-grams that the fewest texts have (a shorter keyword under itself); a text looks up its
+    own 3-grams and is compared with what stands under these. A keyword with a 3-gram that no text has is left out."""
+    shortest = keywords.agg(F.min(F.length("condition"))).first()[0] or GRAM
+    own = F.when(F.length("condition") >= GRAM, grams(F.col("condition"))).otherwise(F.array("condition"))
+    spelled = keywords.select("condition", F.explode(own).alias("gram"))
+    known = spelled.select("gram").distinct()
+    df = text.select(F.explode(all_grams(F.col("searched"), shortest)).alias("gram")).join(known, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    held = spelled.join(df, "gram", "left").groupBy("condition").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"))
+    index = materialized(held.filter("best.df > 0").select("best.gram", "condition"))
+    if size <= BROADCAST_BYTES:  # keywords come to the texts
+        near = text.select("notice_id", "published_at", "searched", F.explode(all_grams(F.col("searched"), shortest)).alias("gram")).join(F.broadcast(index), "gram")
+        return near.filter(F.expr("contains(searched, condition)")).select("notice_id", "published_at", "condition")
+    keyed = text.withColumn("text_hash", F.xxhash64("searched"))
+    places = keyed.select("notice_id", "text_hash", F.explode(all_grams(F.col("searched"), shortest)).alias("gram"))
+    near = places.join(index, "gram").select("notice_id", "text_hash", "condition").distinct()
+    return keyed.join(near, ["notice_id", "text_hash"]).filter(F.expr("contains(searched, condition)")).select("notice_id", "published_at", "condition")
+
+
+def match_keyword_rules(notices: DataFrame, rules: DataFrame, mode: str = "any", backfill: bool = False, index_from: int = INDEX_FROM) -> DataFrame:
+    """Literal containment in any searched field. The distinct keywords are compared with all texts up to ``index_from`` of
+    them, and sought by their 3-grams beyond; those found join the rules by equality."""
+    conditions = rule_conditions(rules, "keyword", backfill)
+    distinct = conditions.select("condition").distinct()
+    total, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("condition") + 40), F.lit(0))).first()
     have = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in KEYWORD_FIELDS if c in notices.columns]
     have += [F.coalesce(F.lower(F.array_join("tags", "\n")), F.lit(""))] if "tags" in notices.columns else []
     text = notices.select(F.col("id").alias("notice_id"), "published_at", F.concat_ws("\n", *have).alias("searched"))
-    dealt = text.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("deal", F.col("deal").cast("long"))
-    if total <= BROADCAST_KEYWORDS:
-        met = dealt.join(F.broadcast(arrays), "deal")
-        conditions = F.broadcast(conditions) if conditions.count() <= BROADCAST_KEYWORDS else conditions
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        met = dealt.withColumn("salt", F.pmod(F.xxhash64("notice_id"), F.lit(SALTS)).cast("int")).join(arrays.withColumn("salt", salts), ["deal", "salt"])
-    hits = met.select("notice_id", "published_at", F.explode(F.expr("filter(keywords, k -> contains(searched, k))")).alias("condition"))
-    found = hits.join(conditions, "condition").select("rule_id", "user_id", "notice_id", "published_at", "condition", "wanted")
+    hits = hits_by_arrays(text, distinct, total) if total < index_from and size <= BROADCAST_BYTES else hits_by_index(text, distinct, size)
+    found = joined(hits, conditions).select("rule_id", "user_id", "notice_id", "published_at", "condition", "wanted")
     if mode == "all":
         whole = found.groupBy("rule_id", "notice_id").agg(F.count_distinct("condition").alias("n"), F.max("wanted").alias("wanted2")).filter("n = wanted2").select("rule_id", "notice_id")
         found = found.join(whole, ["rule_id", "notice_id"], "left_semi")
     return found.select("rule_id", "user_id", "notice_id", "published_at", "condition")
 
 
-def match_alerts(notices: DataFrame, rules: DataFrame) -> DataFrame:
+def match_alerts(notices: DataFrame, rules: DataFrame, backfill: bool = False) -> DataFrame:
     """(rule_id, user_id, notice_id, matched_at, matched_conditions) over all kinds of rules.
 
     A rule has one kind. A notice has one category and one organization, so it meets one condition of such a rule, and
@@ -75,21 +133,23 @@ def match_alerts(notices: DataFrame, rules: DataFrame) -> DataFrame:
     """
     single = F.size(F.array_distinct(F.transform(F.filter("conditions", lambda c: S.trimmed(c) != ""), lambda c: F.lower(S.trimmed(c))))) <= 1
     kinds = (match_category_rules, match_organization_rules, match_keyword_rules)
+    # Every kind of rule reads the notices; what they are derived from is read once.
+    once = notices = materialized(notices.select(*[c for c in ("id", "category", "published_at", *KEYWORD_FIELDS, "tags") if c in notices.columns]))
 
     def pairs(rows: DataFrame, asked: DataFrame) -> DataFrame:
-        return reduce(DataFrame.unionByName, [f(rows, asked) for f in kinds])
+        return reduce(DataFrame.unionByName, [f(rows, asked, backfill=backfill) for f in kinds])
 
     def gathered(found: DataFrame) -> DataFrame:
         return found.groupBy("rule_id", "user_id", "notice_id").agg(F.max("published_at").alias("matched_at"), F.sort_array(F.collect_set("condition")).alias("matched_conditions"))
 
-    parts, once = [], notices
-    repeated = notices.groupBy("id").count().filter("count > 1").select("id")
+    parts = []
+    repeated = materialized(notices.groupBy("id").count().filter("count > 1").select("id"))
     if not repeated.isEmpty():
         parts.append(gathered(pairs(notices.join(repeated, "id", "left_semi"), rules)))
         once = notices.join(repeated, "id", "left_anti")
     several = rules.filter(~single & (F.col("type") == "keyword"))
     if not several.isEmpty():
-        parts.append(gathered(match_keyword_rules(once, several)))
+        parts.append(gathered(match_keyword_rules(once, several, backfill=backfill)))
     whole = pairs(once, rules.filter(single | (F.col("type") != "keyword")))
     parts.append(whole.select("rule_id", "user_id", "notice_id", F.col("published_at").alias("matched_at"), F.array("condition").alias("matched_conditions")))
     return reduce(DataFrame.unionByName, parts)
@@ -101,9 +161,9 @@ def match_counts(matches: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def category_match_counts(notices: DataFrame, rules: DataFrame) -> DataFrame:
-    """match_counts of category rules from counts per category: no pair of rule and notice is made."""
+    """match_counts of category rules, older notices included, from counts per category: no pair of rule and notice is made."""
     per = notices.groupBy(F.lower("category").alias("condition")).agg(F.count("*").alias("n"), F.max("published_at").alias("last"))
-    return rule_conditions(rules, "category").join(per, "condition").groupBy("rule_id").agg(F.sum("n").alias("match_count"), F.max("last").alias("last_matched_at"))
+    return rule_conditions(rules, "category", backfill=True).join(per, "condition").groupBy("rule_id").agg(F.sum("n").alias("match_count"), F.max("last").alias("last_matched_at"))
 
 
 def matches_by_period(matches: DataFrame, as_of: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Documents for question answering: chunks, keyword and vector retrieval, statistics."""
+"""Documents for question answering: chunks, vector retrieval, statistics (keyword retrieval: search.py)."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from noticejobs.functions import scalars as S
 
-K1, B = 1.2, 0.75
-
 
 def search_documents(docs: DataFrame, q: str, category: str | None = None) -> DataFrame:
     out = docs.filter(S.any_of([S.holds("title", q), S.holds("category", q)])) if q else docs
@@ -49,24 +47,6 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 50) -> Data
     return docs.filter(F.length("content") > 0).select(F.col("id").alias("doc_id"), "content", F.explode(steps).alias("chunk_no")).select("doc_id", "chunk_no", F.substring("content", F.col("chunk_no") * (size - overlap) + 1, F.lit(size)).alias("text"))
 
 
-def keyword_retrieve(chunks: DataFrame, queries: DataFrame, k: int, key: str = "id", text: str = "content") -> DataFrame:
-    """BM25: best k chunks of every query. Only postings of query terms are made; terms are joined by equality."""
-    def terms(c: str) -> Column:
-        return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    sized = chunks.select(F.col(key).alias("chunk_id"), terms(text).alias("words")).withColumn("length", F.size("words"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = sized.select("chunk_id", "length", F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = stats.first()
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
-    scored = postings.join(df, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 256) -> DataFrame:
     """Best k chunks of every query by cosine. Queries travel as blocks; each pair of blocks is a matrix product
     that keeps its own k best by rounded score, then chunk_id, so a query sends k rows a batch to the ranking."""

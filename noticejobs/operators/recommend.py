@@ -1,4 +1,4 @@
-"""Related notices, recommendations, near-equal documents and questions.
+"""Related notices, recommendations and questions.
 
 Suggestions are searches: a stated set of queries goes in blocks against all rows, each row is scored where it lies, and only
 the best k of a partition are shuffled. So frequent tags and words need no cap.
@@ -74,34 +74,6 @@ def related_notices(notices: DataFrame, k: int, queries: DataFrame | None = None
     return best.select(F.col("a").alias("id"), "rank", F.col("b").alias("related_id"), F.col("score").cast("long").alias("score"))
 
 
-def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """Near-equal documents by Jaccard similarity of word n-grams: (a, b, jaccard).
-
-    Documents with equal n-grams are one class: its smallest id is paired with each other member (1.0), and stands for
-    them in the pairs between classes. Two sets that are similar enough share one of their
-    ``n - ceil(threshold * n) + 1`` rarest n-grams, so only those make candidates, without any cap.
-    """
-    words = docs.select("id", F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != "").alias("w"))
-    rows = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)]))
-    keyed = words.filter(F.size("w") >= n).select("id", F.sort_array(F.array_distinct(rows)).alias("s")).withColumn("key", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")))
-    keyed = materialized(keyed)
-    sets = keyed.select("id", "s")
-    classes = keyed.groupBy("key").agg(F.min("id").alias("a"))
-    copies = keyed.select("key", F.col("id").alias("b")).join(classes, "key").filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    sets = sets.join(classes.select(F.col("a").alias("id")), "id", "left_semi").withColumn("n", F.size("s"))
-    grams = sets.select("id", "n", F.explode("s").alias("g"))
-    shared = grams.groupBy("g").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    prefix = grams.join(shared, "g").withColumn("k", order).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).filter("df > 1")
-    l, r = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
-    pairs = l.join(r, "g").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    scored = both.select("a", "b", F.round(F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")), 6).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= threshold).unionByName(copies)
-
-
 def related_questions(messages: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Questions like each of ``queries`` (messages; default: all questions): Jaccard similarity of their words."""
     def words(df: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noticejobs.functions import scalars as S
 from noticejobs.operators import alerts as L
 from noticejobs.operators import chat
 from noticejobs.plans.registry import query
 from noticejobs.sources import adapters as A
 from noticejobs.sources.adapters import NOTICES_AS_OF
 
+WORDS = "[w for w in regexp_split_to_array(lower(content), '[^a-z0-9]+') if w <> '']"
 STAMP = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
@@ -21,28 +23,46 @@ def matches(spark, d):
     return L.match_alerts(*both(spark, d))
 
 
-@query("SELECT r.id AS rule_id, count(*) AS n, CAST(sum(n.id) AS BIGINT) AS ids FROM notices n JOIN alert_rules r ON r.enabled AND r.type = 'category' AND lower(r.condition) = n.category GROUP BY 1", "notices", "alert_rules")
+@query("SELECT r.id AS rule_id, count(*) AS n, CAST(sum(n.id) AS BIGINT) AS ids FROM notices n JOIN alert_rules r ON r.enabled AND (r.created_at IS NULL OR n.published_at >= r.created_at) AND r.type = 'category' AND lower(r.condition) = n.category GROUP BY 1", "notices", "alert_rules")
 def j1_category_rules(spark, d):
     return L.match_category_rules(*both(spark, d)).groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("notice_id").alias("ids"))
 
 
-@query("SELECT r.id AS rule_id, n.id AS notice_id FROM notices n JOIN alert_rules r ON r.enabled AND r.type = 'organization' AND lower(r.condition) = lower(n.organization)", "notices", "alert_rules")
+@query("SELECT r.id AS rule_id, n.id AS notice_id FROM notices n JOIN alert_rules r ON r.enabled AND (r.created_at IS NULL OR n.published_at >= r.created_at) AND r.type = 'organization' AND lower(r.condition) = lower(n.organization)", "notices", "alert_rules")
 def j2_organization_rules(spark, d):
     return L.match_organization_rules(*both(spark, d)).select("rule_id", "notice_id")
 
 
-@query("SELECT r.id AS rule_id, n.id AS notice_id FROM notices n JOIN alert_rules r ON r.enabled AND r.type = 'keyword' AND (contains(lower(n.title), lower(r.condition)) OR contains(lower(n.organization), lower(r.condition)))", "notices", "alert_rules")
+@query("SELECT r.id AS rule_id, n.id AS notice_id FROM notices n JOIN alert_rules r ON r.enabled AND (r.created_at IS NULL OR n.published_at >= r.created_at) AND r.type = 'keyword' AND (contains(lower(n.title), lower(r.condition)) OR contains(lower(n.organization), lower(r.condition)))", "notices", "alert_rules")
 def j3_keyword_rules(spark, d):
     return L.match_keyword_rules(*both(spark, d)).select("rule_id", "notice_id")
 
 
-@query("SELECT r.id AS rule_id, n.id AS notice_id FROM notices n JOIN alert_rules r ON r.enabled AND r.type = 'keyword' AND (contains(lower(n.title), lower(r.condition)) OR contains(lower(n.organization), lower(r.condition))) AND (contains(lower(n.title), 'nation_1') OR contains(lower(n.organization), 'nation_1'))", "notices", "alert_rules")
+@query("SELECT r.id AS rule_id, n.id AS notice_id FROM notices n JOIN alert_rules r ON r.enabled AND (r.created_at IS NULL OR n.published_at >= r.created_at) AND r.type = 'keyword' AND (contains(lower(n.title), lower(r.condition)) OR contains(lower(n.organization), lower(r.condition))) AND (contains(lower(n.title), 'nation_1') OR contains(lower(n.organization), 'nation_1'))", "notices", "alert_rules")
 def j3_all_keywords(spark, d):
     """Rules with several keywords that all have to occur."""
     rules = A.alert_rules(spark, d).withColumn("conditions", F.array_union("conditions", F.array(F.lit("nation_1"))))
     return L.match_keyword_rules(A.notices(spark, d), rules, "all").select("rule_id", "notice_id").distinct()
 
 
+@query(f"""WITH k AS (SELECT DISTINCT unnest({WORDS}) AS condition FROM chat_messages), n AS (SELECT id, lower(concat_ws(chr(10), title, organization)) AS searched FROM rag_documents)
+    SELECT k.condition, count(*) AS n, CAST(sum(n.id) AS BIGINT) AS ids FROM n JOIN k ON contains(n.searched, k.condition) GROUP BY 1""", "chat_messages", "rag_documents")
+def j3_keyword_index(spark, d):
+    """A rule for every word of the questions and answers, sought in titles and organizations by the index of 3-grams."""
+    words = A.chat_messages(spark, d).select(F.explode(S.words_of("content")).alias("w")).distinct()
+    rules = words.select(F.xxhash64("w").alias("id"), F.lit(1).alias("user_id"), F.lit("keyword").alias("type"), F.array("w").alias("conditions"), F.lit(True).alias("enabled"))
+    notices = A.rag_documents(spark, d).select("id", "title", "organization", F.lit(None).cast("timestamp").alias("published_at"))
+    return L.match_keyword_rules(notices, rules, index_from=0).groupBy("condition").agg(F.count("*").alias("n"), F.sum("notice_id").alias("ids"))
+
+
+@query("SELECT r.id AS rule_id, count(*) AS n, CAST(sum(n.id) AS BIGINT) AS ids FROM notices n JOIN alert_rules r ON r.enabled AND r.type = 'category' AND lower(r.condition) = n.category AND n.published_at < r.created_at GROUP BY 1", "notices", "alert_rules")
+def j4_backfill(spark, d):
+    """What a back-fill adds: category matches of notices older than their rule."""
+    notices, rules = both(spark, d)
+    found = L.match_category_rules(notices, rules, backfill=True).join(L.match_category_rules(notices, rules).select("rule_id", "notice_id"), ["rule_id", "notice_id"], "left_anti")
+    return found.groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("notice_id").alias("ids"))
+
+
 @query("SELECT rule_id, user_id, notice_id, strftime(max(matched_at), '%Y-%m-%d %H:%M:%S') AS matched_at, string_agg(DISTINCT lower(condition), ',' ORDER BY lower(condition)) AS conditions FROM matches GROUP BY 1, 2, 3", "matches")
 def j4_match_alerts(spark, d):
     return matches(spark, d).select("rule_id", "user_id", "notice_id", STAMP("matched_at"), F.array_join("matched_conditions", ",").alias("conditions"))

@@ -8,6 +8,8 @@ from noticejobs.functions import scalars as S
 from noticejobs.operators import chat as C
 from noticejobs.operators import rag as G
 from noticejobs.operators import recommend as R
+from noticejobs.operators import search as H
+from noticejobs.operators import similar as N
 from noticejobs.plans.registry import query
 from noticejobs.sources import adapters as A
 
@@ -55,7 +57,7 @@ def f27_chunks(spark, d):
 def t8_keyword_retrieve(spark, d):
     docs = A.rag_documents(spark, d)
     queries = docs.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
-    return G.keyword_retrieve(docs, queries, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
+    return H.keyword_retrieve(docs, queries, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_similarity(q.v, c.v) AS score FROM e q JOIN e c ON true WHERE q.vec_id % 20 = 0)
@@ -81,13 +83,22 @@ def j21_related_questions(spark, d):
     return R.related_questions(messages, 3, messages.filter("id % 20 = 0")).select("id", F.col("rank").cast("long"), "related_id", "jaccard")
 
 
-@query(r"""WITH w AS (SELECT id, [x for x in regexp_split_to_array(lower(content), '\s+') if x <> ''] AS w FROM rag_documents), h AS (SELECT id, list_sort(list_distinct([hash(array_to_string(w[i:i+4], ' ')) for i in range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5),
+NEAR = r"""WITH w AS (SELECT id, [x for x in regexp_split_to_array(lower(content), '\s+') if x <> ''] AS w FROM rag_documents), h AS (SELECT id, list_sort(list_distinct([hash(array_to_string(w[i:i+4], ' ')) for i in range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5),
     c AS (SELECT s, min(id) AS a FROM h GROUP BY s), m AS (SELECT c.a, h.id AS b, 1.0 AS jaccard FROM h JOIN c ON h.s = c.s WHERE h.id <> c.a),
     q AS (SELECT x.a, y.a AS b FROM c x JOIN c y ON x.a < y.a AND least(len(x.s), len(y.s)) >= 0.8 * greatest(len(x.s), len(y.s))),
     z AS (SELECT q.a, q.b, len(list_intersect(x.s, y.s)) AS common, len(x.s) + len(y.s) AS total FROM q JOIN c x ON x.a = q.a JOIN c y ON y.a = q.b)
-    SELECT a, b, round(common / (total - common), 6) AS jaccard FROM z WHERE round(common / (total - common), 6) >= 0.8 UNION ALL SELECT * FROM m""", "rag_documents")
+    SELECT a, b, round(common / (total - common), 6) AS jaccard FROM z WHERE round(common / (total - common), 6) >= 0.8 UNION ALL SELECT * FROM m"""
+
+
+@query(NEAR, "rag_documents")
 def j22_compare_documents(spark, d):
-    return R.compare_documents(A.rag_documents(spark, d), 0.8)
+    return N.compare_documents(A.rag_documents(spark, d), 0.8)
+
+
+@query(NEAR, "rag_documents")
+def j22_near_documents(spark, d):
+    """By banded MinHash."""
+    return N.near_documents(A.rag_documents(spark, d), 0.8)
 
 
 VOTES = {c: " + ".join(f"CAST(contains(lower(content), '{w}') AS INT)" for w in words) for c, words in KEYWORDS.items()}

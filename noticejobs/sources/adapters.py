@@ -59,7 +59,7 @@ def alert_rules(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("c_custkey").cast("long")
     rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("kind", key % 25).filter("kind in (1, 2, 3)")
     condition = F.when(F.col("kind") == 1, segment_category("c_mktsegment")).when(F.col("kind") == 2, F.col("n_name")).otherwise(F.expr("CASE c_custkey % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'nation_1' ELSE 'low' END"))
-    return rows.select((key * 10 + F.col("kind")).alias("id"), key.alias("user_id"), F.expr("CASE kind WHEN 1 THEN 'category' WHEN 2 THEN 'organization' ELSE 'keyword' END").alias("type"), F.array(condition).alias("conditions"), (key % 4 != 0).alias("enabled"), F.concat(F.lit("rule "), key.cast("string")).alias("name"))
+    return rows.select((key * 10 + F.col("kind")).alias("id"), key.alias("user_id"), F.expr("CASE kind WHEN 1 THEN 'category' WHEN 2 THEN 'organization' ELSE 'keyword' END").alias("type"), F.array(condition).alias("conditions"), (key % 4 != 0).alias("enabled"), F.concat(F.lit("rule "), key.cast("string")).alias("name"), F.expr("CASE WHEN c_custkey % 7 > 0 THEN timestamp'1992-01-01' + make_dt_interval(int(c_custkey * 37 % 3600)) END").alias("created_at"))
 
 
 def chat_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -96,14 +96,14 @@ SQL_TABLES = {
     "scrape_logs": """SELECT CAST(event_id AS BIGINT) AS id, CAST(ts AS TIMESTAMP) AS "time", concat('source', user_id % 20) AS source, CASE event_type WHEN 'view' THEN 'info' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'success' END AS status,
         CASE WHEN event_type IN ('purchase','click') THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS items FROM events""",
     "alert_rules": f"""SELECT CAST(c_custkey AS BIGINT) * 10 + c_custkey % 25 AS id, CAST(c_custkey AS BIGINT) AS user_id, CASE c_custkey % 25 WHEN 1 THEN 'category' WHEN 2 THEN 'organization' ELSE 'keyword' END AS type,
-        CASE c_custkey % 25 WHEN 1 THEN {CATEGORY_SQL} WHEN 2 THEN n.n_name ELSE CASE c_custkey % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'nation_1' ELSE 'low' END END AS condition, c_custkey % 4 <> 0 AS enabled, concat('rule ', c_custkey) AS name
+        CASE c_custkey % 25 WHEN 1 THEN {CATEGORY_SQL} WHEN 2 THEN n.n_name ELSE CASE c_custkey % 3 WHEN 0 THEN 'urgent' WHEN 1 THEN 'nation_1' ELSE 'low' END END AS condition, c_custkey % 4 <> 0 AS enabled, concat('rule ', c_custkey) AS name, CASE WHEN c_custkey % 7 > 0 THEN TIMESTAMP '1992-01-01' + to_days(CAST(c_custkey * 37 % 3600 AS INT)) END AS created_at
         FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c_custkey % 25 IN (1, 2, 3)""",
     "chat_messages": "SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text AS content FROM conversations",
     "rag_documents": """SELECT CAST(doc_id AS BIGINT) AS id, split_part(text, chr(10), 1) AS title, source AS category, lang AS organization, text AS content, CAST(n_chars AS BIGINT) AS size, doc_id % 6 <> 2 AS embedded, CAST(floor(n_chars / 500.0) AS BIGINT) AS chunk_count,
         list_distinct([w for w in regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^a-z]+') if w <> '']) AS tags FROM documents""",
     "moderation_queue": "SELECT CAST(d.doc_id AS BIGINT) AS id, d.source, CAST(l.quality AS BIGINT) AS quality, CAST(l.toxic AS BIGINT) AS toxic, 'pending' AS status, d.lang AS category FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "scraped_pages": "SELECT CAST(page_id AS BIGINT) AS id, url, html FROM pages",
-    "matches": """SELECT r.id AS rule_id, r.user_id, n.id AS notice_id, n.published_at AS matched_at, r.condition FROM notices n JOIN alert_rules r ON r.enabled AND
+    "matches": """SELECT r.id AS rule_id, r.user_id, n.id AS notice_id, n.published_at AS matched_at, r.condition FROM notices n JOIN alert_rules r ON r.enabled AND (r.created_at IS NULL OR n.published_at >= r.created_at) AND
         ((r.type = 'category' AND lower(r.condition) = n.category) OR (r.type = 'organization' AND lower(r.condition) = lower(n.organization)) OR (r.type = 'keyword' AND (contains(lower(n.title), lower(r.condition)) OR contains(lower(n.organization), lower(r.condition)))))""",
 }
 NEEDS = {"matches": ("notices", "alert_rules")}
