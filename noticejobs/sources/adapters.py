@@ -113,8 +113,9 @@ def sql(body: str, *tables: str) -> str:
     """``body`` with the named derived tables as common table expressions."""
     order = list(dict.fromkeys(t for name in tables for t in (*NEEDS.get(name, ()), name)))
     body = body.strip()
-    with_more = body[4:].lstrip() if body.upper().startswith("WITH ") else None
-    head = "WITH " + ",\n".join(f"{t} AS ({SQL_TABLES[t]})" for t in order)
+    opening = next((x for x in ("WITH RECURSIVE ", "WITH ") if body.startswith(x)), "")
+    with_more = body[len(opening) :].lstrip() if opening else None
+    head = (opening or "WITH ") + ",\n".join(f"{t} AS ({SQL_TABLES[t]})" for t in order)
     return f"{head},\n{with_more}" if with_more else f"{head}\n{body}"
 
 

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from noticejobs.operators.alerts import match_alerts, rule_conditions
+from noticejobs.operators.alerts import match_alerts, match_category_rules, match_keyword_rules, match_organization_rules
 
 WATERMARK = "1 hour"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -29,11 +32,12 @@ def write_matches(stream: DataFrame, rules: Callable[[], DataFrame], out: str, c
 
 
 def stream_match_counts(notices: DataFrame, rules: DataFrame) -> DataFrame:
-    """Running count and last match of category and organization rules: one state row a rule."""
-    kinds = rule_conditions(rules, "category").withColumn("field", F.lit("category")).unionByName(rule_conditions(rules, "organization").withColumn("field", F.lit("organization")))
-    keys = F.array(F.struct(F.lit("category").alias("field"), F.lower("category").alias("condition")), F.struct(F.lit("organization").alias("field"), F.lower("organization").alias("condition")))
-    exploded = notices.select("id", "published_at", F.explode(keys).alias("k")).select("id", "published_at", "k.field", "k.condition")
-    return exploded.join(kinds, ["field", "condition"]).groupBy("rule_id").agg(F.count("*").alias("match_count"), F.max("published_at").alias("last_matched_at"))
+    """Running count and last match of every kind of rule. The state holds each (rule, notice) once, so neither a notice that
+    arrives again nor a second keyword of a rule counts twice, and a row for each rule."""
+    kinds = (match_category_rules, match_organization_rules, match_keyword_rules)
+    found = reduce(DataFrame.unionByName, [f(notices, rules).select("rule_id", "notice_id", "published_at") for f in kinds])
+    once = found.dropDuplicates(["rule_id", "notice_id"])
+    return once.groupBy("rule_id").agg(F.count("*").alias("match_count"), F.max("published_at").alias("last_matched_at"))
 
 
 def digest(matches: DataFrame, window: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
@@ -59,14 +63,75 @@ def live_counters(notices: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return notices.withWatermark("published_at", watermark).groupBy(F.window("published_at", "1 hour"), "category").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "category", "n")
 
 
-def retry_state(logs: DataFrame, limit: int = 3) -> DataFrame:
-    """Consecutive failures of each source; failed from ``limit`` on, a success starts anew. One integer of state a source."""
-
-    def count(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        for status in pd.concat(list(rows)).sort_values(["time", "id"])["status"]:
-            n = n + 1 if status in ("error", "warning") else 0 if status == "success" else n
-        state.update((n,))
-        yield pd.DataFrame({"source": [key[0]], "attempts": [n], "failed": [n >= limit]})
-
-    return logs.groupBy("source").applyInPandasWithState(count, "source string, attempts int, failed boolean", "n int", "update", GroupStateTimeout.NoTimeout)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which stateful processors need."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+class RetryCounter(StatefulProcessor):
+    """Consecutive failures of a source in the order of event time.
+
+    Rows wait in the state until the watermark has passed them, so rows that arrive out of order count in order, and a timer
+    at the earliest of them folds them, one by one. A source without rows for ``expiry`` begins anew; another
+    timer then clears its state. Times are microseconds.
+    """
+
+    BAD, GOOD = ("error", "warning"), "success"
+    STATE = "attempts int, last long, timer long, times array<long>, ids array<long>, kinds array<int>"
+
+    def __init__(self, limit: int, expiry_seconds: int):
+        self.limit, self.expiry = limit, expiry_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("retries", self.STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = []
+        for frame in rows:
+            kinds = [1 if x in self.BAD else 2 if x == self.GOOD else 0 for x in frame["status"]]
+            fresh += zip((frame["time"].astype("datetime64[us]").astype("int64")).tolist(), frame["id"].tolist(), kinds, strict=True)
+        yield self.fold(key, fresh, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.fold(key, [], timerValues, fired=True)
+
+    def fold(self, key, fresh: list, timerValues, fired: bool = False) -> pd.DataFrame:
+        attempts, last, timer, *waiting = self.state.get() if self.state.exists() else (0, 0, 0, [], [], [])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        pending = sorted([*zip(*waiting, strict=True), *fresh])
+        out, done = [], 0
+        for at, row, kind in pending:
+            if at > passed:
+                break
+            attempts = 0 if last and at - last > self.expiry else attempts
+            attempts = attempts + 1 if kind == 1 else 0 if kind == 2 else attempts
+            last, done = at, done + 1
+            if kind:
+                out.append((key[0], row, attempts, attempts >= self.limit))
+        pending = pending[done:]
+        if timer and not fired:
+            self.handle.deleteTimer(timer)
+        if not pending and last + self.expiry <= passed:
+            self.state.clear()
+        else:
+            timer = max(-(-(pending[0][0] if pending else last + self.expiry) // 1000), passed // 1000 + 1)
+            self.handle.registerTimer(timer)
+            self.state.update((attempts, last, timer, *map(list, zip(*pending, strict=True))) if pending else (attempts, last, timer, [], [], []))
+        return pd.DataFrame({"source": pd.Series([x[0] for x in out], dtype="str"), "id": pd.Series([x[1] for x in out], dtype="int64"), "attempts": pd.Series([x[2] for x in out], dtype="int32"), "failed": pd.Series([x[3] for x in out], dtype="bool")})
+
+
+def retry_state(logs: DataFrame, limit: int = 3, watermark: str = WATERMARK, expiry_seconds: int = 7 * 86_400) -> DataFrame:
+    """(source, id, attempts, failed) for every failure and success, once the watermark has passed it: consecutive failures
+    of the source up to it; failed from ``limit`` on. Start the query inside ``rocksdb_state``."""
+    rows = logs.select("source", "id", "time", "status").withWatermark("time", watermark)
+    return rows.groupBy("source").transformWithStateInPandas(RetryCounter(limit, expiry_seconds), "source string, id long, attempts int, failed boolean", "append", "EventTime")
