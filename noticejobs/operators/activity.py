@@ -34,6 +34,15 @@ def unseen_notices(candidates: DataFrame, activities: DataFrame) -> DataFrame:
     return candidates.join(seen(activities), ["user_id", "notice_id"], "left_anti")
 
 
+def unseen_counts(notices: DataFrame, activities: DataFrame) -> DataFrame:
+    """(user_id, category, unseen): notices of each category that a user of ``activities`` has not seen, from counts alone: no
+    pair of a user and an unseen notice is made."""
+    totals = notices.filter("category is not null").groupBy("category").agg(F.count("*").alias("total"))  # a row a category
+    looked = seen(activities).join(notices.select(F.col("id").alias("notice_id"), "category"), "notice_id").groupBy("user_id", "category").agg(F.count("*").alias("looked"))
+    users = activities.select("user_id").distinct().withColumn("category", F.explode(F.array(*[F.lit(r["category"]) for r in totals.select("category").collect()]).cast("array<string>")))  # one value a category
+    return users.join(totals, "category").join(looked, ["user_id", "category"], "left").select("user_id", "category", (F.col("total") - F.coalesce("looked", F.lit(0))).alias("unseen"))
+
+
 def activity_with_target(activities: DataFrame, notices: DataFrame, rules: DataFrame, docs: DataFrame) -> DataFrame:
     """related_id names a notice, a rule or a document, by the activity's type."""
     def side(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +55,9 @@ def activity_with_target(activities: DataFrame, notices: DataFrame, rules: DataF
     return out.withColumn("target", F.coalesce("notice_title", "rule_title", "doc_title")).select(*activities.columns, "target")
 
 
-def user_stats(users: DataFrame, activities: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
+def user_stats(users: DataFrame, activities: DataFrame, rules: DataFrame, as_of: str, matches: DataFrame | None = None) -> DataFrame:
+    """Figures of each user. With ``created_at`` of users also the age of the account in days; with match counts (rule_id,
+    match_count) also the matches of all rules of the user."""
     now = S.moment(as_of)
     acts = activities.groupBy("user_id").agg(
         F.count_if((F.col("type") == "view") & (F.col("timestamp") >= F.date_trunc("month", now)) & (F.col("timestamp") <= now)).alias("viewed_month"),
@@ -54,9 +65,16 @@ def user_stats(users: DataFrame, activities: DataFrame, rules: DataFrame, as_of:
     )
     saved = current_saved(activities).groupBy("user_id").agg(F.count("*").alias("saved"))
     active = rules.groupBy("user_id").agg(F.count_if("enabled").alias("active_alerts"))
-    base = users.select(F.col("id").alias("user_id"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return base.join(acts, "user_id", "left").join(saved, "user_id", "left").join(active, "user_id", "left").select("user_id", *map(zero, ("viewed_month", "alerts", "saved", "active_alerts")))
+    aged = "created_at" in users.columns
+    out = users.select(F.col("id").alias("user_id"), *([F.date_diff(now, F.col("created_at")).cast("long").alias("account_days")] if aged else []))
+    parts, counts = [acts, saved, active], ["viewed_month", "alerts", "saved", "active_alerts"]
+    if matches is not None:
+        owned = matches.join(rules.select(F.col("id").alias("rule_id"), "user_id"), "rule_id")
+        parts.append(owned.groupBy("user_id").agg(F.sum("match_count").alias("total_matches")))
+        counts.append("total_matches")
+    for part in parts:
+        out = out.join(part, "user_id", "left")
+    return out.select("user_id", *(["account_days"] if aged else []), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def unread_alerts(users: DataFrame, activities: DataFrame) -> DataFrame:
@@ -91,6 +109,15 @@ def popular_notices(activities: DataFrame, k: int, as_of: str | None = None, day
     return views.groupBy(F.col("related_id").alias("notice_id")).agg(F.count("*").alias("views")).orderBy(F.desc("views"), "notice_id").limit(k)
 
 
+def trending_by_category(activities: DataFrame, notices: DataFrame, k: int, as_of: str, days: int = 7) -> DataFrame:
+    """(notice_id): the k most viewed notices of each category in the last days."""
+    now = S.moment(as_of)
+    recent = activities.filter((F.col("type") == "view") & (F.col("timestamp") > now - F.make_dt_interval(F.lit(days))) & (F.col("timestamp") <= now))
+    views = recent.groupBy(F.col("related_id").alias("notice_id")).agg(F.count("*").alias("views"))
+    w = Window.partitionBy("category").orderBy(F.desc("views"), "notice_id")
+    return views.join(notices.select(F.col("id").alias("notice_id"), "category"), "notice_id").withColumn("at", F.row_number().over(w)).filter(F.col("at") <= k).select("notice_id")
+
+
 def search_analytics(activities: DataFrame, term: str = "description") -> DataFrame:
     """Frequency and users of each search text."""
     text = S.search_term(term)
@@ -123,6 +150,30 @@ def distinct_users_by_day(activities: DataFrame, approx: bool = False) -> DataFr
     return activities.groupBy(F.date_trunc("day", "timestamp").alias("day")).agg(count("user_id").alias("users"))
 
 
+def user_sketches(activities: DataFrame, size: int = 12) -> DataFrame:
+    """(day, sketch): an HLL sketch of the users of each day. A new day adds one row; longer periods are unions of days."""
+    return activities.filter("user_id is not null").groupBy(F.to_date("timestamp").alias("day")).agg(F.hll_sketch_agg("user_id", size).alias("sketch"))
+
+
+def distinct_users(sketches: DataFrame, period: str) -> DataFrame:
+    """(period, users): estimates for days, weeks or months from the sketches of days."""
+    return sketches.groupBy(F.date_trunc(period, F.col("day").cast("timestamp")).alias("period")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+
+
+def portal_users(activities: DataFrame, portals: DataFrame) -> DataFrame:
+    """(source_portal, day, sketch): theta sketches of the users who looked at notices (id, source_portal) of a portal; unions and
+    intersections of them answer how many users portals and days have in common."""
+    seen_in = activities.filter("type = 'view' and user_id is not null").join(portals.select(F.col("id").alias("related_id"), "source_portal"), "related_id")
+    return seen_in.groupBy("source_portal", F.to_date("timestamp").alias("day")).agg(F.theta_sketch_agg("user_id").alias("sketch"))
+
+
+def shared_users(sketches: DataFrame) -> DataFrame:
+    """(a, b, users) for each two portals: estimated users of both."""
+    whole = sketches.groupBy("source_portal").agg(F.theta_union_agg("sketch").alias("sketch"))  # a row a portal
+    l, r = whole.select(F.col("source_portal").alias("a"), F.col("sketch").alias("sa")), whole.select(F.col("source_portal").alias("b"), F.col("sketch").alias("sb"))
+    return l.join(r, F.col("a") < F.col("b")).select("a", "b", F.theta_sketch_estimate(F.theta_intersection("sa", "sb")).alias("users"))
+
+
 def moving_activity(activities: DataFrame, days: int = 7) -> DataFrame:
     """Views per notice and day with the moving count of the last days."""
     daily = activities.filter("type = 'view'").groupBy(F.col("related_id").alias("notice_id"), F.unix_date(F.to_date("timestamp")).alias("day")).agg(F.count("*").alias("n"))

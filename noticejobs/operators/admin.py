@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from noticejobs.functions import scalars as S
 
 
-def admin_overview(notices: DataFrame, users: DataFrame, docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row of totals; the four parts are one-row aggregates."""
+def admin_overview(notices: DataFrame, users: DataFrame, docs: DataFrame, sources: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """One row of totals, with the items of the moderation queue that still wait; the parts are one-row aggregates."""
     n = notices.agg(F.count("*").alias("notices"))
     u = users.agg(F.count_if(F.col("status") == "active").alias("active_users"))
     d = docs.agg(F.count("*").alias("documents"))
     failing = F.col("status") == "error"
     s = sources.agg(F.count_if(F.col("status") == "active").alias("active_sources"), F.count_if(failing).alias("failing_sources"), F.array_join(F.sort_array(F.collect_list(F.when(failing, F.col("name")))), ", ").alias("failing_names"))
     one = lambda df: df.withColumn("_one", F.lit(1))
-    return one(n).join(one(u), "_one").join(one(d), "_one").join(one(s), "_one").drop("_one").withColumn("healthy", F.col("failing_sources") == 0)
+    parts = [n, u, d, s] + ([queue.agg(F.count_if(F.col("status") == "pending").alias("pending_items"))] if queue is not None else [])
+    return reduce(lambda a, b: a.join(b, "_one"), map(one, parts)).drop("_one").withColumn("healthy", F.col("failing_sources") == 0)
 
 
 def scraping_stats(sources: DataFrame) -> DataFrame:
@@ -60,6 +63,21 @@ def ocr_stats(notices: DataFrame) -> DataFrame:
     return notices.groupBy("source_portal").agg(F.count("*").alias("n"), F.round(F.avg(ocr.cast("int")), 6).alias("ocr_share"), F.round(F.avg("ocr_confidence"), 6).alias("mean_confidence"), F.min("ocr_confidence").alias("min_confidence"))
 
 
+def scrape_latency_sketches(notices: DataFrame, k: int = 800) -> DataFrame:
+    """(source_portal, day, sketch, n): a KLL sketch of the minutes from publication to scrape; days are merged by
+    ``latency_quantiles``, so a new day adds a row a portal and reads no old ones."""
+    minutes = (F.unix_millis("scraped_at") - F.unix_millis("published_at")) / 60_000
+    rows = notices.withColumn("_m", minutes).filter("_m is not null")
+    return rows.groupBy("source_portal", F.to_date("published_at").alias("day")).agg(F.kll_sketch_agg_double("_m", k).alias("sketch"), F.count("*").alias("n"))
+
+
+def latency_quantiles(sketches: DataFrame, *by: str, k: int = 800) -> DataFrame:
+    """p50 and p95 of the merged sketches of each group, and how many minutes they stand for."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"), F.sum("n").alias("n"))
+    quantile = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return merged.select(*by, "n", quantile(0.5).alias("p50"), quantile(0.95).alias("p95"))
+
+
 def scrape_latency(notices: DataFrame) -> DataFrame:
     """Minutes from publication to scrape per portal."""
     minutes = (F.unix_millis("scraped_at") - F.unix_millis("published_at")) / 60_000
@@ -100,22 +118,41 @@ def normalize_series(df: DataFrame, key: str, x: str, v: str) -> DataFrame:
     return df.withColumns({"px": F.round(F.when(n > 1, (k - 1) / (n - 1)).otherwise(0.0), 6), "py": F.round((F.col(v) - lo) / span, 6)})
 
 
-def pair_scrape_runs(logs: DataFrame) -> DataFrame:
+def with_carry(logs: DataFrame, values: dict[str, Column], segment: str = "month") -> tuple[DataFrame, WindowSpec]:
+    """``logs`` cut into segments of a source and a period, with what earlier segments of the source leave to each.
+
+    ``values`` are aggregates of a segment that can be folded: sums (of counts and numbers), which are added up, and maxima of times,
+    of which the latest counts. The rows of a source are never sorted in one place: each segment by itself, and one row a
+    segment to fold what is carried. Returns the rows with ``_segment`` and a column for each value, and the window of a segment.
+    """
+    cut = logs.withColumn("_segment", F.date_trunc(segment, "time"))
+    each = cut.groupBy("source", "_segment").agg(*[v.alias(k) for k, v in values.items()])
+    before = Window.partitionBy("source").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    fold = {f.name: F.max if f.dataType.typeName().startswith("timestamp") else F.sum for f in each.schema}
+    carried = each.select("source", "_segment", *[fold[k](k).over(before).alias(k) for k in values])
+    rows = cut.join(carried.select(F.col("source").alias("_source"), F.col("_segment").alias("_of"), *values), F.col("source").eqNullSafe(F.col("_source")) & F.col("_segment").eqNullSafe(F.col("_of")), "left").drop("_source", "_of")
+    return rows, Window.partitionBy("source", "_segment").orderBy("time", "id")
+
+
+def pair_scrape_runs(logs: DataFrame, segment: str = "month") -> DataFrame:
     """Every finished row with the time of the latest start before it of the same source."""
-    w = Window.partitionBy("source").orderBy("time", "id").rowsBetween(Window.unboundedPreceding, -1)
-    started = F.last(F.when(F.col("status") == "info", F.col("time")), ignorenulls=True).over(w)
-    return logs.withColumn("started", started).filter(F.col("status").isin("success", "error")).withColumn("wall_seconds", F.unix_timestamp("time") - F.unix_timestamp("started"))
+    start = F.when(F.col("status") == "info", F.col("time"))
+    rows, w = with_carry(logs, {"_started": F.max(start)}, segment)
+    here = F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    paired = rows.withColumn("started", F.coalesce(here, "_started")).filter(F.col("status").isin("success", "error"))
+    return paired.drop("_segment", "_started").withColumn("wall_seconds", F.unix_timestamp("time") - F.unix_timestamp("started"))
 
 
 def cap_items_per_run(items: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], n: int = 100) -> DataFrame:
     return items.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
-def retry_chains(logs: DataFrame) -> DataFrame:
+def retry_chains(logs: DataFrame, segment: str = "month") -> DataFrame:
     """Runs of warnings and errors between successes of a source as one incident, with the success that ended it."""
-    w = Window.partitionBy("source").orderBy("time", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     success = F.col("status") == "success"
-    chained = logs.withColumn("chain", F.sum(success.cast("long")).over(w))
+    rows, w = with_carry(logs, {"_before": F.count_if(success)}, segment)
+    here = F.sum(F.coalesce(success, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chained = rows.withColumn("chain", here + F.coalesce("_before", F.lit(0)))
     bad = F.col("status").isin("warning", "error")
     # The success that closes chain c opens chain c + 1.
     ends = chained.filter(success).select("source", (F.col("chain") - 1).alias("chain"), F.col("time").alias("resolved_at"))
@@ -123,6 +160,8 @@ def retry_chains(logs: DataFrame) -> DataFrame:
     return incidents.join(ends, ["source", "chain"], "left")
 
 
-def running_items(logs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("time", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return logs.withColumn("running", F.sum("items").over(w))
+def running_items(logs: DataFrame, segment: str = "month") -> DataFrame:
+    """Running total of the items of a source."""
+    rows, w = with_carry(logs, {"_before": F.sum("items")}, segment)
+    here = F.sum("items").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("running", F.coalesce(here + F.coalesce("_before", F.lit(0)), "_before")).drop("_segment", "_before")

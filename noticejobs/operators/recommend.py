@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticejobs.operators.activity import current_saved, popular_notices, seen, unseen_notices
+from noticejobs.operators.activity import current_saved, seen, trending_by_category, unseen_notices
 from noticejobs.sources.shared import materialized
 
 
@@ -105,7 +105,7 @@ def enough_candidates(taste: DataFrame, published: DataFrame, activities: DataFr
 
 def recommend(users: DataFrame, notices: DataFrame, activities: DataFrame, rules: DataFrame, k: int, as_of: str) -> DataFrame:
     """Best k unseen notices of each user, with the reason: of all published ones in the categories that the user viewed,
-    saved in or has a rule for, and of the ten that are trending."""
+    saved in or has a rule for, and of the ten that are trending in each category."""
     meta = notices.select(F.col("id").alias("notice_id"), "category")
     per_category = lambda events, name: events.join(meta, "notice_id").groupBy("user_id", "category").agg(F.count("*").alias(name))
     viewed = per_category(activities.filter("type = 'view'").select("user_id", F.col("related_id").alias("notice_id")), "views_in")
@@ -115,7 +115,7 @@ def recommend(users: DataFrame, notices: DataFrame, activities: DataFrame, rules
     everyone = users.select(F.col("id").alias("user_id"))
     taste = taste.join(everyone, "user_id", "left_semi")
     published = notices.filter("status = 'published'").select(F.col("id").alias("notice_id"), "category", "priority", "organization")
-    trend = [r["notice_id"] for r in popular_notices(activities, 10, as_of, 7).collect()]  # ten at most
+    trend = [r["notice_id"] for r in trending_by_category(activities, notices, 10, as_of).distinct().collect()]  # ten a category at most
     published = published.withColumn("trending", F.col("notice_id").isin(trend).cast("int") if trend else F.lit(0))
     base = enough_candidates(taste, published, activities, k)
     if trend:

@@ -36,13 +36,19 @@ def j6_saved_notices(spark, d):
     return Y.saved_notices(A.notices(spark, d), acts, acts.agg(F.min("user_id")).first()[0]).select("id", "title")
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id, related_id FROM activities WHERE type IN ('view', 'save')), u AS (SELECT DISTINCT user_id FROM activities), c AS (SELECT id FROM notices WHERE id < 30)
-    SELECT u.user_id, count(*) AS unseen FROM u JOIN c ON true WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = u.user_id AND s.related_id = c.id) GROUP BY 1""", "activities", "notices")
+@query(f"""WITH s AS (SELECT DISTINCT user_id, related_id FROM activities WHERE type IN ('view', 'save')), c AS (SELECT DISTINCT x.user_id, n.category FROM ({SAVED}) x JOIN notices n ON n.id = x.notice_id WHERE x.user_id % 20 = 0)
+    SELECT c.user_id, count(*) AS unseen, CAST(sum(n.id) AS BIGINT) AS ids FROM c JOIN notices n ON n.category = c.category WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = c.user_id AND s.related_id = n.id) GROUP BY 1""", "activities", "notices")
 def j7_unseen_notices(spark, d):
-    acts = A.activities(spark, d)
-    low = A.notices(spark, d).filter("id < 30").agg(F.collect_list("id").alias("ids"))  # thirty ids at most
-    pairs = acts.select("user_id").distinct().withColumn("one", F.lit(1)).join(low.withColumn("one", F.lit(1)), "one").select("user_id", F.explode("ids").alias("notice_id"))
-    return Y.unseen_notices(pairs, acts).groupBy("user_id").agg(F.count("*").alias("unseen"))
+    """Candidates of every twentieth user: all notices of the categories that they saved in."""
+    acts, notices = A.activities(spark, d), A.notices(spark, d).select(F.col("id").alias("notice_id"), "category")
+    liked = Y.current_saved(acts).filter("user_id % 20 = 0").join(notices, "notice_id").select("user_id", "category").distinct()
+    return Y.unseen_notices(liked.join(notices, "category"), acts).groupBy("user_id").agg(F.count("*").alias("unseen"), F.sum("notice_id").alias("ids"))
+
+
+@query("""WITH s AS (SELECT DISTINCT a.user_id, a.related_id, n.category FROM activities a JOIN notices n ON n.id = a.related_id WHERE a.type IN ('view', 'save')), t AS (SELECT category, count(*) AS total FROM notices GROUP BY 1)
+    SELECT u.user_id, t.category, t.total - (SELECT count(*) FROM s WHERE s.user_id = u.user_id AND s.category = t.category) AS unseen FROM (SELECT DISTINCT user_id FROM activities) u, t""", "activities", "notices")
+def j7_unseen_counts(spark, d):
+    return Y.unseen_counts(A.notices(spark, d), A.activities(spark, d))
 
 
 @query("""SELECT a.id, a.type, coalesce(n.title, r.name, t.title) AS target FROM activities a LEFT JOIN notices n ON a.type IN ('view', 'save') AND n.id = a.related_id
@@ -58,6 +64,17 @@ def a11_user_stats(spark, d):
     return Y.user_stats(A.users(spark, d), A.activities(spark, d), A.alert_rules(spark, d), EVENTS_AS_OF)
 
 
+@query(f"""SELECT u.id AS user_id, CAST(date_diff('day', DATE '2020-01-01' + CAST(u.id % 1000 AS INT), DATE '{EVENTS_AS_OF[:10]}') AS BIGINT) AS account_days, coalesce(m.n, 0) AS total_matches FROM users u
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM (SELECT DISTINCT rule_id, user_id, notice_id FROM matches) GROUP BY 1) m ON m.user_id = u.id""", "users", "matches")
+def a11_account_and_matches(spark, d):
+    from noticejobs.operators.alerts import match_counts
+    from noticejobs.plans.alerting import matches
+
+    users = A.users(spark, d).withColumn("created_at", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 1000).cast("int")))
+    rules = A.alert_rules(spark, d)
+    return Y.user_stats(users, A.activities(spark, d), rules, EVENTS_AS_OF, match_counts(matches(spark, d), rules)).select("user_id", "account_days", "total_matches")
+
+
 @query("SELECT u.id AS user_id, count(*) FILTER (a.\"timestamp\" > TIMESTAMP '2024-01-15') AS unread FROM users u LEFT JOIN activities a ON a.user_id = u.id AND a.type = 'alert' GROUP BY 1", "users", "activities")
 def a11_unread_alerts(spark, d):
     return Y.unread_alerts(A.users(spark, d).withColumn("last_login", F.lit("2024-01-15").cast("timestamp")), A.activities(spark, d))
@@ -110,6 +127,33 @@ def a29_users_by_day(spark, d):
     return Y.distinct_users_by_day(A.activities(spark, d)).select(stamp("day"), "users")
 
 
+PERIODS = " UNION ALL ".join(f"SELECT '{p}' AS kind, date_trunc('{p}', \"timestamp\") AS period, count(DISTINCT user_id) AS users FROM activities GROUP BY 1, 2" for p in ("day", "week", "month"))
+
+
+@query(f"SELECT kind, strftime(period, '%Y-%m-%d %H:%M:%S') AS period, users, true AS within FROM ({PERIODS})", "activities")
+def a29_user_sketches(spark, d):
+    """Users of days, weeks and months by unions of one HLL sketch a day, beside exact counts: within 5 % of them."""
+    acts = A.activities(spark, d)
+    sketches = Y.user_sketches(acts)
+    rows = []
+    for period in ("day", "week", "month"):
+        exact = acts.groupBy(F.date_trunc(period, "timestamp").alias("period")).agg(F.count_distinct("user_id").alias("users"))
+        near = Y.distinct_users(sketches, period).withColumnRenamed("users", "estimate")
+        rows.append(exact.join(near, "period").select(F.lit(period).alias("kind"), stamp("period"), "users", (F.abs(F.col("estimate") - F.col("users")) <= 0.05 * F.col("users")).alias("within")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("""WITH v AS (SELECT DISTINCT n.source_portal AS p, a.user_id FROM activities a JOIN notices n ON n.id = a.related_id WHERE a.type = 'view'), x AS (SELECT DISTINCT p FROM v)
+    SELECT x.p AS a, y.p AS b, (SELECT count(*) FROM v JOIN v w ON w.user_id = v.user_id WHERE v.p = x.p AND w.p = y.p) AS users, true AS within FROM x JOIN x y ON x.p < y.p""", "activities", "notices")
+def a3_shared_users(spark, d):
+    """Users that two portals have in common, by theta sketches, beside exact counts: within 5 % of the users of either."""
+    acts, notices = A.activities(spark, d), A.notices(spark, d)
+    near = Y.shared_users(Y.portal_users(acts, notices)).withColumnRenamed("users", "estimate")
+    seen = acts.filter("type = 'view'").join(notices.select(F.col("id").alias("related_id"), "source_portal"), "related_id").select("source_portal", "user_id").distinct()
+    both = seen.select("user_id", F.col("source_portal").alias("a")).join(seen.select("user_id", F.col("source_portal").alias("b")), "user_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("users"))
+    return near.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("users", F.lit(0)).alias("users"), (F.abs(F.col("estimate") - F.coalesce("users", F.lit(0))) <= 5 + 0.05 * F.coalesce("users", F.lit(0))).alias("within"))
+
+
 @query("SELECT user_id, id, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY \"timestamp\" DESC, id DESC) AS rank FROM activities) WHERE rank <= 6", "activities")
 def w8_recent_activity(spark, d):
     return Y.recent_activity(A.activities(spark, d)).select("user_id", "id", F.col("rank").cast("long"))
@@ -146,7 +190,8 @@ def t4_sort_saved(spark, d):
 @query(f"""WITH seen AS (SELECT DISTINCT user_id, related_id AS notice_id FROM activities WHERE type IN ('view', 'save')), v AS (SELECT a.user_id, n.category, count(*) AS views_in FROM activities a JOIN notices n ON n.id = a.related_id WHERE a.type = 'view' GROUP BY 1, 2),
     s AS (SELECT x.user_id, n.category, count(*) AS saves_in FROM ({SAVED}) x JOIN notices n ON n.id = x.notice_id GROUP BY 1, 2), t AS (SELECT coalesce(v.user_id, s.user_id) AS user_id, coalesce(v.category, s.category) AS category, coalesce(views_in, 0) AS views_in, coalesce(saves_in, 0) AS saves_in FROM v FULL JOIN s ON v.user_id = s.user_id AND v.category = s.category),
     published AS (SELECT * FROM notices WHERE status = 'published'),
-    trend AS (SELECT related_id FROM activities WHERE type = 'view' AND "timestamp" > {CLOCK} - INTERVAL 7 DAY AND "timestamp" <= {CLOCK} GROUP BY 1 ORDER BY count(*) DESC, related_id LIMIT 10), ruled AS (SELECT DISTINCT user_id, condition AS category FROM alert_rules WHERE enabled AND type = 'category'),
+    hot AS (SELECT related_id, count(*) AS views FROM activities WHERE type = 'view' AND "timestamp" > {CLOCK} - INTERVAL 7 DAY AND "timestamp" <= {CLOCK} GROUP BY 1),
+    trend AS (SELECT related_id FROM (SELECT h.related_id, row_number() OVER (PARTITION BY n.category ORDER BY h.views DESC, h.related_id) AS k FROM hot h JOIN notices n ON n.id = h.related_id) WHERE k <= 10), ruled AS (SELECT DISTINCT user_id, condition AS category FROM alert_rules WHERE enabled AND type = 'category'),
     wide AS (SELECT user_id, category FROM t UNION SELECT user_id, category FROM ruled), cand AS (SELECT w.user_id, n.id AS notice_id, n.category, n.priority FROM wide w JOIN published n ON n.category = w.category UNION SELECT u.id, n.id, n.category, n.priority FROM users u JOIN trend ON true JOIN published n ON n.id = trend.related_id),
     p AS (SELECT k.user_id, k.notice_id, least(coalesce(views_in, 0), 10) AS a, 3 * least(coalesce(saves_in, 0), 10) AS b, CASE WHEN r.user_id IS NULL THEN 0 ELSE 20 END AS c, CASE WHEN k.priority = 'high' THEN 5 ELSE 0 END AS e, CASE WHEN tr.related_id IS NULL THEN 0 ELSE 1 END AS f
       FROM cand k JOIN users u ON u.id = k.user_id LEFT JOIN t ON t.user_id = k.user_id AND t.category = k.category LEFT JOIN ruled r ON r.user_id = k.user_id AND r.category = k.category LEFT JOIN trend tr ON tr.related_id = k.notice_id
@@ -172,11 +217,12 @@ def a21_user_counts(spark, d):
     return M.user_counts(A.users(spark, d))
 
 
-@query("""SELECT n.notices, u.active_users, t.documents, s.* FROM (SELECT count(*) AS notices FROM notices) n, (SELECT count(*) FILTER (status = 'active') AS active_users FROM users) u, (SELECT count(*) AS documents FROM rag_documents) t,
+@query("""SELECT n.notices, u.active_users, t.documents, q.pending_items, s.* FROM (SELECT count(*) AS notices FROM notices) n, (SELECT count(*) AS pending_items FROM moderation_queue WHERE id % 3 > 0) q, (SELECT count(*) FILTER (status = 'active') AS active_users FROM users) u, (SELECT count(*) AS documents FROM rag_documents) t,
     (SELECT count(*) FILTER (status = 'active') AS active_sources, count(*) FILTER (status = 'error') AS failing_sources, coalesce(string_agg(name, ', ' ORDER BY name) FILTER (status = 'error'), '') AS failing_names, count(*) FILTER (status = 'error') = 0 AS healthy
-     FROM (SELECT source AS name, CASE WHEN sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) % 2 = 1 THEN 'error' ELSE 'active' END AS status FROM scrape_logs GROUP BY 1)) s""", "notices", "users", "rag_documents", "scrape_logs")
+     FROM (SELECT source AS name, CASE WHEN sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) % 2 = 1 THEN 'error' ELSE 'active' END AS status FROM scrape_logs GROUP BY 1)) s""", "notices", "users", "rag_documents", "scrape_logs", "moderation_queue")
 def a5_admin_overview(spark, d):
-    return M.admin_overview(A.notices(spark, d), A.users(spark, d), A.rag_documents(spark, d), sources(spark, d))
+    queue = A.moderation_queue(spark, d).withColumn("status", F.when(F.col("id") % 3 > 0, F.col("status")).otherwise("approved"))
+    return M.admin_overview(A.notices(spark, d), A.users(spark, d), A.rag_documents(spark, d), sources(spark, d), queue)
 
 
 def sources(spark, d):
@@ -210,10 +256,25 @@ def a16_ocr_stats(spark, d):
     return M.ocr_stats(A.notices(spark, d).withColumn("ocr_confidence", F.when(F.col("is_ocr"), 80 + F.col("id") % 20)))
 
 
-@query("SELECT source_portal, round(avg(5 + id % 26), 6) AS mean_minutes FROM notices GROUP BY 1", "notices")
+@query("SELECT source_portal, round(avg(5 + id % 26), 6) AS mean_minutes, CAST(quantile_disc(5 + id % 26, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(5 + id % 26, 0.95) AS DOUBLE) AS p95 FROM notices GROUP BY 1", "notices")
 def a17_scrape_latency(spark, d):
-    rows = A.notices(spark, d).withColumn("scraped_at", F.col("published_at") + F.make_dt_interval(F.lit(0), F.lit(0), (5 + F.col("id") % 26).cast("int")))
-    return M.scrape_latency(rows).select("source_portal", "mean_minutes")
+    return M.scrape_latency(scraped(spark, d, 26))
+
+
+def scraped(spark, d, minutes):
+    return A.notices(spark, d).withColumn("scraped_at", F.col("published_at") + F.make_dt_interval(F.lit(0), F.lit(0), (5 + F.col("id") % minutes).cast("int")))
+
+
+@query("SELECT source_portal, CAST(year(published_at) AS BIGINT) AS year, count(*) AS n, true AS p50_within, true AS p95_within FROM notices GROUP BY 1, 2", "notices")
+def a17_latency_sketches(spark, d):
+    """Median and p95 by portal and year from KLL sketches of days, held against exact ranks: both within two hundredths of the rank."""
+    rows = scraped(spark, d, 1009)
+    near = M.latency_quantiles(M.scrape_latency_sketches(rows).withColumn("year", F.year("day").cast("long")), "source_portal", "year")
+    minutes = (F.unix_millis("scraped_at") - F.unix_millis("published_at")) / 60_000
+    ranks = rows.select("source_portal", F.year("published_at").cast("long").alias("year"), minutes.alias("m")).join(near, ["source_portal", "year"]).groupBy("source_portal", "year", "n").agg(
+        *[F.avg((F.col("m") < F.col(p)).cast("int")).alias(f"{p}_below") for p in ("p50", "p95")], *[F.avg((F.col("m") <= F.col(p)).cast("int")).alias(f"{p}_upto") for p in ("p50", "p95")])
+    within = lambda p, q: ((F.col(f"{p}_below") <= q + 0.02) & (F.col(f"{p}_upto") >= q - 0.02)).alias(f"{p}_within")
+    return ranks.select("source_portal", "year", "n", within("p50", 0.5), within("p95", 0.95))
 
 
 @query("SELECT source, count(*) AS runs, count(*) FILTER (status = 'success') AS successes, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'warning') AS retries, CAST(sum(items) AS BIGINT) AS items, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate FROM scrape_logs GROUP BY 1", "scrape_logs")
@@ -251,7 +312,7 @@ def w6_normalize_series(spark, d):
 @query("""WITH w AS (SELECT *, last_value(CASE WHEN status = 'info' THEN "time" END IGNORE NULLS) OVER (PARTITION BY source ORDER BY "time", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS started FROM scrape_logs)
     SELECT id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, CAST(epoch(date_trunc('second', "time")) - epoch(date_trunc('second', started)) AS BIGINT) AS wall_seconds FROM w WHERE status IN ('success', 'error') AND started IS NOT NULL""", "scrape_logs")
 def j16_pair_runs(spark, d):
-    return M.pair_scrape_runs(A.scrape_logs(spark, d)).filter("started is not null").select("id", stamp("started"), "wall_seconds")
+    return M.pair_scrape_runs(A.scrape_logs(spark, d), "day").filter("started is not null").select("id", stamp("started"), "wall_seconds")
 
 
 @query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY source, date_trunc('day', \"time\") ORDER BY \"time\", id) AS k FROM scrape_logs) WHERE k <= 5", "scrape_logs")
@@ -263,11 +324,11 @@ def w5_cap_items(spark, d):
     i AS (SELECT source, chain, count(*) AS events, min("time") AS began_at FROM c WHERE status IN ('warning', 'error') GROUP BY 1, 2)
     SELECT i.source, CAST(i.chain AS BIGINT) AS chain, i.events, strftime(i.began_at, '%Y-%m-%d %H:%M:%S') AS began_at, strftime(e.t, '%Y-%m-%d %H:%M:%S') AS resolved_at FROM i LEFT JOIN e ON e.source = i.source AND e.chain = i.chain""", "scrape_logs")
 def w7_retry_chains(spark, d):
-    return M.retry_chains(A.scrape_logs(spark, d)).select("source", "chain", "events", stamp("began_at"), stamp("resolved_at"))
+    return M.retry_chains(A.scrape_logs(spark, d), "day").select("source", "chain", "events", stamp("began_at"), stamp("resolved_at"))
 
 
 @query("SELECT id, CAST(sum(items) OVER (PARTITION BY source ORDER BY \"time\", id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM scrape_logs", "scrape_logs")
 def w11_running_items(spark, d):
-    return M.running_items(A.scrape_logs(spark, d)).select("id", "running")
+    return M.running_items(A.scrape_logs(spark, d), "day").select("id", "running")
 
 

@@ -55,10 +55,11 @@ def j15_source_category(spark, d):
     return I.map_source_category(p.withColumnRenamed("url", "source_url"), sources).groupBy("source_name").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, array_to_string([x for x in [CASE WHEN trim(title) = '' THEN 'missing title' END, CASE WHEN id % 5 = 0 THEN 'missing description' END, CASE WHEN category NOT IN ('src1', 'src2') THEN 'unknown category' END] if x IS NOT NULL], ';') AS reasons
-    FROM rag_documents WHERE trim(title) = '' OR id % 5 = 0 OR category NOT IN ('src1', 'src2')""", "rag_documents")
+@query("""SELECT id, array_to_string([x for x in [CASE WHEN trim(title) = '' THEN 'missing title' END, CASE WHEN id % 5 = 0 THEN 'missing description' END, CASE WHEN category NOT IN ('src1', 'src2') THEN 'unknown category' END,
+    CASE WHEN id % 7 = 0 THEN 'unknown priority' END, CASE WHEN id % 11 = 0 THEN 'unknown status' END] if x IS NOT NULL], ';') AS reasons FROM rag_documents WHERE trim(title) = '' OR id % 5 = 0 OR category NOT IN ('src1', 'src2') OR id % 7 = 0 OR id % 11 = 0""", "rag_documents")
 def s3_validate_import(spark, d):
-    rows = A.rag_documents(spark, d).withColumn("description", F.when(F.col("id") % 5 != 0, "given"))
+    given = lambda n, bad, good: F.when(F.col("id") % n == 0, bad).when(F.col("id") % n > 1, good)
+    rows = A.rag_documents(spark, d).withColumns({"description": F.when(F.col("id") % 5 != 0, "given"), "priority": given(7, "medium", "low"), "status": given(11, "deleted", "draft")})
     return files.validate_import(rows, categories=("src1", "src2"))[1].select("id", F.array_join("reasons", ";").alias("reasons"))
 
 

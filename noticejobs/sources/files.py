@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticejobs.functions import scalars as S
-from noticejobs.sources.schemas import CATEGORIES, NOTICE
+from noticejobs.sources.schemas import CATEGORIES, NOTICE, PRIORITIES, STATUSES
 
 CORRUPT = "_corrupt_record"
 
@@ -37,10 +37,11 @@ def export_table(df: DataFrame, path: str, fmt: str = "json") -> None:
         df.write.mode("overwrite").format(fmt).save(path)
 
 
-def import_reasons(url: str | None = None, dates: tuple[str, ...] = (), categories: tuple[str, ...] = CATEGORIES) -> Column:
-    """Why a row cannot be imported, as an array; empty for a valid row."""
+def import_reasons(url: str | None = None, dates: tuple[str, ...] = (), categories: tuple[str, ...] = CATEGORIES, columns: list[str] | None = None) -> Column:
+    """Why a row cannot be imported, as an array; empty for a valid row. Of the closed sets of values those of ``columns`` are checked."""
     missing = [F.when(F.coalesce(S.trimmed(c), F.lit("")) == "", f"missing {c}") for c in ("title", "description", "category", "organization")]
-    tests = [*missing, F.when(F.col("category").isNotNull() & ~F.col("category").isin(*categories), "unknown category")]
+    enums = {"category": categories, "priority": PRIORITIES, "status": STATUSES}
+    tests = [*missing, *[F.when(F.col(c).isNotNull() & ~F.col(c).isin(*held), f"unknown {c}") for c, held in enums.items() if columns is None or c in columns]]
     if url:
         tests.append(F.when(F.col(url).isNotNull() & ~S.valid_url(url), f"bad {url}"))
     tests += [F.when(F.col(c).isNotNull() & F.col(c).try_cast("timestamp").isNull(), f"bad {c}") for c in dates]
@@ -48,7 +49,7 @@ def import_reasons(url: str | None = None, dates: tuple[str, ...] = (), categori
 
 
 def validate_import(df: DataFrame, **rules) -> tuple[DataFrame, DataFrame]:
-    checked = df.withColumn("reasons", import_reasons(**rules))
+    checked = df.withColumn("reasons", import_reasons(columns=df.columns, **rules))
     return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from noticejobs.operators.alerts import match_alerts, match_category_rules, match_keyword_rules, match_organization_rules
+from noticejobs.sources.epochs import EpochSource
 
 WATERMARK = "1 hour"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -31,12 +32,28 @@ def write_matches(stream: DataFrame, rules: Callable[[], DataFrame], out: str, c
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_pairs(notices: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_id, notice_id, published_at) of arriving notices, a row for each condition that is met."""
+    kinds = (match_category_rules, match_organization_rules, match_keyword_rules)
+    return reduce(DataFrame.unionByName, [f(notices, rules).select("rule_id", "notice_id", "published_at") for f in kinds])
+
+
+def sink_epochs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream to a table of epochs: all rows of a batch, or none, and once."""
+    stream.sparkSession.dataSource.register(EpochSource)
+    return stream.writeStream.format("epochs").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_epochs(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of a table of epochs, as a stream."""
+    spark.dataSource.register(EpochSource)
+    return spark.readStream.format("epochs").schema(schema).load(path)
+
+
 def stream_match_counts(notices: DataFrame, rules: DataFrame) -> DataFrame:
     """Running count and last match of every kind of rule. The state holds each (rule, notice) once, so neither a notice that
     arrives again nor a second keyword of a rule counts twice, and a row for each rule."""
-    kinds = (match_category_rules, match_organization_rules, match_keyword_rules)
-    found = reduce(DataFrame.unionByName, [f(notices, rules).select("rule_id", "notice_id", "published_at") for f in kinds])
-    once = found.dropDuplicates(["rule_id", "notice_id"])
+    once = stream_pairs(notices, rules).dropDuplicates(["rule_id", "notice_id"])
     return once.groupBy("rule_id").agg(F.count("*").alias("match_count"), F.max("published_at").alias("last_matched_at"))
 
 
