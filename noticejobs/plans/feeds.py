@@ -9,6 +9,7 @@ from noticejobs.operators import ingest as I
 from noticejobs.plans.registry import query
 from noticejobs.sources import adapters as A
 from noticejobs.sources import files
+from noticejobs.sources.keyed import KeyedTable
 from noticejobs.sources.shared import shared_folder
 
 HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
@@ -36,6 +37,18 @@ def u2_upsert_scraped(spark, d):
     return I.upsert_scraped(p, again).select("id", "source_url")
 
 
+@query("""WITH p AS (SELECT id, coalesce(url, CAST(id AS VARCHAR)) AS source_url, id AS scraped_at FROM scraped_pages), u AS (SELECT * FROM p WHERE id % 4 > 0 UNION ALL SELECT id + 1000000, source_url, scraped_at + 10 FROM p WHERE id % 3 = 0 UNION ALL SELECT id + 2000000, source_url, scraped_at - 10 FROM p WHERE id % 5 = 0)
+    SELECT id, source_url FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY scraped_at DESC, id DESC) AS k FROM u) WHERE k = 1""", "scraped_pages")
+def u2_stored_upsert(spark, d):
+    """The same into a stored table: two arrivals of scrapes, one with older rows, go to the partitions they touch."""
+    p = A.scraped_pages(spark, d).select("id", F.coalesce("url", F.col("id").cast("string")).alias("source_url"), F.col("id").alias("scraped_at"))
+    path = shared_folder(spark)
+    table = KeyedTable.create(p.filter("id % 4 > 0"), f"pages_{path.rpartition('/')[2]}", "source_url", ("scraped_at", "id"), path)
+    for n, change, late in ((3, 1_000_000, 10), (5, 2_000_000, -10)):
+        table.upsert(p.filter(F.col("id") % n == 0).select((F.col("id") + change).alias("id"), "source_url", (F.col("scraped_at") + late).alias("scraped_at")))
+    return table.rows().select("id", "source_url")
+
+
 @query("SELECT id, url FROM scraped_pages WHERE url NOT IN (SELECT url FROM scraped_pages WHERE id % 2 = 0)", "scraped_pages")
 def u3_new_since(spark, d):
     p = A.scraped_pages(spark, d).select("id", "url")
