@@ -13,7 +13,8 @@ exact Jaccard similarity of the sets. A pair at similarity 0.8 shares no band wi
 1e-6.
 
 A document and the next one stand side by side after a range partitioning by (doc_id, hash of the text): the first row of each range, found
-from ids and hashes alone, is also sent to the range before it.
+from ids and hashes alone, is also sent to the range before it. Texts travel compressed. Near duplicates need fingerprints only, so these are
+computed where the texts lie.
 
 Defined results: null and empty texts, and texts without words, have the empty set; its fingerprint equals itself alone, so two
 of them have likeness 1, and it has no near duplicates; a text with fewer than five words is one shingle; rows that share a doc_id stand in the order
@@ -31,8 +32,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noticejobs.llm import trie_join
 from noticejobs.llm.common import SLICE_BYTES, discard, slices, stored, texts
@@ -90,59 +93,65 @@ def hex_of(signature: np.ndarray) -> list[str]:
     return [row.astype(">u2").tobytes().hex() for row in signature]
 
 
+def class_of(s: np.ndarray) -> bytes | None:
+    """Hash of a whole set."""
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def edited(text: str, following: str) -> str:
     """``text`` with its second half replaced by as much of the beginning of ``following``."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
+#: Characters of a range on average.
+RANGE_CHARS = 4 << 20
+ROUTED = pa.schema([("part", pa.int32()), ("guest", pa.bool_()), ("known", pa.bool_()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("packed", pa.binary())])
+
+
 def range_heads(rows: DataFrame) -> list[tuple]:
-    """First (doc_id is known, doc_id, text_hash) of each range; one row a partition reaches the driver."""
-    ranged = rows.select("known", "doc_id", "text_hash").repartitionByRange("known", "doc_id", "text_hash")
-    heads = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("known", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")).alias("head")).select("head.*")
+    """First (doc_id is known, doc_id, text_hash) of each range; one row a range reaches the driver."""
+    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    ranged = rows.select("known", "doc_id", "text_hash").repartitionByRange(max(1, -(-total // RANGE_CHARS)), "known", "doc_id", "text_hash")
+    heads = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct("known", "doc_id", "text_hash")).alias("head")).select("head.*")
     return sorted(map(tuple, heads.collect()))
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
-    """(part, guest, doc_id, text) with the rows of a part in order, and behind them, as a guest, the row that comes next."""
-    rows = texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text")).withColumn("known", F.col("doc_id").isNotNull())
+    """(part, guest, doc_id, packed) with the rows of a part in order, and behind them, as a guest, the row that comes next."""
+    known = F.col("doc_id").isNotNull()
+    rows = texts(docs).select(known.alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     heads = range_heads(rows)
 
-    @F.pandas_udf("array<int>")
-    def places(known: pd.Series, doc_id: pd.Series, text_hash: pd.Series) -> pd.Series:
-        """The range of a row, and for the first row of a range also the range before it, as -1 less its number."""
-        out = []
-        for key in zip(known.tolist(), doc_id.tolist(), text_hash.tolist(), strict=True):
-            part = bisect_right(heads, key) - 1
-            out.append([part, -1 - (part - 1) % len(heads)] if heads[part] == key else [part])
-        return pd.Series(out)
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row in its range, and the first row of a range in the range before it too."""
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            out: list[tuple] = []
+            text = batch.column(3).cast(pa.binary())
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                part = bisect_right(heads, row) - 1
+                packed = packer.compress(text[k].as_py())
+                out.append((part, False, *row, packed))
+                if heads[part] == row:
+                    out.append(((part - 1) % len(heads), True, *row, packed))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, ROUTED)], schema=ROUTED)
 
-    dealt = rows.withColumn("place", F.explode(places("known", F.coalesce("doc_id", F.lit(0)), "text_hash"))) if heads else rows.withColumn("place", F.lit(0))
-    guest = F.col("place") < 0
-    dealt = dealt.select(F.when(guest, -1 - F.col("place")).otherwise(F.col("place")).alias("part"), guest.alias("guest"), "known", "doc_id", "text_hash", "text")
-    return dealt.repartition("part").sortWithinPartitions("part", "guest", "known", "doc_id", "text_hash").select("part", "guest", "doc_id", "text")
+    dealt = rows.select("known", "doc_id", "text_hash", "text").mapInArrow(route, "part int, guest boolean, known boolean, doc_id long, text_hash long, packed binary")
+    dealt = dealt.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "guest", "known", "doc_id", "text_hash")
+    return dealt.select("part", "guest", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "packed")
 
 
 STAMPED = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
-    ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())),
+    ("n_shingles", pa.int64()), ("class", pa.binary()),
 ])
-STAMPED_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles long, class binary, bands array<long>"
-
-
-def bands_of(signature: np.ndarray) -> np.ndarray:
-    """Join keys: a 64-bit hash of each band and its number."""
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX, (len(signature), BANDS)).copy()
-    values = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    for j in range(ROWS):
-        keys = (keys ^ values[:, :, j]) * _MIX
-        keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64)
+STAMPED_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles long, class binary"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document, with
-    n_shingles, class (hash of its set, null for an empty one) and bands for near_classes."""
+    n_shingles and class (hash of its set, null for an empty one)."""
 
     def stamp(shingler: trie_join.Shingler, guests: list, ids: list, rows: list) -> pa.RecordBatch:
         own = [k for k in range(len(rows) - 1) if not guests[k]]
@@ -153,15 +162,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([
             pa.array([ids[k] for k in own], pa.int64()), pa.array([len(rows[k]) for k in own], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed], pa.string()),
             pa.array(hex_of(mine), pa.string()), pa.array(hex_of(cut), pa.string()), pa.array(likeness(mine, cut)), pa.array(likeness(mine, whole[[k + 1 for k in own]])),
-            pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([xxhash.xxh3_128_digest(sets[k].tobytes()) if len(sets[k]) else None for k in own], pa.binary()), pa.array(list(bands_of(mine)), pa.list_(pa.int64())),
+            pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([class_of(sets[k]) for k in own], pa.binary()),
         ], schema=STAMPED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = trie_join.Shingler(SHINGLE)
+        shingler, unpacker = trie_join.Shingler(SHINGLE), zstandard.ZstdDecompressor()
         guests, ids, rows, size = [], [], [], 0
         for batch in batches:
-            for g, k, column in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                text = column.as_py()
+            for g, k, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                text = unpacker.decompress(packed.as_py()).decode()
                 guests.append(g)
                 ids.append(k)
                 rows.append(text)
@@ -175,28 +184,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return beside_next(docs).mapInArrow(run, STAMPED_DDL)
 
 
-def differing_share(a: Column, b: Column) -> Column:
-    """Share of different values of two fingerprints in hexadecimal."""
-    at = F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))
-    return F.size(F.filter(at, lambda k: F.substring(a, 4 * k + 1, F.lit(4)) != F.substring(b, 4 * k + 1, F.lit(4)))) / F.lit(PERMUTATIONS)
+def bands_of(signature: np.ndarray) -> np.ndarray:
+    """Join keys: a 64-bit hash of each band and its number."""
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX, (len(signature), BANDS)).copy()
+    values = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
+    for j in range(ROWS):
+        keys = (keys ^ values[:, :, j]) * _MIX
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def band_keys(signature: pd.Series) -> pd.Series:
+    return pd.Series(list(bands_of(np.array([np.frombuffer(x, np.uint16) for x in signature]).reshape(-1, PERMUTATIONS))))
+
+
+@F.pandas_udf(T.DoubleType())
+def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(likeness(*(np.frombuffer(b"".join(x), np.uint16).reshape(-1, PERMUTATIONS) for x in (a, b))))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, n, class and signature (binary) of the documents with shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = trie_join.Shingler(SHINGLE)
+        for batch in batches:
+            for ids, rows in slices(batch):
+                sets = shingler.sets(rows)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array([class_of(s) for s in sets], pa.binary()),
+                    "signature": pa.array([x.tobytes() for x in signatures(sets)], pa.binary()),
+                })
 
+    return texts(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, n long, class binary, signature binary").filter("class is not null")
 
-def near_classes(stamped: DataFrame, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """(class, class_id): for classes of sets that are near to another one, the smallest doc_id that links reach; and of copies.
 
-    ``stamped`` is a stored table of fingerprints(docs).
-    """
-    known = stamped.filter("class is not null and doc_id is not null")
-    classes = stored(known.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
-    buckets = classes.select("node", F.explode("bands").alias("band"))
+def near_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """(class, class_id): for classes of sets that are near to another one, the smallest doc_id that links reach; and of copies."""
+    classes = stored(signed(docs).groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    buckets = stored(classes.select("node", F.explode(band_keys("signature")).alias("band")))
     leaders = buckets.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1").select("band", "a")
     index = stored(buckets.join(leaders, "band"))  # only bands that two classes share
-    side = lambda node, names: classes.select(F.col("node").alias(node), F.col("n").alias(names[0]), F.col("fingerprint").alias(names[1]))
+    discard(buckets)
+    side = lambda node, names: classes.select(F.col("node").alias(node), F.col("n").alias(names[0]), F.col("signature").alias(names[1]))
 
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that are near, by their whole sets."""
-        both = pairs.join(side("a", ("na", "fa")), "a").join(side("b", ("nb", "fb")), "b")
-        likely = stored(both.filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (differing_share(F.col("fa"), F.col("fb")) <= 1 - SIEVE)).select("a", "b"))
+        both = pairs.join(side("a", ("na", "fa")), "a").join(side("b", ("nb", "fb")), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+        likely = stored(both.filter(agreement("fa", "fb") >= SIEVE).select("a", "b"))
         sets = sets_of(docs, likely)
         near = stored(trie_join.linked(likely, sets, num, den))
         discard(likely, sets)
@@ -240,7 +276,5 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """fingerprints(docs) with class_id: the smallest doc_id among the near duplicates that links reach, its own without any."""
-    stamped = stored(fingerprints(docs))
-    moved = near_classes(stamped, docs, num, den)
-    out = stamped.join(moved, "class", "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
-    return out.drop("class", "bands")
+    out = fingerprints(docs).join(near_classes(docs, num, den), "class", "left")
+    return out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))).drop("class")
