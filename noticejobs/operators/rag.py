@@ -1,12 +1,8 @@
-"""Documents for question answering: chunks, vector retrieval, statistics (keyword retrieval: search.py)."""
+"""Documents for question answering: chunks, statistics, categories (retrieval: search.py and nearest.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticejobs.functions import scalars as S
@@ -47,30 +43,6 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 50) -> Data
     return docs.filter(F.length("content") > 0).select(F.col("id").alias("doc_id"), "content", F.explode(steps).alias("chunk_no")).select("doc_id", "chunk_no", F.substring("content", F.col("chunk_no") * (size - overlap) + 1, F.lit(size)).alias("text"))
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """Best k chunks of every query by cosine. Queries travel as blocks; each pair of blocks is a matrix product
-    that keeps its own k best by rounded score, then chunk_id, so a query sends k rows a batch to the ranking."""
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    n = max(1, -(-queries.count() // block))
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
-    dealt = chunks.select("chunk_id", "vector").withColumn("shard", F.spark_partition_id()).groupBy("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("salt")).agg(F.collect_list(F.struct("chunk_id", "vector")).alias("c"))
-    pairs = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("q", "c")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q, c in zip(batch["q"], batch["c"], strict=True):
-                c = sorted(c, key=lambda x: x["chunk_id"])  # the stable sort below leaves ties in this order
-                ids = np.array([x["chunk_id"] for x in c])
-                score = unit(np.array([x["vector"] for x in q], float)) @ unit(np.array([x["vector"] for x in c], float)).T
-                rounded = np.round(score, 9)
-                best = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat([x["query_id"] for x in q], best.shape[1]), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel(), "rounded": np.take_along_axis(rounded, best, 1).ravel()})
-
-    scored = pairs.mapInPandas(run, "query_id long, chunk_id long, score double, rounded double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("rounded"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
-
-
 def auto_categorize(notices: DataFrame, keywords: dict[str, tuple[str, ...]], text: str = "content", minimum: float = 0.5) -> DataFrame:
     """Category of the source, else by keyword votes; confidence is the winner's share of the hits."""
     votes = {c: sum((F.when(S.holds(text, w), 1).otherwise(0) for w in words), F.lit(0)) for c, words in keywords.items()}

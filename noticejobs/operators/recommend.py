@@ -1,64 +1,17 @@
 """Related notices, recommendations and questions.
 
-Suggestions are searches: a stated set of queries goes in blocks against all rows, each row is scored where it lies, and only
-the best k of a partition are shuffled. So frequent tags and words need no cap.
+Suggestions are searches: a stated set of queries goes in blocks against all rows (nearest.py). So frequent tags and words need no
+cap.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticejobs.operators.activity import current_saved, seen, trending_by_category, unseen_notices
-from noticejobs.sources.shared import materialized
-
-
-#: Queries of a block, and blocks that the rows of a partition are dealt to.
-BLOCK_QUERIES, ROW_BLOCKS = 256, 16
-
-
-def best_partners(rows: DataFrame, queries: DataFrame, score: Callable, k: int) -> DataFrame:
-    """(a, rank, b, score): the best k other rows with a score above 0 for each query, equal scores by id.
-
-    ``rows`` and ``queries`` are (id, words, labels), two arrays of strings; a word counts once. For a block of queries and a block of
-    rows ``score`` gets the number of shared words, both sizes, and for each label whether it is the same, as arrays of
-    queries x rows. A pair of blocks keeps its own k best for a query. Spark broadcasts the written blocks of
-    queries if their files are small enough, and shuffles them otherwise.
-    """
-    item = F.struct("id", "words", "labels")
-    n = max(1, -(-queries.count() // BLOCK_QUERIES))
-    blocks = materialized(queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(item).alias("q")))
-    dealt = rows.withColumn("shard", F.spark_partition_id()).groupBy("shard", F.pmod(F.xxhash64("id"), F.lit(ROW_BLOCKS)).alias("salt")).agg(F.collect_list(item).alias("r"))
-    pairs = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(blocks, "block").select("q", "r")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                r.sort(key=lambda x: x["id"])  # the stable sort below leaves ties in this order
-                sets = [[set(x["words"]) for x in side] for side in (q, r)]
-                column = {w: c for c, w in enumerate(set().union(*sets[0]))}
-                asked = np.zeros((len(column) + 1, len(q)), np.float32)
-                for j, words in enumerate(sets[0]):
-                    asked[[column[w] for w in words], j] = 1
-                shared = np.array([asked[[column[w] for w in words if w in column] or [-1]].sum(0) for words in sets[1]]).T
-                same = [np.array([x["labels"][c] is not None and y["labels"][c] == x["labels"][c] for x in q for y in r]).reshape(len(q), len(r)) for c in range(len(q[0]["labels"]))]
-                of_q, of_r = (np.array([x["id"] for x in side]) for side in (q, r))
-                value = score(shared, np.array([[len(x)] for x in sets[0]]), np.array([[len(x) for x in sets[1]]]), same)
-                value = np.where(of_q[:, None] == of_r, 0, value)
-                best = np.argsort(-value, axis=1, kind="stable")[:, :k]
-                top = np.take_along_axis(value, best, 1).astype(float)
-                keep = top > 0
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.broadcast_to(of_q[:, None], best.shape)[keep]), "b": pa.array(of_r[best][keep]), "score": pa.array(top[keep])})
-
-    return top_k(pairs.mapInArrow(run, "a long, b long, score double"), "a", [F.desc("score"), F.col("b")], k)
-
-
-def top_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
+from noticejobs.operators.nearest import best_partners, top_k
 
 
 def related_notices(notices: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticejobs.functions import scalars as S
 from noticejobs.operators import chat as C
+from noticejobs.operators import nearest as V
 from noticejobs.operators import rag as G
 from noticejobs.operators import recommend as R
 from noticejobs.operators import search as H
@@ -64,7 +65,18 @@ def t8_keyword_retrieve(spark, d):
     SELECT query_id, CAST(rank AS BIGINT) AS rank, chunk_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def t9_vector_topk(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return G.vector_topk(e.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), e, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
+    return V.vector_topk(e.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), e, 10).select("query_id", F.col("rank").cast("long"), "chunk_id", "score")
+
+
+@query("SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, true AS reached FROM embeddings")
+def t9_vector_cells(spark, d):
+    """Whether the probed cells hold at least nine tenths of the best ten of the whole table."""
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    queries = e.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = V.vector_topk(queries, e, 10).select("query_id", "chunk_id")
+    near = V.probe_cells(V.build_cells(e, 32), queries, 10, 20).select("query_id", "chunk_id", F.lit(1).alias("found"))
+    both = exact.join(near, ["query_id", "chunk_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
 
 
 @query("""WITH p AS (SELECT x.id AS a, y.id AS b, coalesce(CAST(x.organization = y.organization AS INT), 0) AS o, coalesce(CAST(x.category = y.category AS INT), 0) AS c, coalesce(len(list_intersect(x.tags, y.tags)), 0) AS t FROM rag_documents x JOIN rag_documents y ON x.id <> y.id WHERE x.id % 20 = 0),

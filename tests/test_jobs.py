@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from noticejobs.operators import activity, admin, alerts, ingest, notices, rag, recommend
+from noticejobs.operators import activity, admin, alerts, ingest, nearest, notices, rag, recommend
 from noticejobs.sources import files
 from noticejobs.streaming import jobs
 
@@ -82,7 +82,7 @@ def test_corrupt_rows_are_kept_apart(spark, tmp_path):
 def test_equal_vectors_rank_by_id(spark):
     chunks = spark.createDataFrame([(k, [1.0, 2.0]) for k in reversed(range(3000))], "chunk_id long, vector array<double>").coalesce(1)
     queries = spark.createDataFrame([(7, [2.0, 4.0])], "query_id long, vector array<double>")
-    got = rag.vector_topk(queries, chunks, 10).orderBy("rank").collect()
+    got = nearest.vector_topk(queries, chunks, 10).orderBy("rank").collect()
     assert [(r["rank"], r.chunk_id) for r in got] == [(k + 1, k) for k in range(10)]
 
 
