@@ -9,7 +9,7 @@ piece of its own costs the lowest score less 10, and a run of such characters is
 or one token for each of its bytes with ``byte_fallback``.
 
 Defined results: a null text and an empty one have 0 tokens and score 0; repeated rows count each; of paths with one score
-the first found stays; a text or word of any length is taken whole; columns other than doc_id and text are ignored; an empty table
+the first found stays; a text or word of any length is taken whole, and a word needs memory for the longest piece only, beside four bytes a letter inside the automaton; columns other than doc_id and text are ignored; an empty table
 gives an empty result.
 """
 
@@ -26,6 +26,8 @@ from noticejobs.llm.common import arrow_rows, slices, texts
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts a worker remembers; beyond this it starts afresh.
 CACHE_WORDS = 400_000
+#: Longer words are not remembered.
+CACHE_LETTERS = 100
 MARK = "▁"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64()), ("score", pa.float64())])
 
@@ -41,6 +43,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 class UnigramCounter:
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True):
         self.machine, self.bytes = ahocorasick.Automaton(), byte_fallback
+        self.longest = max(len(piece) for piece, _ in pieces)
         for piece, score in pieces:
             if piece:
                 self.machine.add_word(piece, (len(piece), score))
@@ -49,34 +52,30 @@ class UnigramCounter:
         self.cache: dict[str, tuple[int, int, float]] = {}
 
     def word(self, word: str) -> tuple[int, int, float]:
-        """Tokens, unknown characters and score of the best path."""
-        n = len(word)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for end, (length, score) in self.machine.iter(word):
-            ending[end + 1].append((end + 1 - length, score))
-        best: list[float] = [0.0] + [0.0] * n
-        back: list[tuple[int, bool]] = [(0, False)] * (n + 1)
-        for end in range(1, n + 1):
-            found, top = None, 0.0
-            single = False
-            for start, score in sorted(ending[end]):
-                single |= start == end - 1
-                if found is None or best[start] + score > top:
-                    found, top = (start, False), best[start] + score
-            if not single and (found is None or best[end - 1] + self.unknown > top):
-                found, top = (end - 1, True), best[end - 1] + self.unknown
-            best[end], back[end] = top, found
-        tokens = unknown = 0
-        end, after = n, False  # walk back; a run of unknown characters is one token
-        while end:
-            start, strange = back[end]
-            if strange:
-                unknown += 1
-                tokens += len(word[start:end].encode()) if self.bytes else not after
-            else:
-                tokens += 1
-            after, end = strange, start
-        return tokens, unknown, best[n]
+        """Tokens, unknown characters and score of the best path. The state of a place is (score, tokens, unknown characters, whether
+        its last character is unknown); places further back than the longest piece are forgotten."""
+        size, unknown, count_bytes = self.longest + 1, self.unknown, self.bytes
+        states: list[tuple[float, int, int, bool]] = [(0.0, 0, 0, False)] * size
+        matches = self.machine.iter(word)
+        match = next(matches, None)
+        for end in range(1, len(word) + 1):
+            top, back, single = 0.0, None, False
+            while match is not None and match[0] == end - 1:  # longest piece first
+                length, score = match[1]
+                state = states[(end - length) % size]
+                single |= length == 1
+                if back is None or state[0] + score > top:
+                    top, back = state[0] + score, state
+                match = next(matches, None)
+            if not single:
+                state = states[(end - 1) % size]
+                if back is None or state[0] + unknown > top:
+                    step = len(word[end - 1].encode()) if count_bytes else not state[3]  # a run of unknown characters is one token
+                    states[end % size] = (state[0] + unknown, state[1] + step, state[2] + 1, True)
+                    continue
+            states[end % size] = (top, back[1] + 1, back[2], False)
+        score, tokens, strange, _ = states[len(word) % size]
+        return tokens, strange, score
 
     def text(self, text: str | None) -> tuple[int, int, float]:
         tokens, unknown, score, cache = 0, 0, 0.0, self.cache
@@ -86,9 +85,11 @@ class UnigramCounter:
         for w in (text if text[0] == " " else " " + text).split(" ")[1:]:
             got = cache.get(w)
             if got is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                got = cache[w] = self.word(MARK + w)
+                got = self.word(MARK + w)
+                if len(w) <= CACHE_LETTERS:
+                    if len(cache) >= CACHE_WORDS:
+                        cache.clear()
+                    cache[w] = got
             tokens += got[0]
             unknown += got[1]
             score += got[2]

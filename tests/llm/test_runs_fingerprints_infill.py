@@ -266,3 +266,38 @@ def test_repeated_windows_whose_hashes_share_their_high_bits(spark):
         words = words_of(texts[r.doc_id])
         windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
         assert r.n_repeat_words == len({k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
+
+
+def test_a_word_of_eight_megabytes_needs_little_memory():
+    import tracemalloc
+
+    from noticejobs.llm import token_counts
+
+    pieces = {token_counts.MARK: -2.0, "a": -3.0, "ab": -3.5, "abab": -6.5, "q" * 30: -9.0}
+    counter = token_counts.UnigramCounter(list(pieces.items()))
+    word = "ab" * 4_000_000
+    tracemalloc.start()
+    tokens, unknown, score = counter.word(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (tokens, unknown) == (2_000_000, 0) and abs(score + 6.5 * 2_000_000) < 1 and peak < 5 * len(word)  # four bytes a letter inside the automaton
+
+
+def test_licences_among_many_templates():
+    """Hundreds of templates: a file costs only those that its rare words name, and finds the same as each template by itself."""
+    from noticejobs.llm import licenses
+
+    rng = np.random.default_rng(7)
+    many = [(f"l{k}", " ".join(rng.choice([f"w{j}" for j in range(300)], 60)), f"rare{k} words{k % 9}") for k in range(400)]
+    many = [(label, f"{body} {phrase} end", phrase) for label, body, phrase in many]
+    vocabulary = {w for _, body, phrase in many for w in (body + " " + phrase).split()}
+    idf = {w: 5.0 if w.startswith("rare") else 1.0 for w in vocabulary}
+    index = licenses.LicenceIndex(tuple(many), (), idf, 0.6)
+    looked = []
+    real = index.places
+    index.places = lambda where, phrase: looked.append(1) or real(where, phrase)
+    noise = " ".join(rng.choice([f"w{j}" for j in range(300)], 500))
+    text = f"{noise} {many[7][1]} {noise} {' '.join(many[90][1].split()[10:])} rare3 words1 {noise} {many[200][2]}"
+    assert index.scan(text)[5] == "l7,l90" and len(looked) <= 4
+    one_by_one = {t[0] for t in many if licenses.LicenceIndex((t,), (), idf, 0.6).scan(text)[5]}
+    assert one_by_one == {"l7", "l90"}
