@@ -101,7 +101,8 @@ def test_recommendations_reach_beyond_the_newest(spark):
     views = {}
     for _, _, _, n, _ in events:
         views[n] = views.get(n, 0) + 1
-    trending = sorted(views, key=lambda n: (-views[n], n))[:10]
+    category = {n: c for n, c, *_ in rows}
+    trending = [n for c in ("exams", "tenders") for n in sorted((n for n in views if category[n] == c), key=lambda n: (-views[n], n))[:10]]
     for user in (1, 2):
         saw = {n for _, u, _, n, _ in events if u == user}
         mine = [c for n, c, *_ in rows if n in saw]
@@ -122,7 +123,7 @@ def test_more_keywords_than_are_broadcast(spark, monkeypatch):
     table = some_notices(spark)
     rules = spark.createDataFrame([(k, 1, "keyword", [w], True) for k, w in enumerate(["a", "e", "tender", "exam", "zzz"])], "id int, user_id int, type string, conditions array<string>, enabled boolean")
     expected = sorted(map(tuple, alerts.match_keyword_rules(table, rules).collect()))
-    monkeypatch.setattr(alerts, "BROADCAST_KEYWORDS", 0)
+    monkeypatch.setattr(alerts, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(alerts, "KEYWORDS_PER_ARRAY", 2)
     assert expected and sorted(map(tuple, alerts.match_keyword_rules(table, rules).collect())) == expected
 
