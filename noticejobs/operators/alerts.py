@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticejobs.functions import scalars as S
+from noticejobs.operators.admin import running_items
 from noticejobs.sources.shared import materialized
 
 #: Text fields that keyword rules search, with the tags.
@@ -35,8 +36,12 @@ def rule_conditions(rules: DataFrame, kind: str, backfill: bool = False) -> Data
     return rows.select("rule_id", "user_id", "wanted", "since", "condition").distinct()
 
 
+def in_time_of(moment: str) -> Column:
+    return F.col("since").isNull() | (F.col(moment) >= F.col("since"))
+
+
 def in_time() -> Column:
-    return F.col("since").isNull() | (F.col("published_at") >= F.col("since"))
+    return in_time_of("published_at")
 
 
 def bytes_of(conditions: DataFrame) -> int:
@@ -107,16 +112,24 @@ def hits_by_index(text: DataFrame, keywords: DataFrame, size: int) -> DataFrame:
     return keyed.join(near, ["notice_id", "text_hash"]).filter(F.expr("contains(searched, condition)")).select("notice_id", "published_at", "condition")
 
 
+def searched_text(notices: DataFrame) -> Column:
+    have = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in KEYWORD_FIELDS if c in notices.columns]
+    have += [F.coalesce(F.lower(F.array_join("tags", "\n")), F.lit(""))] if "tags" in notices.columns else []
+    return F.concat_ws("\n", *have)
+
+
+def keyword_hits(text: DataFrame, keywords: DataFrame, index_from: int) -> DataFrame:
+    """(notice_id, published_at, condition): each text (notice_id, published_at, searched) with each of the keywords in it."""
+    total, size = keywords.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("condition") + 40), F.lit(0))).first()
+    return hits_by_arrays(text, keywords, total) if total < index_from and size <= BROADCAST_BYTES else hits_by_index(text, keywords, size)
+
+
 def match_keyword_rules(notices: DataFrame, rules: DataFrame, mode: str = "any", backfill: bool = False, index_from: int = INDEX_FROM) -> DataFrame:
     """Literal containment in any searched field. The distinct keywords are compared with all texts up to ``index_from`` of
     them, and sought by their 3-grams beyond; those found join the rules by equality."""
     conditions = rule_conditions(rules, "keyword", backfill)
-    distinct = conditions.select("condition").distinct()
-    total, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("condition") + 40), F.lit(0))).first()
-    have = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in KEYWORD_FIELDS if c in notices.columns]
-    have += [F.coalesce(F.lower(F.array_join("tags", "\n")), F.lit(""))] if "tags" in notices.columns else []
-    text = notices.select(F.col("id").alias("notice_id"), "published_at", F.concat_ws("\n", *have).alias("searched"))
-    hits = hits_by_arrays(text, distinct, total) if total < index_from and size <= BROADCAST_BYTES else hits_by_index(text, distinct, size)
+    text = notices.select(F.col("id").alias("notice_id"), "published_at", searched_text(notices).alias("searched"))
+    hits = keyword_hits(text, conditions.select("condition").distinct(), index_from)
     found = joined(hits, conditions).select("rule_id", "user_id", "notice_id", "published_at", "condition", "wanted")
     if mode == "all":
         whole = found.groupBy("rule_id", "notice_id").agg(F.count_distinct("condition").alias("n"), F.max("wanted").alias("wanted2")).filter("n = wanted2").select("rule_id", "notice_id")
@@ -160,6 +173,42 @@ def match_counts(matches: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.select(F.col("id").alias("rule_id")).join(counts, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("match_count"), "last_matched_at")
 
 
+def counts_without_pairs(notices: DataFrame, rules: DataFrame, backfill: bool = False) -> DataFrame:
+    """match_counts of all rules without a pair of rule and notice: notices are counted by condition and time, and a rule takes
+    the counts of its conditions from its time on. Only keyword rules with several keywords, which a notice may meet more than
+    once, and notices of which there are several rows are matched pair by pair."""
+    notices = materialized(notices.select(*[c for c in ("id", "category", "published_at", *KEYWORD_FIELDS, "tags") if c in notices.columns]))
+    repeated = materialized(notices.groupBy("id").count().filter("count > 1").select("id"))
+    again, once = None, notices
+    if not repeated.isEmpty():
+        again, once = notices.join(repeated, "id", "left_semi"), notices.join(repeated, "id", "left_anti")
+    asked = reduce(DataFrame.unionByName, [rule_conditions(rules, k, backfill).withColumn("kind", F.lit(k)) for k in ("category", "organization", "keyword")])
+    asked = materialized(asked)
+    several = asked.filter("kind = 'keyword'").groupBy("rule_id").count().filter("count > 1").select("rule_id")
+    several = materialized(several)
+    asked = asked.join(several, "rule_id", "left_anti").select("rule_id", "since", F.concat_ws(":", "kind", "condition").alias("source"))
+
+    texts = once.select(F.col("id").alias("notice_id"), "published_at", searched_text(once).alias("searched"))
+    keywords = asked.filter(F.col("source").startswith("keyword:")).select(F.substring("source", 9, 2**31 - 1).alias("condition")).distinct()
+    named = lambda kind, c: once.select("published_at", F.concat(F.lit(f"{kind}:"), c).alias("source"))
+    found = named("category", F.lower("category")).unionByName(named("organization", F.lower(S.trimmed("organization"))))
+    found = found.unionByName(keyword_hits(texts, keywords, INDEX_FROM).select("published_at", F.concat(F.lit("keyword:"), "condition").alias("source")))
+    counts = materialized(found.filter("source is not null").groupBy("source", "published_at").agg(F.count("*").alias("n")))
+    totals = counts.groupBy("source").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("published_at").isNotNull(), F.col("n"))).alias("dated"), F.max("published_at").alias("last"))
+    # A rule stands before the notices of its moment, so the running count at it is that of older ones.
+    line = counts.filter("published_at is not null").select("source", F.col("published_at").alias("time"), F.lit(1).alias("id"), F.col("n").alias("items"))
+    marks = asked.filter("since is not null").select("source", F.col("since").alias("time")).distinct().select("source", "time", F.lit(0).alias("id"), F.lit(0).cast("long").alias("items"))
+    older = running_items(line.unionByName(marks)).filter("id = 0").select("source", F.col("time").alias("since"), F.col("running").alias("older"))
+    per = asked.join(totals, "source").join(older, ["source", "since"], "left")
+    number = F.when(F.col("since").isNull(), F.col("all")).otherwise(F.coalesce("dated", F.lit(0)) - F.coalesce("older", F.lit(0)))
+    parts = [per.select("rule_id", number.alias("n"), F.when(in_time_of("last"), F.col("last")).alias("last"))]
+    pairs = [match_keyword_rules(once, rules.join(several, F.col("id") == F.col("rule_id"), "left_semi"), backfill=backfill).groupBy("rule_id", "notice_id").agg(F.max("published_at").alias("matched_at")).select("rule_id", "matched_at")]
+    pairs += [match_alerts(again, rules, backfill).select("rule_id", "matched_at")] if again is not None else []
+    parts += [p.groupBy("rule_id").agg(F.count("*").alias("n"), F.max("matched_at").alias("last")) for p in pairs]
+    whole = reduce(DataFrame.unionByName, parts).groupBy("rule_id").agg(F.sum("n").alias("n"), F.max("last").alias("last_matched_at"))
+    return rules.select(F.col("id").alias("rule_id")).join(whole, "rule_id", "left").select("rule_id", F.coalesce("n", F.lit(0)).alias("match_count"), "last_matched_at")
+
+
 def category_match_counts(notices: DataFrame, rules: DataFrame) -> DataFrame:
     """match_counts of category rules, older notices included, from counts per category: no pair of rule and notice is made."""
     per = notices.groupBy(F.lower("category").alias("condition")).agg(F.count("*").alias("n"), F.max("published_at").alias("last"))

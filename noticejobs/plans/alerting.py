@@ -81,11 +81,19 @@ def a7_alert_stats(spark, d):
     return L.alert_stats(A.alert_rules(spark, d).withColumn("match_count", F.col("id") % 10))
 
 
-@query("SELECT r.id AS rule_id, count(m.notice_id) AS match_count, strftime(max(m.matched_at), '%Y-%m-%d %H:%M:%S') AS last_matched_at FROM alert_rules r LEFT JOIN (SELECT DISTINCT rule_id, notice_id, matched_at FROM matches) m ON m.rule_id = r.id GROUP BY 1", "matches")
+COUNTS = "SELECT r.id AS rule_id, count(m.notice_id) AS match_count, strftime(max(m.matched_at), '%Y-%m-%d %H:%M:%S') AS last_matched_at FROM alert_rules r LEFT JOIN (SELECT DISTINCT rule_id, notice_id, matched_at FROM matches) m ON m.rule_id = r.id GROUP BY 1"
+
+
+@query(COUNTS, "matches")
 def a8_match_counts(spark, d):
     return L.match_counts(matches(spark, d), A.alert_rules(spark, d)).select("rule_id", "match_count", STAMP("last_matched_at"))
 
 
+@query(COUNTS, "matches")
+def a8_counts_without_pairs(spark, d):
+    return L.counts_without_pairs(*both(spark, d)).select("rule_id", "match_count", STAMP("last_matched_at"))
+
+
 @query("SELECT r.id AS rule_id, count(*) AS match_count, strftime(max(n.published_at), '%Y-%m-%d %H:%M:%S') AS last_matched_at FROM notices n JOIN alert_rules r ON r.enabled AND r.type = 'category' AND lower(r.condition) = n.category GROUP BY 1", "notices", "alert_rules")
 def a8_category_counts_without_pairs(spark, d):
     return L.category_match_counts(*both(spark, d)).select("rule_id", "match_count", STAMP("last_matched_at"))

@@ -147,3 +147,19 @@ def test_a_hot_key_meets_every_pair_once(spark):
     entries = spark.createDataFrame([(1, k, 10) for k in range(60)] + [(2, k, 10) for k in range(0, 60, 2)] + [(3, 99, 10)], "key long, id long, n int")
     got = sorted(map(tuple, similar.sharing_pairs(entries, similar.sizes_allow(0.8), 7).collect()))
     assert got == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def test_counts_without_pairs_equal_counted_pairs(spark):
+    """All kinds of rules, several conditions, times of rules and none, undated and repeated notices."""
+    rng = np.random.default_rng(6)
+    day = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=int(d))
+    words_ = ["road", "exam", "tender", "school", "bridge"]
+    rows = [(k if k < 70 else 3, " ".join(rng.choice(words_, 2)), str(rng.choice(["exams", "tenders", "policy"])), [None, "Roads", " Schools "][rng.integers(3)], None if k % 11 == 0 else day(rng.integers(90))) for k in range(72)]
+    table = spark.createDataFrame(rows, "id long, title string, category string, organization string, published_at timestamp")
+    kinds = {"category": ["exams", "tenders", "other"], "organization": ["roads", "schools"], "keyword": [*words_, "oa", ""]}
+    held = [(k, 1, kind, [str(x) for x in rng.choice(kinds[kind], rng.integers(1, 3))], k % 7 > 0, [None, day(rng.integers(90)), rows[20][4]][k % 3]) for k, kind in enumerate(rng.choice(list(kinds), 60))]
+    rules = spark.createDataFrame([(a, b, str(c), d, e, f) for a, b, c, d, e, f in held], RULES + ", created_at timestamp")
+    for backfill in (False, True):
+        expected = alerts.match_counts(alerts.match_alerts(table, rules, backfill), rules).collect()
+        got = alerts.counts_without_pairs(table, rules, backfill).collect()
+        assert sorted(map(str, got)) == sorted(map(str, expected)) and sum(r.match_count for r in got) > 300
