@@ -159,8 +159,24 @@ def top_n_per_group(df: DataFrame, group: str, order: Sequence[Column], n: int)
 
 
 def views_rank(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("category").orderBy(F.desc("views"))
-    return df.withColumns({"views_rank": F.rank().over(w), "views_percent": F.percent_rank().over(w)})
+    """Rank and percent rank of views within the category, null views last.
+
+    Notices are counted by value first. Values are ranked within bands (64 for each power of two), and a band adds what all
+    bands above it hold, so a category is never sorted in one place.
+    """
+    values = df.groupBy(F.col("category").alias("_c"), F.col("views").alias("_v")).agg(F.count("*").alias("_n"))
+    band = F.floor(F.signum("_v") * F.log2(1 + F.abs(F.col("_v").cast("double"))) * 64)
+    values = values.withColumn("_band", band)
+    order = F.desc_nulls_last("_band")
+    bands = values.groupBy("_c", "_band").agg(F.sum("_n").alias("_held"))
+    above = F.coalesce(F.sum("_held").over(Window.partitionBy("_c").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = bands.select(F.col("_c").alias("_c2"), F.col("_band").alias("_band2"), above.alias("_above"), F.sum("_held").over(Window.partitionBy("_c")).alias("_all"))
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_c", "_band").orderBy(F.desc_nulls_last("_v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = values.withColumn("_inner", inner).join(bands, F.col("_c").eqNullSafe(F.col("_c2")) & F.col("_band").eqNullSafe(F.col("_band2")))
+    rank = (F.col("_above") + F.col("_inner") + 1).alias("views_rank")
+    percent = F.when(F.col("_all") > 1, (F.col("_above") + F.col("_inner")) / (F.col("_all") - 1)).otherwise(0.0).alias("views_percent")
+    ranked = ranked.select("_c", "_v", rank, percent)
+    return df.join(ranked, F.col("category").eqNullSafe(F.col("_c")) & F.col("views").eqNullSafe(F.col("_v"))).drop("_c", "_v")
 
 
 def distinct_organizations(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from noticejobs.operators import activity, admin
+from noticejobs.operators import activity, admin, notices
 from noticejobs.sources import epochs, files
 from noticejobs.streaming import jobs
 
@@ -126,3 +126,12 @@ def test_unknown_values_are_rejected(spark):
     good, bad = files.validate_import(rows)
     assert sorted(r.id for r in good.collect()) == [1, 4] and {r.id: r.reasons for r in bad.collect()} == {2: ["unknown priority"], 3: ["unknown status"]}
     assert files.validate_import(rows.drop("priority", "status"))[0].count() == 4
+
+
+def test_ranks_by_bands_equal_ranks_of_whole_categories(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, [None, "a", "b"][k % 3], None if k % 17 == 0 else int(rng.choice([0, 0, 1, 2, 7, rng.integers(-50, 100_000)]))) for k in range(400)] + [(500, "one", 5)]
+    df = spark.createDataFrame(rows, "id long, category string, views long")
+    w = Window.partitionBy("category").orderBy(F.desc("views"))
+    expected = df.withColumns({"views_rank": F.rank().over(w).cast("long"), "views_percent": F.percent_rank().over(w)})
+    assert sorted(map(str, notices.views_rank(df).collect())) == sorted(map(str, expected.collect()))
