@@ -30,6 +30,8 @@ SYMBOLS = r"[#*$%&|<>]"
 FEATURES = ("n_words", "word_length", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "distinct_share", "double_mark_share", "digit_share")
 BINS, MAX_RULES, MAX_CONDITIONS = 24, 8, 3
 MIN_PRECISION, MIN_COVER = 0.97, 3
+#: Labels that are broadcast at most: 16 MB.
+BROADCAST_LABELS = 1 << 20
 
 
 #: Low bits of a sort key, which hold a window's place.
@@ -187,6 +189,7 @@ def prune(rows: DataFrame, rule: list) -> list:
 
 
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the rows with a label; ``bad`` where the quality is 0."""
+    """Rows (or their statistics) with a label; ``bad`` where the quality is 0. Labels are broadcast if they are few enough."""
     rated = labels.select(F.col("doc_id").alias("rated_id"), F.col("quality").alias("rated_quality")).filter("rated_id is not null and rated_quality in (0, 1)")
+    rated = F.broadcast(rated) if rated.count() <= BROADCAST_LABELS else rated
     return stats.join(rated, F.col("doc_id") == F.col("rated_id")).withColumn("bad", F.col("rated_quality") == 0).drop("rated_id", "rated_quality")
