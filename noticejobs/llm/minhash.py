@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from noticejobs.llm import trie_join
 from noticejobs.llm.common import SLICE_BYTES, discard, slices, stored, texts
+from noticejobs.llm.shingles import shingle_sets, shingles
 
 BANDS, ROWS = 16, 5
 PERMUTATIONS = BANDS * ROWS
@@ -155,12 +156,12 @@ def fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and n_shingles of every document, and
     class_id: that of ``classes``, else its own id."""
 
-    def stamp(shingler: trie_join.Shingler, held: list[tuple]) -> pa.RecordBatch:
+    def stamp(held: list[tuple]) -> pa.RecordBatch:
         guests, ids, near, rows = zip(*held, strict=True)
         own = [k for k in range(len(rows) - 1) if not guests[k]]
         changed = [edited(rows[k], rows[k + 1]) for k in own]
-        sets = shingler.sets(list(rows))
-        whole, cut = signatures(sets), signatures(shingler.sets(changed))
+        sets = shingle_sets(list(rows), SHINGLE)
+        whole, cut = signatures(sets), signatures(shingles(changed, SHINGLE))
         mine = whole[own]
         return pa.RecordBatch.from_arrays([
             pa.array([ids[k] for k in own], pa.int64()), pa.array([len(rows[k]) for k in own], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed], pa.string()),
@@ -169,7 +170,7 @@ def fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame
         ], schema=STAMPED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, unpacker = trie_join.Shingler(SHINGLE), zstandard.ZstdDecompressor()
+        unpacker = zstandard.ZstdDecompressor()
         held, size, moved = [], 0, (None, None, None)
         for batch in batches:
             for guest, doc_id, text_hash, packed, class_id in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -179,11 +180,11 @@ def fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame
                 text = unpacker.decompress(packed).decode()
                 held.append((guest, doc_id, moved[2] if moved[:2] == (doc_id, text_hash) else None, text))
                 size += len(text)
-                if size >= SLICE_BYTES // 2 and len(held) > 1:
-                    yield stamp(shingler, held)
+                if size >= SLICE_BYTES and len(held) > 1:
+                    yield stamp(held)
                     held, size = held[-1:], len(text)  # the last row waits for the one after it
         if len(held) > 1:
-            yield stamp(shingler, held)
+            yield stamp(held)
 
     return beside_next(docs, classes).mapInArrow(run, STAMPED_DDL)
 
@@ -207,11 +208,10 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n, class, signature and parity bits of the documents with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = trie_join.Shingler(SHINGLE)
         for batch in batches:
             hashes, done = batch.column(2), 0
             for ids, rows in slices(batch):
-                sets = shingler.sets(rows)
+                sets = shingle_sets(rows, SHINGLE)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(ids, pa.int64()), "text_hash": hashes.slice(done, len(ids)), "n": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array([class_of(s) for s in sets], pa.binary()),
                     "signature": pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), "bits": pa.array([trie_join.parity_bits(s) for s in sets], pa.binary()), "words": pa.array([trie_join.parity_words(s) for s in sets], pa.list_(pa.int64())),
@@ -276,10 +276,9 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, grams) of the documents in ``pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = trie_join.Shingler(SHINGLE)
         for batch in batches:
             for ids, rows in slices(batch):
-                yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "grams": pa.array([s.astype("<u8").tobytes() for s in shingler.sets(rows)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "grams": pa.array([s.astype("<u8").tobytes() for s in shingle_sets(rows, SHINGLE)], pa.binary())})
 
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     ids = F.broadcast(nodes) if nodes.count() <= trie_join.BROADCAST_IDS else nodes  # else texts and ids are joined by a shuffle

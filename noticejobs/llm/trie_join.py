@@ -35,47 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticejobs.llm.common import discard, slices, stored, texts
+from noticejobs.llm.shingles import shingle_sets
 
 #: Counters of the frequency sketch: 4 MB, whatever the corpus.
 SKETCH, SKETCH_CHUNK = 1 << 20, 1 << 14
-#: N-grams among which a task looks for repeated ones at a time: 32 MB.
-REPEAT_GRAMS = 1 << 22
+#: N-grams among which a task looks for repeated ones at a time: 16 MB.
+REPEAT_GRAMS = 1 << 21
 #: Ids that are broadcast at most: 8 MB of longs.
 BROADCAST_IDS = 1 << 20
 #: Sets compared with a probe in one trie.
 TRIE_SETS = 256
-CACHE_WORDS = 150_000
-_MIX, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-class Shingler:
-    """Sorted distinct n-gram hashes of texts: A-Z lower-cased, words between ASCII white space."""
-
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def sets(self, rows: list[str | None]) -> list[np.ndarray]:
-        split = [x.encode().lower().split() if x else [] for x in rows]
-        words = {w for x in split for w in x}
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        for w in words.difference(self.known):
-            self.known[w] = xxhash.xxh64_intdigest(w)
-        out = []
-        with np.errstate(over="ignore"):
-            for x in split:
-                h = np.fromiter(map(self.known.__getitem__, x), np.uint64, len(x))
-                width = min(self.n, len(h))
-                if not width:
-                    out.append(h)
-                    continue
-                g = np.full(len(h) - width + 1, width, np.uint64)
-                for k in range(width):
-                    g = (g ^ h[k : k + len(g)]) * _MIX
-                    g ^= g >> np.uint64(29)
-                g *= _END
-                out.append(np.unique(g ^ (g >> np.uint64(32))))
-        return out
 
 
 def in_order(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -87,7 +56,7 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
     """A rank for each counter of the sketch: 0 unless its n-grams were repeated clearly more often than most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total = Shingler(n), np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int64)
         held: list[np.ndarray] = []
 
         def repeated() -> np.ndarray:
@@ -101,7 +70,7 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
 
         for batch in batches:
             for _, rows in slices(batch):
-                held += shingler.sets(rows)
+                held += shingle_sets(rows, n)
                 if sum(map(len, held)) >= REPEAT_GRAMS:
                     total += repeated()
         yield from rows_of(total + repeated(), TaskContext.get().partitionId() % 256)
@@ -279,10 +248,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     rank = spark.sparkContext.broadcast(frequency_ranks(docs, n))  # 1 MB, whatever the corpus
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
         for batch in batches:
             for ids, rows in slices(batch):
-                sets = shingler.sets(rows)
+                sets = shingle_sets(rows, n)
                 prefix = [in_order(s, rank.value)[: len(s) - -(-num * len(s) // den) + 1].view(np.int64) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
@@ -293,10 +261,9 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
                 })
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
         for batch in batches:
             for ids, rows in slices(batch):
-                yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "grams": pa.array([in_order(s, rank.value).astype("<u8").tobytes() for s in shingler.sets(rows)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "grams": pa.array([in_order(s, rank.value).astype("<u8").tobytes() for s in shingle_sets(rows, n)], pa.binary())})
 
     described = stored(texts(docs).mapInArrow(describe, "doc_id long, n long, class binary, prefix array<long>, bits binary, words array<long>"))
     present = described.filter("class is not null and doc_id is not null")
