@@ -32,7 +32,7 @@ from noticejobs.llm.common import arrow_rows, slices, texts
 SAMPLE_ROWS, SAMPLE_FEATURES = 8192, 1 << 23
 WORD_SLOTS, SHAPE_SLOTS = 1 << 18, 1 << 16
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 EPOCHS, COST, SMOOTHING = 12, 1.0, 1.0
 _RUNS = re.compile(rb"([Aa])\1+|([0-9])[0-9]*|([^Aa0-9])\3+")
 _CLASS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else c for c in range(256))
@@ -46,16 +46,19 @@ def shape(word: bytes) -> bytes:
 
 class Features:
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, int] = {}  # places in the table
+        self.table = np.zeros((2, 0), np.uint64)
 
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of words and of their shapes."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(shape(w), 1)
-        got = list(map(self.known.__getitem__, words))
-        return np.fromiter((a for a, _ in got), np.uint64, len(got)), np.fromiter((b for _, b in got), np.uint64, len(got))
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.table, new = {}, self.table[:, :0], set(words)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        fresh = [[xxhash.xxh64_intdigest(w) for w in new], [xxhash.xxh64_intdigest(shape(w), 1) for w in new]]
+        self.table = np.concatenate([self.table, np.array(fresh, np.uint64).reshape(2, -1)], axis=1)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.table[0][at], self.table[1][at]
 
     def slots(self, rows: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct feature slots of each text, one after the other, and how many each text has."""
