@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from noticejobs.sources.keyed import KeyedTable
 

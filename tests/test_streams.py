@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from noticejobs.operators import alerts
 from noticejobs.streaming import jobs
