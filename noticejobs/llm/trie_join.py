@@ -305,7 +305,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     placed = stored(index.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     sizes = placed.groupBy("gram", "comp").agg(F.count("*").alias("c"))
     open_ = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("gram", "main")
-    rest = placed.join(open_, "gram").join(classes.select("node", *[F.get("words", F.lit(k)).alias(f"p{k}") for k in range(PARITY_BITS // 64)]), "node")
+    # Sizes of similar sets lie in one band or in two next to each other, so a set stays only if these hold another component.
+    band = F.floor(F.log("n") / (math.log(den / num) * 1.000001))
+    lying = placed.select("gram", "comp", F.explode(F.array(band - 1, band, band + 1)).alias("band")).groupBy("gram", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    near_bands = lying.filter("low <> high").select("gram", "band")
+    rest = placed.withColumn("band", band).join(near_bands, ["gram", "band"], "left_semi").join(open_, "gram").join(classes.select("node", *[F.get("words", F.lit(k)).alias(f"p{k}") for k in range(PARITY_BITS // 64)]), "node")
     l, r = rest.filter("comp <> main").alias("l"), rest.alias("r")
     reach = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))  # overlap from this n-gram on, if it is the first shared
     near = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.comp") != F.col("r.comp")) & (den * F.least("l.n", "r.n") >= num * F.greatest("l.n", "r.n")) & (reach * (num + den) >= num * (F.col("l.n") + F.col("r.n")))
