@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticejobs.llm import decision_list, langid, nbsvm, packing, pii, trie_join
-from noticejobs.llm.common import delete_unread, slices, stored, tracking
+from noticejobs.llm.common import delete_unread, leaves_nothing, slices, stored, tracking
 from noticejobs.llm.queries import documents, tokenizer_file
 
 #: The whole cannot be expressed in SQL (learned rules and weights, trie join, packing).
@@ -62,6 +62,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
 
+    @leaves_nothing
     def run(batches):
         features = nbsvm.Features()
         for batch in batches:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,26 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+def leaves_nothing(run: Callable) -> Callable:
+    """Tasks that hold no memory when they are over: a Python worker outlives its task and idles while Spark joins, so what is
+    free at its end goes back to the system."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return task
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` (string) of a table that may have any other columns."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticejobs.llm.common import arrow_rows, slices, texts
+from noticejobs.llm.common import arrow_rows, leaves_nothing, slices, texts
 
 SAMPLE_ROWS, SAMPLE_FEATURES = 8192, 1 << 23
 WORD_SLOTS, SHAPE_SLOTS = 1 << 18, 1 << 16
@@ -163,6 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     chosen = rated.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     picked = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # bounded by sample_rows
 
+    @leaves_nothing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
@@ -172,6 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "y": pa.array(y[done : done + len(ids)], pa.int32()), "slots": pa.array([x.tobytes() for x in np.split(slots, np.cumsum(size)[:-1])], pa.binary())})
                 done += len(ids)
 
+    @leaves_nothing
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data: list[tuple[np.ndarray, int]] = []
         last, held = None, 0
@@ -193,6 +195,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
+    @leaves_nothing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:

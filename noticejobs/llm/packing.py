@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticejobs.llm.common import arrow_rows, slices, stored, texts
+from noticejobs.llm.common import arrow_rows, leaves_nothing, slices, stored, texts
 
 WINDOW = 2048
 #: Tokens of a shard, shards of a task, and terms of the key by which remainders are dealt.
@@ -330,6 +330,7 @@ def encoded(docs: DataFrame, path: str, end_id: int, window: int, vocabulary: in
     """
     schema = pa.schema([*REMAINDERS, ("crcs", pa.list_(pa.int64())), ("sequence", pa.int64()), ("terms", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))])
 
+    @leaves_nothing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, end_id) not in _encoders:
             _encoders[path, end_id] = WordIds(path, end_id)
@@ -393,11 +394,13 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shar
     names = [f"key{k}" for k in range(KEY_TERMS)]
     keyed = pa.schema([*REMAINDERS, *((c, pa.int64()) for c in names)])
 
+    @leaves_nothing
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.keys(unpacked(batch.column(3), vocabulary))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in found.T)], schema=keyed)
 
+    @leaves_nothing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = (1 << 60) + (TaskContext.get().partitionId() << 33)
         shard: list[tuple] = []

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticejobs.llm.common import discard, slices, stored, texts
+from noticejobs.llm.common import discard, leaves_nothing, slices, stored, texts
 from noticejobs.llm.shingles import shingle_sets
 
 #: Counters of the frequency sketch: 4 MB, whatever the corpus.
@@ -55,6 +55,7 @@ def in_order(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
     """A rank for each counter of the sketch: 0 unless its n-grams were repeated clearly more often than most."""
 
+    @leaves_nothing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         held: list[np.ndarray] = []
@@ -119,6 +120,7 @@ def plausible(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFram
     right = bits.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     both = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
 
+    @leaves_nothing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -195,6 +197,7 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     probes = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("node"), "grams")
     runs = probes.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
+    @leaves_nothing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, probe, trie = None, [], Trie()
 
@@ -247,6 +250,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(frequency_ranks(docs, n))  # 1 MB, whatever the corpus
 
+    @leaves_nothing
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, rows in slices(batch):
@@ -260,6 +264,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
                     "words": pa.array([parity_words(s) for s in sets], pa.list_(pa.int64())),
                 })
 
+    @leaves_nothing
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, rows in slices(batch):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from noticejobs.llm import common
 from noticejobs.llm.common import stored
 
 pytest.importorskip("public_tokenizers")
@@ -91,3 +92,25 @@ def test_a_result_outlives_the_next_stages(spark, folder):
     assert [x.count() for x in results] == counts == sorted(counts, reverse=True) and counts[-1] > 0
     corpus_pipeline.run(spark, folder).count()
     assert [x.count() for x in results] == counts
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "release_memory", lambda: done.append(1))
+    task = common.leaves_nothing(lambda batches: (x + 1 for x in batches))
+    assert list(task(iter([1, 2]))) == [2, 3] and done == [1]
+
+
+def test_memory_of_a_task_goes_back_to_the_system():
+    resident = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1])
+
+    @common.leaves_nothing
+    def run(batches):
+        held = [bytes(1000) for _ in range(200_000)]
+        kept.extend(held[::20_000])  # what stays lies between what is freed
+        del held
+        yield resident()
+
+    kept = []
+    (before,) = run([])
+    assert resident() < before + 20_000
