@@ -163,3 +163,34 @@ def test_counts_without_pairs_equal_counted_pairs(spark):
         expected = alerts.match_counts(alerts.match_alerts(table, rules, backfill), rules).collect()
         got = alerts.counts_without_pairs(table, rules, backfill).collect()
         assert sorted(map(str, got)) == sorted(map(str, expected)) and sum(r.match_count for r in got) > 300
+
+
+def test_groups_give_what_pairs_give(spark):
+    """All kinds of rules, several conditions, times of rules and none, undated and repeated notices; no row for each rule and notice."""
+    rng = np.random.default_rng(8)
+    day = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=int(d))
+    words_ = ["road", "exam", "tender", "school", "bridge"]
+    rows = [(k if k < 70 else 3, " ".join(rng.choice(words_, 2)), str(rng.choice(["exams", "tenders", "policy"])), [None, "Roads", " Schools "][rng.integers(3)], None if k % 11 == 0 else day(rng.integers(90))) for k in range(72)]
+    table = spark.createDataFrame(rows, "id long, title string, category string, organization string, published_at timestamp")
+    kinds = {"category": ["exams", "tenders", "other"], "organization": ["roads", "schools"], "keyword": [*words_, "oa", ""]}
+    held = [(k, k % 5, kind, [str(x) for x in rng.choice(kinds[kind], rng.integers(1, 3))], k % 7 > 0, [None, day(rng.integers(90)), rows[20][4]][k % 3]) for k, kind in enumerate(rng.choice(list(kinds), 90))]
+    rules = spark.createDataFrame([(a, b, str(c), d, e, f) for a, b, c, d, e, f in held], RULES + ", created_at timestamp")
+    pairs = alerts.match_alerts(table, rules).cache()
+    groups, members = alerts.match_groups(table, rules)
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    twice = rules.unionByName(rules.withColumn("id", F.col("id") + 1000))
+    assert alerts.match_groups(table, twice)[0].count() == groups.count() == groups.select("profile", "notice_id").distinct().count() < pairs.count()
+    assert same(alerts.counts_of_groups(groups, members, rules), alerts.match_counts(pairs, rules))
+    assert same(alerts.periods_of_groups(groups, members, "2026-02-20 12:00:00"), alerts.matches_by_period(pairs, "2026-02-20 12:00:00"))
+    one_row = table.dropDuplicates(["id"])
+    assert same(alerts.newest_of_groups(groups, members, one_row, 4), alerts.matched_notices(pairs, one_row, 4))
+    prefs = spark.createDataFrame([(u, c, u != 2 or c == "a") for u in range(5) for c in "ab"], "user_id long, channel string, enabled boolean")
+    channels = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "channel string, enabled boolean")
+    routed = alerts.route_notifications(pairs, prefs, channels).groupBy("rule_id", "channel").agg(F.count("*").alias("n"))
+    assert same(alerts.route_counts(alerts.rule_totals(groups, members), prefs, channels), routed)
+    asked = spark.createDataFrame([(u, n) for u in range(5) for n in range(0, 70, 3)], "user_id long, notice_id long")
+    assert same(alerts.matches_among(groups, members, asked), pairs.join(asked, ["user_id", "notice_id"], "left_semi").select("rule_id", "user_id", "notice_id", "matched_at"))
+    every, now = (alerts.match_category_rules(table, rules, backfill=x) for x in (True, False))
+    added = every.join(now, ["rule_id", "notice_id"], "left_anti").groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("notice_id").alias("ids"))
+    assert same(alerts.backfill_of_groups(*alerts.match_groups(table, rules, kinds=("category",))), added) and added.count() > 3
+    pairs.unpersist()
