@@ -153,3 +153,12 @@ def test_a_tag_that_all_share_still_suggests(spark):
                 if a != b and (shared or same):
                     scores[b] = 2 * same + (c is not None and c == d) + shared
             assert sorted(got[a]) == [(j + 1, b, scores[b]) for j, b in enumerate(sorted(scores, key=lambda b: (-scores[b], b))[:3])]
+
+
+def test_unseen_totals_equal_unseen_rows(spark):
+    notices_ = spark.createDataFrame([(k, "abc"[k % 3]) for k in range(30)] + [(4, "b"), (5, None)], "notice_id long, category string")
+    acts = spark.createDataFrame([(u, ["view", "save", "search"][k % 3], k * u % 33) for u in range(4) for k in range(20)], "user_id long, type string, related_id long")
+    liked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (9, "a"), (3, "none")], "user_id long, category string")
+    expected = activity.unseen_notices(liked.join(notices_, "category"), acts).groupBy("user_id").agg(F.count("*").alias("unseen"), F.sum("notice_id").alias("ids"))
+    got = activity.unseen_totals(liked, notices_, acts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.count() == 3
