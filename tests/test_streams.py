@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from noticejobs.operators import alerts
 from noticejobs.streaming import jobs
@@ -97,3 +98,21 @@ def test_pages_repeat_within_and_beyond_the_horizon(spark, tmp_path):
     parts = [[("a", at(1)), ("b", at(1))], [("a", at(2)), ("c", at(2))], [("b", at(3))], [("a", at(4)), ("c", at(4))], [("c", at(5))]]
     got = arrivals(spark, tmp_path, parts, "source_url string, scraped_at timestamp", jobs.dedupe_scraped)
     assert [[(u, t.day) for u, t in x] for x in got] == [[("a", 1), ("b", 1)], [("c", 2)], [], [("a", 4)], [("c", 5)]]
+
+
+def test_running_groups_hold_no_row_for_a_rule(spark, tmp_path):
+    """A hundred rules of three profiles; a part of the notices arrives again."""
+    day = dt.datetime(2026, 1, 1)
+    rows = [(k, ["road tender", "school exam road"][k % 2], ["exams", "tenders"][k % 2], "Roads", day + dt.timedelta(days=k % 9)) for k in range(30)]
+    schema = "id long, title string, category string, organization string, published_at timestamp"
+    asked = [("keyword", ["road", "exam"]), ("category", ["exams"]), ("organization", ["roads"])]
+    rules = spark.createDataFrame([(k, 1, *asked[k % 3], True, day + dt.timedelta(days=k % 10) if k % 4 else None) for k in range(100)], "id long, user_id long, type string, conditions array<string>, enabled boolean, created_at timestamp")
+    members = alerts.rule_profiles(rules).cache()
+    state = arrivals(spark, tmp_path, [rows[:20], rows[10:]], schema, lambda df: jobs.running_groups(jobs.stream_hits(df, members)), "complete")[-1]
+    assert len(state) == 30 + 15 + 30
+    groups = spark.createDataFrame(state, "profile string, notice_id long, matched_at timestamp")
+    got = alerts.rule_totals(groups, members).filter("n > 0").select("rule_id", F.col("n").alias("match_count"), "last_matched_at")
+    expected = alerts.match_counts(alerts.match_alerts(spark.createDataFrame(rows, schema), rules), rules).filter("match_count > 0")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    hits = arrivals(spark, tmp_path / "b", [rows], schema, lambda df: jobs.running_hits(jobs.stream_hits(df, members)), "complete")[-1]
+    assert sum(x[2] for x in hits) == 15 + 30 + 15 + 30
