@@ -23,12 +23,19 @@ BUCKET_CLASSES = 256
 BANDS, ROWS = 32, 4
 
 
+#: Ids that are broadcast at most.
+BROADCAST_IDS = 1 << 21
+
+
 @dataclass
 class Classes:
     #: (id, s, n): the smallest id of each class, its sorted set and the set's size.
     sets: DataFrame
+    #: (id): the same ids, without their sets.
+    first: DataFrame
     #: (a, b, jaccard): every other document of a class with the class' smallest id.
     copies: DataFrame
+    #: (id, s, key): all documents.
     stored: DataFrame
 
     def discard(self) -> None:
@@ -43,8 +50,9 @@ def classes_of(docs: DataFrame, n: int) -> Classes:
     keyed = materialized(keyed.withColumn("key", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ","))))
     first = keyed.groupBy("key").agg(F.min("id").alias("a"))
     copies = keyed.select("key", F.col("id").alias("b")).join(first, "key").filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    sets = keyed.select("id", "s").join(first.select(F.col("a").alias("id")), "id", "left_semi").withColumn("n", F.size("s"))
-    return Classes(sets, copies, keyed)
+    ids = first.select(F.col("a").alias("id"))
+    sets = keyed.select("id", "s").join(ids, "id", "left_semi").withColumn("n", F.size("s"))
+    return Classes(sets, ids, copies, keyed)
 
 
 def sharing_pairs(entries: DataFrame, near: Column, bucket: int = BUCKET_CLASSES) -> DataFrame:
@@ -57,7 +65,10 @@ def sharing_pairs(entries: DataFrame, near: Column, bucket: int = BUCKET_CLASSES
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold."""
+    """(a, b, jaccard) of the pairs that reach the threshold. Only sets that stand in a pair are moved."""
+    pairs = materialized(pairs)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets.select("id", "s").join(F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed, "id", "left_semi")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     scored = both.select("a", "b", F.round(F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")), 6).alias("jaccard"))
@@ -81,7 +92,7 @@ def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> Da
     order = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
     prefix = grams.join(shared, "g").withColumn("k", order).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).filter("df > 1")
     entries = materialized(prefix.select(F.col("g").alias("key"), "id", "n"))
-    return verified(sharing_pairs(entries, sizes_allow(threshold)), found.sets, threshold).unionByName(found.copies)
+    return verified(sharing_pairs(entries, sizes_allow(threshold)), found.stored, threshold).unionByName(found.copies)
 
 
 _SEEDS = np.random.default_rng(12).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -110,5 +121,6 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, bucket:
     shuffled but those of candidates; pairs of low similarity seldom meet. What it may miss is a pair that shares no band.
     """
     found = classes_of(docs, n)
-    entries = materialized(found.sets.select("id", "n", F.explode(bands("s")).alias("key")).select("key", "id", "n"))
-    return verified(sharing_pairs(entries, sizes_allow(threshold), bucket), found.sets, threshold).unionByName(found.copies)
+    signed = found.stored.select("id", F.size("s").alias("n"), bands("s").alias("keys")).join(found.first, "id", "left_semi")  # no set is moved
+    entries = materialized(signed.select(F.explode("keys").alias("key"), "id", "n"))
+    return verified(sharing_pairs(entries, sizes_allow(threshold), bucket), found.stored, threshold).unionByName(found.copies)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from noticejobs.operators import activity, alerts, nearest, recommend
+from noticejobs.operators import activity, alerts, nearest, recommend, similar
 from noticejobs.plans import QUERIES
 
 
@@ -92,3 +92,11 @@ def test_pairs_are_made_on_all_cores(spark):
     rules = spark.createDataFrame([(k, 1, 1, None, "c") for k in range(50)], "rule_id long, user_id long, wanted int, since timestamp, condition string")
     got = alerts.joined(rows, rules)
     assert got.count() == 5000 and got.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_only_sets_of_candidates_are_moved(spark):
+    texts = [(1, "a b c d"), (2, "a b c d"), (3, "x y z"), (4, "a b c d e")]
+    found = similar.classes_of(spark.createDataFrame(texts, "id long, content string"), 2)
+    assert sorted(r.id for r in found.first.collect()) == [1, 3, 4] and found.first.columns == ["id"]
+    pairs = spark.createDataFrame([(1, 4)], "a long, b long")
+    assert [tuple(r) for r in similar.verified(pairs, found.stored, 0.5).collect()] == [(1, 4, 0.75)]
