@@ -116,3 +116,18 @@ def test_running_groups_hold_no_row_for_a_rule(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
     hits = arrivals(spark, tmp_path / "b", [rows], schema, lambda df: jobs.running_hits(jobs.stream_hits(df, members)), "complete")[-1]
     assert sum(x[2] for x in hits) == 15 + 30 + 15 + 30
+
+
+def test_stream_stores_no_pairs(spark, tmp_path):
+    day = lambda n: dt.datetime(2026, 1, n)
+    notices = [(1, "Road bridge", "c", day(5)), (2, "road", "d", None), (3, "bridge", "c", day(2)), (3, "road", "d", day(4)), (4, "x", "e", day(9))]
+    rules = [(k, 7, "keyword", ["road", "Bridge"], True, day(3)) for k in range(40)] + [(50, 8, "category", ["c"], True, day(5)), (51, 8, "category", ["C", "d"], True, None), (52, 9, "organization", [" O "], True, day(9)), (53, 9, "keyword", ["road"], False, None)]
+    rules = spark.createDataFrame(rules, "id long, user_id long, type string, conditions array<string>, enabled boolean, created_at timestamp")
+    table = spark.createDataFrame(notices, "id long, title string, category string, published_at timestamp").withColumn("organization", F.lit("o"))
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), table.schema)
+    jobs.write_moments(stream, lambda: rules, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got, expected = (sorted(map(tuple, df.collect()), key=str) for df in (jobs.stored_matches(spark, str(tmp_path / "out")), alerts.match_alerts(table, rules)))
+    assert got == expected and len(got) > 80
+    stored = spark.read.parquet(str(tmp_path / "out" / "moments"))
+    assert stored.count() == 3 + 2 + 3 + 4  # a row for a notice and profile: keywords, c, c or d, organization
