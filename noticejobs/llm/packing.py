@@ -30,11 +30,11 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -140,16 +140,19 @@ class WordIds:
 
     def encode(self, rows: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, one after the other, and how many each text has."""
-        cut = [self.lowered(x or "").split(" ") for x in rows]
-        flat = list(chain.from_iterable(cut))
-        held = list(map(self.pieces.get, flat))
-        new = list({p for p, n in zip(flat, held, strict=True) if n is None})
+        pool = pa.system_memory_pool()  # the default one would keep what it once held
+        lowered = pa.array([self.lowered(x or "") for x in rows], pa.large_string(), memory_pool=pool)
+        cut = pc.split_pattern(lowered, " ", memory_pool=pool)
+        flat = pc.dictionary_encode(cut.flatten(), memory_pool=pool)
+        known = flat.dictionary.to_numpy(zero_copy_only=False).tolist()  # each piece of these texts once
+        held = list(map(self.pieces.get, known))
+        new = [p for p, n in zip(known, held, strict=True) if n is None]
         if len(self.pieces) + len(new) > CACHE_PIECES:
             self.forget()
-            held, new = [None] * len(flat), list(set(flat))
+            new = known
         self.learn(new)
-        held = [self.pieces[p] if n is None else n for p, n in zip(flat, held, strict=True)]
-        size = np.fromiter(map(len, cut), np.int64, len(cut)) + 1
+        held = np.fromiter(map(self.pieces.__getitem__, known), np.int64, len(known))[flat.indices.to_numpy()]
+        size = cut.value_lengths().to_numpy().astype(np.int64) + 1
         end = np.cumsum(size)
         number = np.zeros(end[-1] if len(end) else 0, np.int64)
         inner = np.ones(len(number), bool)
@@ -419,5 +422,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, shar
 
     tasks = max(1, -(-int(corpus.n * corpus.mean) // (TASK_SHARDS * shard_tokens)))
     dealt = remainders.mapInArrow(keys, "doc_id long, doc_tokens long, start long, rest binary, " + ", ".join(f"{c} long" for c in names))
+    dealt = stored(dealt)  # the ranges are found from a sample, so an exchange by range reads its rows twice
     dealt = dealt.repartitionByRange(tasks, *names, "doc_id").sortWithinPartitions(*names, "doc_id", "rest")
     return full.unionByName(dealt.select(*REMAINDERS.names).mapInArrow(run, SCHEMA))
