@@ -33,13 +33,13 @@ class Classes:
     sets: DataFrame
     #: (id): the same ids, without their sets.
     first: DataFrame
-    #: (a, b, jaccard): every other document of a class with the class' smallest id.
+    #: (key, a, b, jaccard): every other document of a class with the class' smallest id.
     copies: DataFrame
-    #: (id, s, key): all documents.
+    #: (id, s, n, key): all documents.
     stored: DataFrame
 
     def discard(self) -> None:
-        discard(self.stored)
+        discard(self.stored, self.copies)
 
 
 def classes_of(docs: DataFrame, n: int) -> Classes:
@@ -47,11 +47,12 @@ def classes_of(docs: DataFrame, n: int) -> Classes:
     words = docs.select("id", F.filter(F.split(F.lower("content"), r"\s+"), lambda w: w != "").alias("w"))
     rows = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)]))
     keyed = words.filter(F.size("w") >= n).select("id", F.sort_array(F.array_distinct(rows)).alias("s"))
-    keyed = materialized(keyed.withColumn("key", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ","))))
+    keyed = materialized(keyed.withColumn("n", F.size("s")).withColumn("key", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), ","))))
     first = keyed.groupBy("key").agg(F.min("id").alias("a"))
-    copies = keyed.select("key", F.col("id").alias("b")).join(first, "key").filter("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    copies = materialized(keyed.select("key", F.col("id").alias("b")).join(first, "key").filter("a <> b").select("key", "a", "b", F.lit(1.0).alias("jaccard")))
     ids = first.select(F.col("a").alias("id"))
-    sets = keyed.select("id", "s").join(ids, "id", "left_semi").withColumn("n", F.size("s"))
+    again = copies.select(F.col("b").alias("id"), "key").distinct()  # few beside all: no set is moved to leave them out
+    sets = keyed.filter("id is not null").join(F.broadcast(again) if copies.count() <= BROADCAST_IDS else again, ["id", "key"], "left_anti").select("id", "s", "n")
     return Classes(sets, ids, copies, keyed)
 
 
@@ -79,6 +80,22 @@ def sizes_allow(threshold: float) -> Column:
     return F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
 
 
+def shared_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, n): of the ``n - ceil(threshold * n) + 1`` rarest n-grams of each set, those that other sets have.
+
+    N-grams of one set come first in that order, so they need only be counted: n-grams are shuffled once, and of a set that shares c of them the rarest
+    ``c - ceil(threshold * n) + 1`` are kept. Sets that share fewer than ``ceil(threshold * n)`` are like no other.
+    """
+    grams = sets.select("id", F.explode("s").alias("g")).repartition("g")
+    # Ids are distinct, so the least and the largest differ if there are several; both sides read one shuffle.
+    shared = grams.groupBy("g").agg(F.count("*").alias("df"), F.min("id").alias("least"), F.max("id").alias("largest")).filter("least < largest")
+    held = grams.join(shared.select("g", "df").hint("shuffle_hash"), "g").join(sets.select("id", "n"), "id")
+    least = F.ceil(F.lit(threshold) * F.col("n"))
+    near = held.withColumn("c", F.count("*").over(Window.partitionBy("id"))).filter(F.col("c") >= least)
+    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
+    return near.withColumn("k", order).filter(F.col("k") <= F.col("c") - least + 1).select(F.col("g").alias("key"), "id", "n")
+
+
 def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """Near-equal documents: (a, b, jaccard).
 
@@ -87,12 +104,8 @@ def compare_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> Da
     make candidates, without any cap.
     """
     found = classes_of(docs, n)
-    grams = found.sets.select("id", "n", F.explode("s").alias("g"))
-    shared = grams.groupBy("g").agg(F.count("*").alias("df"))
-    order = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    prefix = grams.join(shared, "g").withColumn("k", order).filter(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).filter("df > 1")
-    entries = materialized(prefix.select(F.col("g").alias("key"), "id", "n"))
-    return verified(sharing_pairs(entries, sizes_allow(threshold)), found.stored, threshold).unionByName(found.copies)
+    entries = materialized(shared_prefixes(found.sets, threshold))
+    return verified(sharing_pairs(entries, sizes_allow(threshold)), found.stored, threshold).unionByName(found.copies.drop("key"))
 
 
 _SEEDS = np.random.default_rng(12).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -123,4 +136,4 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, bucket:
     found = classes_of(docs, n)
     signed = found.stored.select("id", F.size("s").alias("n"), bands("s").alias("keys")).join(found.first, "id", "left_semi")  # no set is moved
     entries = materialized(signed.select(F.explode("keys").alias("key"), "id", "n"))
-    return verified(sharing_pairs(entries, sizes_allow(threshold), bucket), found.stored, threshold).unionByName(found.copies)
+    return verified(sharing_pairs(entries, sizes_allow(threshold), bucket), found.stored, threshold).unionByName(found.copies.drop("key"))

@@ -151,3 +151,21 @@ def test_searches_of_many_queries_need_no_index(spark, monkeypatch):
     monkeypatch.setattr(search, "build_index", indexed)
     got = search.keyword_retrieve(table, asked, 7).select("query_id", "rank", "chunk_id", F.round("score", 5)).collect()
     assert sorted(map(tuple, got)) == expected and len(expected) > 200
+
+
+def test_only_shared_ngrams_are_ranked(spark):
+    """Sets that share too few n-grams drop out before any is ranked."""
+    rng = np.random.default_rng(4)
+    pool = [sorted({int(x) for x in rng.integers(0, 60, 12)}) for _ in range(40)]
+    texts = pool + [sorted({*one[1:], 1000 + i}) for i, one in enumerate(pool[:20])] + [[2000 + 9 * i + j for j in range(9)] for i in range(20)]
+    sets = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(texts)], "id long, s array<long>, n int")
+    found = similar.shared_prefixes(sets, 0.8)
+    df = Counter(g for s in texts for g in s)
+    expected = []
+    for i, s in enumerate(texts):
+        rarest = sorted(s, key=lambda g: (df[g], g))[: len(s) - int(np.ceil(0.8 * len(s))) + 1]
+        expected += [(g, i, len(s)) for g in rarest if df[g] > 1]
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and len(expected) > 50
+    assert similar.shared_prefixes(sets.filter("id >= 60"), 0.8).count() == 0  # nothing shared, nothing ranked
+    grams = {g for g, _, _ in expected}
+    assert all(sum(df[g] > 1 for g in texts[i]) >= 0.8 * n for _, i, n in expected) and grams <= {g for g in df if df[g] > 1}
