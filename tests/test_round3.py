@@ -169,3 +169,29 @@ def test_only_shared_ngrams_are_ranked(spark):
     assert similar.shared_prefixes(sets.filter("id >= 60"), 0.8).count() == 0  # nothing shared, nothing ranked
     grams = {g for g, _, _ in expected}
     assert all(sum(df[g] > 1 for g in texts[i]) >= 0.8 * n for _, i, n in expected) and grams <= {g for g in df if df[g] > 1}
+
+
+def test_related_notices_by_blocks_equal_all_pairs(spark, monkeypatch):
+    """Ties, a category alone, nulls, and words that look like labels; no row is sorted for a pair that a smaller id beats."""
+    rng = np.random.default_rng(6)
+    pick = lambda x: None if x == 3 else f"v{x}"
+    rows = [(i, pick(rng.integers(4)), pick(rng.integers(4)), [f"v{x}" for x in np.unique(rng.integers(0, 12, rng.integers(0, 5)))]) for i in range(300)] + [(300, "v1", "v2", None), (301, None, "v2", [])]
+    table = spark.createDataFrame(rows, "id long, organization string, category string, tags array<string>")
+    expected = []
+    for a, o, c, t in rows[::20]:
+        score = {}
+        for b, o2, c2, t2 in rows:
+            shared, same = len(set(t or []) & set(t2 or [])), o is not None and o == o2
+            if a != b and (shared or same):
+                score[b] = 2 * same + (c is not None and c == c2) + shared
+        expected += [(a, r + 1, b, score[b]) for r, b in enumerate(sorted(score, key=lambda b: (-score[b], b))[:3])]
+    got = recommend.related_notices(table, 3, table.filter("id % 20 = 0")).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(expected) > 40
+    table = pa.table({"id": pa.array([0], pa.int64()), "words": [["t1"]], "weights": [[1.0]]})
+    vocabulary, share, (asked,) = nearest.asked_blocks(table, 3)
+    block = nearest.Held(pa.array([["t1"]] * 50), vocabulary).block(0, 50, np.ones(50))
+    scores, merged = nearest.Scores(lambda c, _, __: c, lambda s, _, __: s), []
+    monkeypatch.setattr(nearest.Best, "merge", lambda self, query, *x, own=nearest.Best.merge: (merged.append(len(query)), own(self, query, *x)))
+    for first in (1, 51):
+        asked.meet(block, *block.spread(share), np.arange(first, first + 50), scores)
+    assert merged == [50, 0] and asked.best.id.tolist() == [[1, 2, 3]]
