@@ -195,3 +195,33 @@ def test_related_notices_by_blocks_equal_all_pairs(spark, monkeypatch):
     for first in (1, 51):
         asked.meet(block, *block.spread(share), np.arange(first, first + 50), scores)
     assert merged == [50, 0] and asked.best.id.tolist() == [[1, 2, 3]]
+
+
+def test_related_questions_by_blocks_equal_all_pairs():
+    """Jaccard: what a pair must share depends on both sizes; later rows are looked at one by one only where they may win."""
+    rng = np.random.default_rng(7)
+    lists = [np.unique(rng.zipf(1.4, rng.integers(1, 30)) % 200).tolist() for _ in range(4000)]
+    words = [[f"w{x}" for x in one] for one in lists]
+    asked_for = []
+
+    def score(shared, q, r):
+        asked_for.append(shared.size)
+        value = np.round(shared / np.maximum(q + r - shared, 1), 6)
+        return np.where(value > 0, value, -np.inf)
+
+    def least(value, q, r):
+        value = np.maximum(value - 1e-6, 0)
+        return value / (1 + value) * (q + r) - 1e-3
+
+    table = pa.table({"id": pa.array(range(0, 4000, 40), pa.int64()), "words": words[::40], "weights": [[1.0] * len(x) for x in words[::40]]})
+    vocabulary, share, (asked,) = nearest.asked_blocks(table, 3)
+    held, ids = nearest.Held(pa.array(words), vocabulary), np.arange(4000)
+    for first in range(0, 4000, 500):
+        block, before = held.block(first, first + 500, np.ones(len(held.keys))), len(asked_for)
+        asked.meet(block, *block.spread(share), ids[first : first + 500], nearest.Scores(score, least, step=1e-6))
+    assert sum(asked_for[before:]) < 0.2 * 500 * 100
+    for q in range(0, 100, 9):
+        mine = set(lists[40 * q])
+        value = np.array([round(len(mine & set(x)) / len(mine | set(x)), 6) for x in lists])
+        value[40 * q] = -1
+        assert asked.best.id[q].tolist() == np.lexsort((ids, -value))[:3].tolist()
