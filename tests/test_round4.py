@@ -44,6 +44,13 @@ def test_keyword_pairs_take_little_room(spark, tmp_path):
     assert sorted(map(tuple, got)) == by_hand(few, rules, lambda n, asked: any(c in n.title for c in asked))
 
 
+def test_organization_pairs_take_little_room(spark, tmp_path):
+    notices, rules = many(spark, "organization")
+    found = alerts.match_organization_rules(notices, rules).select("rule_id", "notice_id")
+    n, size = written(spark, found, tmp_path / "out")
+    assert n > 500_000 and size < 0.5
+
+
 @pytest.mark.parametrize("broadcast_bytes", [alerts.BROADCAST_BYTES, 0])
 def test_alike_notices_of_any_number_make_all_pairs(spark, monkeypatch, broadcast_bytes):
     """Arrays of all lengths, those that are dealt to several, null ids and times, and notices of which there are several rows."""
