@@ -44,6 +44,16 @@ def test_keyword_pairs_take_little_room(spark, tmp_path):
     assert sorted(map(tuple, got)) == by_hand(few, rules, lambda n, asked: any(c in n.title for c in asked))
 
 
+def test_all_keywords_pairs_take_little_room(spark, tmp_path):
+    notices, rules = many(spark, "all")
+    found = alerts.match_all_keywords(notices, rules).select("rule_id", "notice_id")
+    n, size = written(spark, found, tmp_path / "out")
+    assert n > 500_000 and size < 0.5
+    few = notices.filter("id < 200")
+    got = alerts.match_all_keywords(few, rules).select("rule_id", "notice_id").collect()
+    assert sorted(map(tuple, got)) == by_hand(few, rules, lambda n, asked: all(c in n.title for c in asked))
+
+
 def test_organization_pairs_take_little_room(spark, tmp_path):
     notices, rules = many(spark, "organization")
     found = alerts.match_organization_rules(notices, rules).select("rule_id", "notice_id")
