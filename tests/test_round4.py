@@ -75,3 +75,11 @@ def test_alike_notices_of_any_number_make_all_pairs(spark, monkeypatch, broadcas
     expected = [(k, u, i, t, o) for k, u, _, c, on, since in asked for i, o, t in rows if on and o == c[0] and (since is None or (t is not None and t >= since))]
     order = lambda found: sorted(map(tuple, found), key=str)
     assert order(got.collect()) == order(expected) and len(expected) > 1000
+
+
+def test_alert_pairs_are_found_for_alike_notices_at_once(spark, tmp_path):
+    notices, rules = many(spark, "keyword")
+    found = alerts.match_alerts(notices, rules)
+    n, size = written(spark, found, tmp_path / "out")
+    assert n > 500_000 and size < 0.5
+    assert alerts.alerts_alike(notices, rules).count() < n / 30  # times and conditions are made once for all of an array
