@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from noticejobs.operators import alerts
+from noticejobs.streaming import jobs
 
 DAY = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=int(n))
 RULES = "id long, user_id long, type string, conditions array<string>, enabled boolean, created_at timestamp"
@@ -83,3 +84,12 @@ def test_alert_pairs_are_found_for_alike_notices_at_once(spark, tmp_path):
     n, size = written(spark, found, tmp_path / "out")
     assert n > 500_000 and size < 0.5
     assert alerts.alerts_alike(notices, rules).count() < n / 30  # times and conditions are made once for all of an array
+
+
+def test_stored_matches_are_found_for_alike_notices_at_once(spark, tmp_path):
+    notices, rules = many(spark, "keyword")
+    notices.write.parquet(str(tmp_path / "in"))
+    jobs.write_moments(jobs.read_stream(spark, str(tmp_path / "in"), notices.schema), lambda: rules, str(tmp_path / "kept"), str(tmp_path / "checkpoint")).awaitTermination()
+    n, size = written(spark, jobs.stored_matches(spark, str(tmp_path / "kept")), tmp_path / "out")
+    assert n > 500_000 and size < 0.5
+    assert jobs.stored_alike(spark, str(tmp_path / "kept")).count() < n / 30
