@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticejobs.llm import decision_list, langid, nbsvm, packing, pii, trie_join
-from noticejobs.llm.common import delete_unread, leaves_nothing, slices, stored, tracking
+from noticejobs.llm.common import delete_unread, leaves_nothing, release_memory, slices, stored, tracking
 from noticejobs.llm.queries import documents, tokenizer_file
 
 #: The whole cannot be expressed in SQL (learned rules and weights, trie join, packing).
@@ -35,6 +35,7 @@ def stage(body: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
         with tracking() as held:
             out = body(spark, docs, sf_dir)
             delete_unread(out, held)
+        release_memory()  # of the driver: what it gathered (sketch, weights) is free by now
         return out
 
     return run_stage

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticejobs.llm.common import discard, leaves_nothing, slices, stored, texts
+from noticejobs.llm.common import discard, leaves_nothing, release_memory, slices, stored, texts
 from noticejobs.llm.shingles import shingle_sets
 
 #: Counters of the frequency sketch: 4 MB, whatever the corpus.
@@ -88,10 +88,14 @@ def frequency_ranks(docs: DataFrame, n: int) -> np.ndarray:
     parts = texts(docs).mapInArrow(count, schema).groupBy("chunk", "part").applyInArrow(add, schema)
     got = parts.groupBy("chunk").applyInArrow(add, schema).toArrow().sort_by("chunk")  # 8 MB, whatever the corpus
     counts = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in got["counts"]]) if len(got) else np.zeros(SKETCH, np.int64)
+    del got
     # Repeated n-grams that are many and rare fill all counters alike; what stands clearly above that noise is frequent.
     usual = float(np.median(counts))
     noise = 4 * math.sqrt(usual) + 1
-    return np.clip(np.ceil(2 * np.log2(np.maximum((counts - usual) / noise, 1))), 0, 255).astype(np.uint8)
+    ranks = np.empty(len(counts), np.uint8)  # part by part, as the driver holds only so much
+    for i in range(0, len(counts), SKETCH_CHUNK):
+        ranks[i : i + SKETCH_CHUNK] = np.clip(np.ceil(2 * np.log2(np.maximum((counts[i : i + SKETCH_CHUNK] - usual) / noise, 1))), 0, 255)
+    return ranks
 
 
 def parity_bits(s: np.ndarray) -> bytes:
@@ -249,6 +253,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -
     """doc_id, n_shingles, component_id: groups of documents linked by ``den * intersection >= num * union``."""
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(frequency_ranks(docs, n))  # 1 MB, whatever the corpus
+    release_memory()  # of the driver: the sketch is free by now, and the joins that follow are what fills its other memory
 
     @leaves_nothing
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,13 @@
 
 import datetime as dt
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
 import pytest
 
+from noticejobs.llm import trie_join
 from noticejobs.operators import alerts
 from noticejobs.plans import QUERIES
 from noticejobs.sources import adapters
@@ -106,3 +108,14 @@ def test_every_question_asks_for_related_ones(spark):
     got = QUERIES["j21_related_questions"](spark, data).collect()
     assert {r.id for r in got} == expected and any(i % 20 for i in expected)
     assert {r.related_id for r in got} <= set(asked)
+
+
+def test_driver_keeps_little_of_the_sketch_of_ngrams(spark):
+    """What ranks of n-grams are made of, 8 MB a copy, is not held in several copies."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 50}" for j in range(40))) for i in range(50)], "doc_id long, text string")
+    expected = trie_join.frequency_ranks(docs, 3)
+    tracemalloc.start()
+    got = trie_join.frequency_ranks(docs, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == expected).all() and got.max() > 0 and peak < 24e6
